@@ -3,7 +3,7 @@
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hierspark.functions import probs
@@ -90,27 +90,30 @@ def topk(scores: DataFrame, k: int) -> DataFrame:
 
     Spark turns the ``rank <= k`` filter into a per-partition limit below the shuffle.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("id", "lvl").orderBy(F.desc("prob"), "ord")
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def combine_wide(
-    scores: DataFrame, columns: Sequence[tuple[int, int]], level_names: Sequence[str], carry: Sequence[str] = ()
+    scores: DataFrame,
+    columns: Sequence[tuple[int, int]],
+    level_names: Sequence[str],
+    carry: Sequence[str] = (),
+    fill: float | None = None,
 ) -> DataFrame:
     """One row per id with a ``{level}_{label}`` column for each listed ``(lvl, label)``.
 
-    For sinks only.  The column list is given, so the table is read once.
+    For sinks only.  The column list is given, so the table is read once.  ``fill`` replaces
+    scores that a sparse table leaves out.
     """
-    keys = ["id", *carry]
-    cells = [
-        F.max(F.when((F.col("lvl") == lvl) & (F.col("label") == label), F.col("prob"))).alias(
-            f"{level_names[lvl]}_{label}"
-        )
-        for lvl, label in columns
+    wanted = [f"{lvl}_{label}" for lvl, label in columns]
+    cells = scores.withColumn("_cell", F.concat_ws("_", "lvl", "label"))
+    wide = cells.groupBy("id", *carry).pivot("_cell", wanted).agg(F.max("prob"))
+    names = [
+        (F.col(w) if fill is None else F.coalesce(w, F.lit(fill))).alias(f"{level_names[lvl]}_{label}")
+        for w, (lvl, label) in zip(wanted, columns)
     ]
-    return scores.groupBy(*keys).agg(*cells)
+    return wide.select("id", *carry, *names)
 
 
 def with_dummies(wide: DataFrame, n: int = 5) -> DataFrame:

@@ -7,9 +7,16 @@ numbers, so sums and ties are exact.
 Logits: the first ten elements of an embedding are the logits of ten classes.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hierspark.functions.probs import softmax
+from hierspark.operators.combine import with_original
+from hierspark.operators.hierarchy import edges_from_truth
+from hierspark.operators.history import epoch_history
+from hierspark.operators.labels import class_index
 from hierspark.operators.skew import salted_join
 
 SHARE_LEVELS = ("region", "nation", "supplier")
@@ -52,12 +59,15 @@ def share_scores(spark: SparkSession, sf_dir: str, levels: int = N_SHARE) -> Dat
     All levels and the total come from one pass over the quantities per buyer and supplier.
     """
     leaf = bought(spark, sf_dir).join(geography(spark, sf_dir), "supplier")
-    names = SHARE_LEVELS[:levels]
+    return shares(leaf, SHARE_LEVELS[:levels])
+
+
+def shares(leaf: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Scores from ``(id, qty, <label column per level>)``: share of each label in its id's total."""
     sets = [[F.col("id")], *[[F.col("id"), F.col(n)] for n in names]]
     sums = leaf.groupingSets(sets, "id", *names).agg(F.sum("qty").alias("qty"))
-    label = F.coalesce(*names)
     lvl = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(k)) for k, n in enumerate(names)])
-    sums = sums.select("id", lvl.alias("lvl"), label.alias("label"), "qty")
+    sums = sums.select("id", lvl.alias("lvl"), F.coalesce(*names).alias("label"), "qty")
     totals = sums.filter("lvl IS NULL").select("id", F.col("qty").alias("total"))
     return salted_join(sums.filter("lvl IS NOT NULL"), totals, ["id"], ["lvl", "label"]).select(
         "id", "lvl", "label", F.col("label").cast("int").alias("ord"), (F.col("qty") / F.col("total")).alias("prob")
@@ -123,3 +133,215 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform("embedding", lambda x: x.cast("double")).alias("vec"),
         F.col("label").cast("bigint").alias("label"),
     )
+
+
+# --- flat tables and other derived inputs
+
+
+def flat_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geography(spark, sf_dir)
+
+
+def flat_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = table(spark, sf_dir, "nation")
+    return table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("n_regionkey").alias("region"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")
+    )
+
+
+def brand_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brand number -> part size, children in order of first appearance.  Not a tree: sizes repeat."""
+    part = table(spark, sf_dir, "part").select(
+        F.split_part("p_brand", F.lit("#"), F.lit(2)).cast("bigint").alias("brand"), "p_size", "p_partkey"
+    )
+    return edges_from_truth(part, ["brand", "p_size"], position="p_partkey")
+
+
+def backbone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions, nations and suppliers as taxa with a ``/``-joined ancestry.
+
+    Every tenth supplier hangs directly below its region, so its last ancestor is not of
+    the rank above.
+    """
+    region = table(spark, sf_dir, "region").select(
+        (F.col("r_regionkey") + 1).cast("bigint").alias("taxon_id"),
+        F.lit("0").alias("chain"),
+        F.lit("region").alias("rank"),
+        F.col("r_name").alias("name"),
+    )
+    nation = table(spark, sf_dir, "nation")
+    nations = nation.select(
+        (F.col("n_nationkey") + 100).cast("bigint"),
+        F.concat(F.lit("0/"), (F.col("n_regionkey") + 1).cast("string")),
+        F.lit("nation"),
+        "n_name",
+    )
+    s = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    above = F.concat(F.lit("0/"), (F.col("n_regionkey") + 1).cast("string"))
+    full = F.concat(above, F.lit("/"), (F.col("n_nationkey") + 100).cast("string"))
+    suppliers = s.select(
+        F.col("s_suppkey") + 1000,
+        F.when(F.col("s_suppkey") % 10 == 0, above).otherwise(full),
+        F.lit("supplier"),
+        "s_name",
+    )
+    return region.union(nations).union(suppliers).select(
+        "taxon_id",
+        F.split("chain", "/").cast("array<bigint>").alias("ancestry"),
+        "rank",
+        "name",
+        F.col("taxon_id").alias("position"),
+    )
+
+
+def backbone_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers in debt are not encoded."""
+    region = table(spark, sf_dir, "region").select(
+        F.lit(0).alias("lvl"), F.col("r_regionkey").cast("bigint").alias("label"), (F.col("r_regionkey") + 1).cast("bigint").alias("taxon_id")
+    )
+    nation = table(spark, sf_dir, "nation").select(
+        F.lit(1), F.col("n_nationkey").cast("bigint"), (F.col("n_nationkey") + 100).cast("bigint")
+    )
+    supplier = table(spark, sf_dir, "supplier").filter("s_acctbal >= 0").select(F.lit(2), "s_suppkey", F.col("s_suppkey") + 1000)
+    return region.union(nation).union(supplier)
+
+
+def nation_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(lvl, labels)``: per region the comma list of its nations, in lexical order."""
+    nation = table(spark, sf_dir, "nation").select(
+        F.col("n_regionkey").alias("lvl"), F.col("n_nationkey").cast("string").alias("label")
+    )
+    return nation.groupBy("lvl").agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("labels"))
+
+
+def nation_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(
+        F.lit(1).alias("lvl"),
+        F.col("n_nationkey").cast("bigint").alias("label"),
+        (F.col("n_nationkey") * 7 + 50000).cast("bigint").alias("taxon_id"),
+    )
+
+
+def output_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``trained(lvl, pos, label)``: labels ``3·class + 1`` in lexical order of their text."""
+    classes = table(spark, sf_dir, "embeddings").select((F.col("label") * 3 + 1).alias("code"))
+    return class_index(classes, "code").select(
+        F.lit(0).alias("lvl"), F.col("class_idx").alias("pos"), F.col("class_label").cast("bigint").alias("label")
+    )
+
+
+def output_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return output_labels(spark, sf_dir).select("lvl", "label", (F.col("label") + 47000).alias("taxon_id"))
+
+
+def image_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(page_id, path)``: file paths built from page urls, with photo, tile and other suffixes."""
+    host = F.split_part("url", F.lit("/"), F.lit(3))
+    kind = F.col("page_id") % 4
+    tail = (
+        F.when(kind == 0, "_original.jpg").when(kind == 1, "-aug7.JPEG").when(kind == 2, "_001-002.png").otherwise(".txt")
+    )
+    path = F.concat(F.lit("/images/"), host, F.lit("/"), F.col("page_id").cast("string"), tail)
+    return table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+
+
+def tile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region shares of every order; an order is a tile ``<customer>_<order>.jpg`` of its customer."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    name = F.concat(F.col("o_custkey").cast("string"), F.lit("_"), F.col("o_orderkey").cast("string"), F.lit(".jpg"))
+    leaf = (
+        items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(geography(spark, sf_dir).withColumnRenamed("supplier", "l_suppkey"), "l_suppkey")
+        .select(name.alias("id"), "region", F.col("l_quantity").alias("qty"))
+    )
+    return with_original(shares(leaf, ("region",)), delimiter="_")
+
+
+def customer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id STRING, true_label, c_acctbal)``."""
+    nation = table(spark, sf_dir, "nation")
+    flat = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return flat.select(
+        F.col("c_custkey").cast("string").alias("id"), F.col("n_regionkey").cast("bigint").alias("true_label"), "c_acctbal"
+    )
+
+
+def region_phyla(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(label, phylum)``: a level above the regions."""
+    return table(spark, sf_dir, "region").select(
+        F.col("r_regionkey").cast("bigint").alias("label"),
+        F.concat(F.lit("PHYLUM_"), (F.col("r_regionkey") % 2).cast("string")).alias("phylum"),
+    )
+
+
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as training steps: the day is the epoch, the loss is ``value`` in hundredths."""
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    phase = F.when(F.col("event_type").isin("click", "view"), "train").otherwise("val")
+    return table(spark, sf_dir, "events").select(
+        F.lit("events").alias("run"),
+        day.alias("epoch"),
+        phase.alias("phase"),
+        F.round(F.col("value") * 100).alias("loss"),
+        (F.col("value") > 50).alias("correct"),
+    )
+
+
+def training_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(run, text)``: the epoch figures per month printed as a training log.
+
+    One text holds at most 31 epochs.
+    """
+    figures = epoch_history(
+        training_rows(spark, sf_dir).withColumn("run", F.concat(F.lit("month_"), F.floor(F.col("epoch") / 31).cast("string")))
+    )
+    def show(name: str, phase: str):
+        value = F.max(F.when(F.col("phase") == phase, F.round(name, 4)))
+        return F.coalesce(value, F.lit(0.0)).cast("decimal(18,4)").cast("string")
+
+    lines = figures.groupBy("run", "epoch").agg(
+        F.concat(
+            F.lit("Epoch "), F.col("epoch").cast("string"), F.lit("/99\n----------\n"),
+            F.lit("train Loss: "), show("loss", "train"), F.lit(" Acc: "), show("acc", "train"), F.lit("\n"),
+            F.lit("val Loss: "), show("loss", "val"), F.lit(" Acc: "), show("acc", "val"), F.lit("\n"),
+        ).alias("block")
+    )
+    blocks = F.array_sort(F.collect_list(F.struct("epoch", "block")))
+    return lines.groupBy("run").agg(F.array_join(F.transform(blocks, lambda x: x["block"]), "\n").alias("text"))
+
+
+# --- per-level model outputs
+
+# Element ranges of an embedding that serve as the logits of three models, root level first.
+MODEL_SLICES = ((41, 2), (31, 5), (1, 10))
+LOGIT_SCALE = 8.0
+
+
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Softmax scores of three independent models over 2, 5 and 10 labels."""
+    rows = table(spark, sf_dir, "embeddings")
+    levels = [
+        F.struct(
+            F.lit(k).alias("lvl"),
+            softmax(F.transform(F.slice("embedding", first, n), lambda x: x.cast("double") * LOGIT_SCALE)).alias("probs"),
+        )
+        for k, (first, n) in enumerate(MODEL_SLICES)
+    ]
+    per_level = rows.select(F.col("vec_id").alias("id"), F.inline(F.array(*levels)))
+    return per_level.select("id", "lvl", F.posexplode("probs").alias("ord", "prob")).select(
+        "id", "lvl", F.col("ord").cast("bigint").alias("label"), "ord", "prob"
+    )
+
+
+def model_edges(spark: SparkSession) -> DataFrame:
+    """Labels 0-2 and 3-4 of the middle level share a parent, as do pairs of the leaf level."""
+    middle = spark.range(5).select(F.lit(0).alias("lvl"), F.floor(F.col("id") / 3).alias("parent"), F.col("id").alias("child"))
+    leaf = spark.range(10).select(F.lit(1), F.floor(F.col("id") / 2), F.col("id"))
+    return middle.union(leaf).select("lvl", "parent", "child", F.col("child").alias("ord"))
+
+
+def model_trained(spark: SparkSession) -> DataFrame:
+    levels = [F.struct(F.lit(k).alias("lvl"), F.sequence(F.lit(0), F.lit(n - 1)).alias("at")) for k, (_, n) in enumerate(MODEL_SLICES)]
+    listed = spark.range(1).select(F.inline(F.array(*levels)))
+    return listed.select("lvl", F.explode("at").alias("pos")).withColumn("label", F.col("pos").cast("bigint"))
