@@ -6,6 +6,7 @@ Rows are ``(id, <vec> ARRAY<DOUBLE>, label)``.
 from collections.abc import Mapping
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexerModel
@@ -16,33 +17,30 @@ from pyspark.sql import functions as F
 from hierspark.operators.reduce import with_features
 from hierspark.operators.scores import union_all
 
-MAX_ITER = 1000
-TOLERANCE = 1e-9
+# Fixed value: iteration limit of the solver.
+MAX_ITER = 100
+TOLERANCE = 1e-6
 
 
-def class_labels(rows: DataFrame, label: str = "label") -> list[int]:
-    """Distinct labels in numeric order, as many as the model has classes."""
-    return sorted(r[0] for r in rows.select(label).distinct().collect())
+def class_counts(rows: DataFrame, label: str = "label") -> list[tuple[int, int]]:
+    """``(label, rows)`` in numeric order, as many as the model has classes."""
+    return sorted((r[0], r[1]) for r in rows.groupBy(label).count().collect())
 
 
 def fit(rows: DataFrame, vec: str = "vec", label: str = "label", c: float = 1.0) -> PipelineModel:
     """L2-penalised fit; ``c`` weighs the summed loss against half the squared weights."""
-    labels = class_labels(rows, label)
+    counts = class_counts(rows, label)
     data = with_features(rows, vec).select("features", F.col(label).cast("string").alias("label"))
-    index = StringIndexerModel.from_labels([str(x) for x in labels], inputCol="label", outputCol="_y")
-    data = index.transform(data).select("features", "_y").persist()
-    try:
-        regression = LogisticRegression(
-            family="multinomial",
-            regParam=1.0 / (c * data.count()),
-            elasticNetParam=0.0,
-            standardization=False,
-            maxIter=MAX_ITER,
-            tol=TOLERANCE,
-            labelCol="_y",
-        ).fit(data)
-    finally:
-        data.unpersist()
+    index = StringIndexerModel.from_labels([str(x) for x, _ in counts], inputCol="label", outputCol="_y")
+    regression = LogisticRegression(
+        family="multinomial",
+        regParam=1.0 / (c * sum(n for _, n in counts)),
+        elasticNetParam=0.0,
+        standardization=False,
+        maxIter=MAX_ITER,
+        tol=TOLERANCE,
+        labelCol="_y",
+    ).fit(index.transform(data))
     return PipelineModel([index, regression])
 
 
@@ -113,13 +111,15 @@ def stratified_folds(rows: DataFrame, k: int = 5, label: str = "label", key: str
 
 def cross_validate(folded: DataFrame, vec: str = "vec", label: str = "label", c: float = 1.0) -> list[float]:
     """Accuracy on each fold of a model fitted on the others."""
-    accuracies = []
-    for f in sorted(r[0] for r in folded.select("fold").distinct().collect()):
-        model = fit(folded.filter(F.col("fold") != f), vec, label, c)
-        held = predict(folded.filter(F.col("fold") == f), model, vec)
-        hit = (F.col("pred_label") == F.col(label)).cast("double")
-        accuracies.append(held.agg(F.avg(hit)).first()[0])
-    return accuracies
+    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        folds = sorted(r[0] for r in folded.select("fold").distinct().collect())
+        return [
+            accuracy(folded.filter(F.col("fold") == f), fit(folded.filter(F.col("fold") != f), vec, label, c), vec, label)
+            for f in folds
+        ]
+    finally:
+        folded.unpersist()
 
 
 def cv_report(spark, accuracies: list[float], validation: float | None = None) -> DataFrame:

@@ -37,38 +37,23 @@ def best_path(
     Ties go to the shallowest start.  An id whose candidates all score 0 has no row, so
     zero scores are dropped before anything is shuffled.
     """
-    found = candidates(scores.filter("prob > 0"), edges, n_levels, strategy)
-    rank = F.struct("conf", (-F.col("start_lvl")).alias("_rev"), "start_lvl", "path")
-    return (
-        found.filter("conf > 0")
-        .groupBy("id")
-        .agg(F.max(rank).alias("b"))
-        .select("id", "b.start_lvl", "b.path", "b.conf")
-    )
+    best = _tree(scores.filter("prob > 0"), edges, n_levels, strategy).best()
+    return best.select("id", "start_lvl", P.path_of(n_levels).alias("path"), "conf")
 
 
 def candidates(
     scores: DataFrame, edges: DataFrame, n_levels: int, strategy: str = "auto"
 ) -> DataFrame:
     """``(id, start_lvl, path, conf)``, one row for every start level that has a full path."""
-    tree = _tree(scores, edges, n_levels, strategy)
-    rows = tree.starts(range(n_levels))
-    for k in reversed(range(n_levels - 1)):
-        rows = tree.up(rows, k)
-    for k in range(1, n_levels):
-        rows = tree.down(rows, k)
-    path = P.path_of(n_levels)
-    return rows.select("id", "start_lvl", path.alias("path")).withColumn("conf", P.path_score(F.col("path")))
+    rows = _tree(scores, edges, n_levels, strategy).rows(range(n_levels))
+    return rows.select("id", "start_lvl", P.path_of(n_levels).alias("path"), _path_score(n_levels).alias("conf"))
 
 
 def descend(
     scores: DataFrame, edges: DataFrame, n_levels: int, start: int = 0, strategy: str = "auto"
 ) -> DataFrame:
     """``(id, path)`` from the best label at ``start`` down to the leaf level."""
-    tree = _tree(scores, edges, n_levels, strategy)
-    rows = tree.starts([start])
-    for k in range(start + 1, n_levels):
-        rows = tree.down(rows, k)
+    rows = _tree(scores, edges, n_levels, strategy).rows([start], up=False)
     return rows.select("id", P.path_of(n_levels, start=start).alias("path"))
 
 
@@ -76,10 +61,7 @@ def backfill(
     scores: DataFrame, edges: DataFrame, n_levels: int, start: int, strategy: str = "auto"
 ) -> DataFrame:
     """``(id, path)`` from the root down to the best label at ``start``, with the ancestors' own scores."""
-    tree = _tree(scores, edges, n_levels, strategy)
-    rows = tree.starts([start])
-    for k in reversed(range(start)):
-        rows = tree.up(rows, k)
+    rows = _tree(scores, edges, n_levels, strategy).rows([start], down=False)
     return rows.select("id", P.path_of(start + 1).alias("path"))
 
 
@@ -93,10 +75,9 @@ def gated_descent(
     kept probabilities, 1 when none is kept.
     """
     n_levels = len(thresholds)
-    tree = _tree(scores, edges, n_levels, strategy)
-    rows = tree.starts([0])
-    for k in range(1, n_levels):
-        rows = tree.down(rows, k, at_least=float(thresholds[k]))
+    if min(thresholds) > 0:
+        scores = scores.filter("prob > 0")
+    rows = _tree(scores, edges, n_levels, strategy).rows([0], up=False, gate=thresholds)
     root_ok = F.col("p0") >= F.lit(float(thresholds[0]))
     rows = rows.withColumns({"l0": F.when(root_ok, F.col("l0")), "p0": F.when(root_ok, F.col("p0"))})
     score = F.lit(1.0)
@@ -175,16 +156,19 @@ def _level_columns(n_levels: int) -> list[str]:
     return [c for k in range(n_levels) for c in (f"l{k}", f"p{k}")]
 
 
-def _start_row(n_levels: int, lvl: Column, top: Column) -> list[Column]:
-    """Path columns of a start row: only the start level is filled, ``_up`` is its parent."""
-    cols = [top["parent"].alias("_up")]
-    for k in range(n_levels):
-        cols += [F.when(lvl == k, top["label"]).alias(f"l{k}"), F.when(lvl == k, top["prob"]).alias(f"p{k}")]
-    return cols
+def _path_score(n_levels: int, prefix: str = "") -> Column:
+    """Geometric mean of the columns ``p0, p1, …``; plain arithmetic stays in generated code."""
+    total = F.col(f"{prefix}p0")
+    for k in range(1, n_levels):
+        total = total * F.col(f"{prefix}p{k}")
+    return F.pow(total, F.lit(1.0 / n_levels))
 
 
 class _FoldTree:
-    """Per-id maps: ``kids{k}`` parent -> best child at level k, ``node{k}`` label -> (prob, parent)."""
+    """Per-id maps: ``kids{k}`` parent -> best child at level k, ``node{k}`` label -> (prob, parent).
+
+    All start levels are walked side by side in one row, in columns such as ``s2_l0``.
+    """
 
     def __init__(self, placed: DataFrame, n_levels: int):
         self.n = n_levels
@@ -206,83 +190,130 @@ class _FoldTree:
                 aggs.append(F.map_from_entries(listed).alias(f"node{k}"))
         self.df = by_parent.groupBy("id").agg(*aggs)
 
-    def starts(self, levels: Sequence[int]) -> DataFrame:
-        tops = F.array(*[F.struct(F.lit(k).alias("start_lvl"), F.col(f"top{k}").alias("top")) for k in levels])
-        maps = [c for c in self.df.columns if c.startswith(("kids", "node"))]
-        return (
-            self.df.select("id", *maps, F.inline(tops))
-            .filter("top IS NOT NULL")
-            .select("id", "start_lvl", *maps, *_start_row(self.n, F.col("start_lvl"), F.col("top")))
+    def rows(self, starts: Sequence[int], up: bool = True, down: bool = True, gate: Sequence[float] | None = None) -> DataFrame:
+        """``(id, start_lvl, l0, p0, …)``; only complete rows unless gated."""
+        walked = self._walk(starts, up, down, gate)
+        per_start = [F.struct(F.lit(s).alias("start_lvl"), *self._row(s, up, down)) for s in starts]
+        out = walked.select("id", F.inline(F.array(*per_start)))
+        needed = [f"p{starts[0]}"] if gate is not None else [c for c in out.columns if c.startswith("p")]
+        return out.dropna("any", subset=needed)
+
+    def best(self) -> DataFrame:
+        found = [
+            F.struct(_path_score(self.n, f"s{s}_").alias("conf"), F.lit(-s).alias("_rev"), F.lit(s).alias("start_lvl"), *self._row(s))
+            for s in range(self.n)
+        ]
+        best = F.array_max(F.filter(F.array(*found), lambda c: c["conf"] > 0))
+        walked = self._walk(range(self.n)).select("id", best.alias("b")).filter("b IS NOT NULL")
+        return walked.select("id", "b.*").drop("_rev")
+
+    def _row(self, s: int, up: bool = True, down: bool = True) -> list[Column]:
+        levels = range(0 if up else s, self.n if down else s + 1)
+        return [F.col(f"s{s}_{c}{k}").alias(f"{c}{k}") for k in levels for c in ("l", "p")]
+
+    def _walk(
+        self, starts: Sequence[int], up: bool = True, down: bool = True, gate: Sequence[float] | None = None
+    ) -> DataFrame:
+        rows = self.df.withColumns(
+            {
+                name: F.col(f"top{s}")[field]
+                for s in starts
+                for name, field in ((f"s{s}_l{s}", "label"), (f"s{s}_p{s}", "prob"), (f"s{s}_up", "parent"))
+            }
         )
-
-    def down(self, rows: DataFrame, k: int, at_least: float | None = None) -> DataFrame:
-        rows = rows.withColumn("_kid", F.col(f"kids{k}")[F.col(f"l{k - 1}")])
-        return _take_child(rows, k, F.col("_kid")["label"], F.col("_kid")["prob"], at_least).drop("_kid")
-
-    def up(self, rows: DataFrame, k: int) -> DataFrame:
-        rows = rows.withColumn("_at", F.col(f"node{k}")[F.col("_up")])
-        return _take_parent(rows, k, F.col("_up"), F.col("_at")["prob"], F.col("_at")["parent"]).drop("_at")
+        for k in reversed(range(self.n - 1)) if up else ():
+            below = [s for s in starts if s > k]
+            rows = rows.withColumns({f"_at{s}": F.col(f"node{k}")[F.col(f"s{s}_up")] for s in below})
+            step = {}
+            for s in below:
+                at = F.col(f"_at{s}")
+                step[f"s{s}_l{k}"] = F.when(at.isNotNull(), F.col(f"s{s}_up"))
+                step[f"s{s}_p{k}"] = at["prob"]
+                step[f"s{s}_up"] = at["parent"]
+            rows = rows.withColumns(step)
+        for k in range(1, self.n) if down else ():
+            above = [s for s in starts if s < k]
+            rows = rows.withColumns({f"_kid{s}": F.col(f"kids{k}")[F.col(f"s{s}_l{k - 1}")] for s in above})
+            step = {}
+            for s in above:
+                kid = F.col(f"_kid{s}")
+                if gate is not None:
+                    kid = F.when(kid["prob"] >= F.lit(float(gate[k])), kid)
+                step[f"s{s}_l{k}"], step[f"s{s}_p{k}"] = kid["label"], kid["prob"]
+            rows = rows.withColumns(step)
+        return rows
 
 
 class _JoinTree:
-    """The same steps as equi-joins on ``(id, label)``."""
+    """The same walk as equi-joins on ``(id, label)``, one row per id and start level.
+
+    The scores are read once per step, so they should be a stored table.
+    """
 
     def __init__(self, placed: DataFrame, n_levels: int):
         self.n = n_levels
         self.placed = placed
 
-    def starts(self, levels: Sequence[int]) -> DataFrame:
+    def rows(self, starts: Sequence[int], up: bool = True, down: bool = True, gate: Sequence[float] | None = None) -> DataFrame:
+        """``(id, start_lvl, l0, p0, …)``; only complete rows unless gated."""
+        rows = self._starts(starts)
+        for k in reversed(range(max(starts))) if up else ():
+            rows = self._up(rows, k)
+        for k in range(min(starts) + 1, self.n) if down else ():
+            rows = self._down(rows, k, gate)
+        return rows.drop("_up")
+
+    def best(self) -> DataFrame:
+        scored = self.rows(range(self.n)).withColumn("conf", _path_score(self.n)).filter("conf > 0")
+        rank = F.struct("conf", (-F.col("start_lvl")).alias("_rev"), "start_lvl", *_level_columns(self.n))
+        return scored.groupBy("id").agg(F.max(rank).alias("b")).select("id", "b.*").drop("_rev")
+
+    def _starts(self, levels: Sequence[int]) -> DataFrame:
+        lvl, top = F.col("start_lvl"), F.col("top")
+        cells = [F.when(lvl == k, top[f]).alias(f"{c}{k}") for k in range(self.n) for c, f in (("l", "label"), ("p", "prob"))]
         return (
             self.placed.filter(F.col("lvl").isin(*levels))
             .groupBy("id", F.col("lvl").alias("start_lvl"))
             .agg(_top().alias("top"))
-            .select("id", "start_lvl", *_start_row(self.n, F.col("start_lvl"), F.col("top")))
+            .select("id", "start_lvl", top["parent"].alias("_up"), *cells)
         )
 
-    def down(self, rows: DataFrame, k: int, at_least: float | None = None) -> DataFrame:
-        kids = (
-            self.placed.filter((F.col("lvl") == k) & F.col("parent").isNotNull())
-            .groupBy("id", F.col("parent").alias(f"l{k - 1}"))
-            .agg(_best_child().alias("_kid"))
-        )
-        rows = rows.join(kids, ["id", f"l{k - 1}"], "left")
-        return _take_child(rows, k, F.col("_kid")["label"], F.col("_kid")["prob"], at_least).drop("_kid")
-
-    def up(self, rows: DataFrame, k: int) -> DataFrame:
+    def _up(self, rows: DataFrame, k: int) -> DataFrame:
+        """Fill level k of the rows that started below it; a missing parent drops the row."""
         at = self.placed.filter((F.col("lvl") == k) & F.col("is_parent")).select(
             "id", F.col("label").alias("_up"), F.col("prob").alias("_prob"), F.col("parent").alias("_next")
         )
-        rows = rows.join(at, ["id", "_up"], "left")
-        return _take_parent(rows, k, F.when(F.col("_prob").isNotNull(), F.col("_up")), F.col("_prob"), F.col("_next")).drop(
-            "_prob", "_next"
+        below = F.col("start_lvl") > k
+        return (
+            rows.join(at, ["id", "_up"], "left")
+            .filter(~below | F.col("_prob").isNotNull())
+            .withColumns(
+                {
+                    f"l{k}": F.when(below, F.col("_up")).otherwise(F.col(f"l{k}")),
+                    f"p{k}": F.when(below, F.col("_prob")).otherwise(F.col(f"p{k}")),
+                    "_up": F.when(below, F.col("_next")).otherwise(F.col("_up")),
+                }
+            )
+            .drop("_prob", "_next")
         )
 
+    def _down(self, rows: DataFrame, k: int, gate: Sequence[float] | None) -> DataFrame:
+        """Fill level k of the rows that started above it.
 
-def _take_child(rows: DataFrame, k: int, label: Column, prob: Column, at_least: float | None) -> DataFrame:
-    """Fill level k of the rows that started above it.
-
-    With a gate a failing child is left out; without one a missing child drops the row.
-    """
-    below = F.col("start_lvl") < k
-    if at_least is not None:
-        below = below & (prob >= F.lit(at_least))
-    rows = rows.withColumns(
-        {
-            f"l{k}": F.when(below, label).otherwise(F.col(f"l{k}")),
-            f"p{k}": F.when(below, prob).otherwise(F.col(f"p{k}")),
-        }
-    )
-    return rows if at_least is not None else rows.filter(F.col(f"l{k}").isNotNull())
-
-
-def _take_parent(rows: DataFrame, k: int, label: Column, prob: Column, next_up: Column) -> DataFrame:
-    """Fill level k of the rows that started below it; a missing parent drops the row."""
-    above = F.col("start_lvl") > k
-    rows = rows.withColumns(
-        {
-            f"l{k}": F.when(above & prob.isNotNull(), label).otherwise(F.col(f"l{k}")),
-            f"p{k}": F.when(above, prob).otherwise(F.col(f"p{k}")),
-            "_up": F.when(above, next_up).otherwise(F.col("_up")),
-        }
-    )
-    return rows.filter(~above | F.col(f"p{k}").isNotNull())
+        With a gate a failing child is left out; without one a missing child drops the row.
+        """
+        kids = (
+            self.placed.filter((F.col("lvl") == k) & F.col("parent").isNotNull())
+            .groupBy("id", F.col("parent").alias(f"l{k - 1}"))
+            .agg(_best_child().alias("_kid"))
+        )
+        taken = F.col("start_lvl") < k
+        if gate is not None:
+            kids = kids.filter(F.col("_kid.prob") >= F.lit(float(gate[k])))
+        rows = rows.join(kids, ["id", f"l{k - 1}"], "left").withColumns(
+            {
+                f"l{k}": F.when(taken, F.col("_kid.label")).otherwise(F.col(f"l{k}")),
+                f"p{k}": F.when(taken, F.col("_kid.prob")).otherwise(F.col(f"p{k}")),
+            }
+        )
+        return rows.drop("_kid") if gate is not None else rows.drop("_kid").filter(F.col(f"l{k}").isNotNull())

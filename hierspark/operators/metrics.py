@@ -122,37 +122,39 @@ def fpr_thresholds(scores: DataFrame, truth: DataFrame, rate: float = FALSE_POSI
     return kth_largest(negatives, rate)
 
 
-def kth_largest(counted: DataFrame, share: float, rounds: int = 3, bits: int = 16) -> DataFrame:
+def kth_largest(counted: DataFrame, share: float, rounds: int = 2, bits: int = 20) -> DataFrame:
     """Exact order statistic per ``lvl`` of values in [0, 1] given as ``(lvl, prob, n)`` counts.
 
     Radix selection: each round counts ``2^bits`` slices of the interval still in question
-    and keeps the one that holds the wanted rank, so no window ever sees more than
-    ``2^bits`` rows per level, however many values there are.  Scaling by powers of two is
-    exact.  The last round orders the distinct values of one slice that is ``2^-(rounds·bits)``
-    wide.
+    and keeps the one that holds the wanted rank, so no window sees more than ``2^bits``
+    rows per level, however many values there are.  Scaling by powers of two is exact.  At
+    the end the distinct values of one slice of width ``2^-(rounds·bits)`` are ordered.
     """
-    totals = counted.groupBy("lvl").agg(F.sum("n").alias("total"))
-    state = totals.select("lvl", "total", F.floor(F.lit(share) * F.col("total")).alias("rank"))
-    rest = counted
-    down = Window.partitionBy("lvl").orderBy(F.desc("slice"))
+    wanted = F.floor(F.lit(share) * F.col("total"))
+    rest = counted.withColumns({"total": F.lit(None).cast("bigint"), "rank": F.lit(None).cast("bigint")})
     for r in range(1, rounds + 1):
         rest = rest.withColumn("slice", F.floor(F.col("prob") * F.lit(float(1 << (bits * r)))))
-        counts = rest.groupBy("lvl", "slice").agg(F.sum("n").alias("here"))
-        # state has one row per level
-        state = (
-            counts.withColumn("upto", F.sum("here").over(down))
-            .join(F.broadcast(state), "lvl")
-            .filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("here") <= F.col("rank")))
-            .select("lvl", "total", (F.col("rank") - (F.col("upto") - F.col("here"))).alias("rank"), "slice")
+        counts = rest.groupBy("lvl", "slice").agg(
+            F.sum("n").alias("n"), F.max("total").alias("total"), F.max("rank").alias("rank")
         )
-        rest = rest.join(F.broadcast(state.select("lvl", "slice")), ["lvl", "slice"]).drop("slice")
-        state = state.drop("slice")
-    down = Window.partitionBy("lvl").orderBy(F.desc("prob"))
+        if r == 1:
+            whole = Window.partitionBy("lvl")
+            counts = counts.withColumn("total", F.sum("n").over(whole)).withColumn("rank", wanted)
+        # one row per level
+        kept = _holding_rank(counts, "slice").select("lvl", "slice", "total", "rank")
+        rest = rest.drop("total", "rank").join(F.broadcast(kept), ["lvl", "slice"])
+    return _holding_rank(rest, "prob").select("lvl", F.col("total").alias("n_negatives"), F.col("prob").alias("threshold"))
+
+
+def _holding_rank(counts: DataFrame, by: str) -> DataFrame:
+    """The row per level that holds zero-based ``rank`` in descending order; ``rank`` becomes relative to it."""
+    down = Window.partitionBy("lvl").orderBy(F.desc(by))
+    before = F.sum("n").over(down) - F.col("n")
     return (
-        rest.withColumn("upto", F.sum("n").over(down))
-        .join(F.broadcast(state), "lvl")
-        .filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("n") <= F.col("rank")))
-        .select("lvl", F.col("total").alias("n_negatives"), F.col("prob").alias("threshold"))
+        counts.withColumn("_before", before)
+        .filter((F.col("_before") <= F.col("rank")) & (F.col("rank") < F.col("_before") + F.col("n")))
+        .withColumn("rank", F.col("rank") - F.col("_before"))
+        .drop("_before")
     )
 
 

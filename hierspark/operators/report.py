@@ -113,4 +113,6 @@ def _taxa(ranks: Sequence[str]) -> dict[str, Column]:
 
 
 def _rank_name(ranks: Sequence[str]) -> Column:
-    return F.element_at(F.array(*[F.lit(r) for r in ranks]), F.col("rank_lvl") + 1)
+    # element_at on an array without nulls is taken as never null, even for a null index
+    name = F.element_at(F.array(*[F.lit(r) for r in ranks]), F.col("rank_lvl") + 1)
+    return F.when(F.col("rank_lvl").isNotNull(), name)

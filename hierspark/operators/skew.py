@@ -16,6 +16,9 @@ def salted_join(
     worked on by several tasks.  The result is partitioned by key *and* slice: a later
     aggregation on the key still combines map-side before its own shuffle.
     """
+    if salts & (salts - 1):
+        raise ValueError("salts must be a power of two")
     slices = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-    left = large.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    # a bit mask is never null, so the join adds no null filter that could split a shared subplan
+    left = large.withColumn("_salt", F.xxhash64(*spread).bitwiseAND(F.lit(salts - 1).cast("bigint")).cast("int"))
     return left.join(small.select("*", slices), [*on, "_salt"], how).drop("_salt")

@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hierspark.functions.probs import softmax
+from hierspark.functions.text import half_up
 from hierspark.operators.combine import with_original
 from hierspark.operators.hierarchy import edges_from_truth
 from hierspark.operators.history import epoch_history
 from hierspark.operators.labels import class_index
+from hierspark.operators.scores import union_all
 from hierspark.operators.skew import salted_join
 
 SHARE_LEVELS = ("region", "nation", "supplier")
@@ -30,46 +32,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def geography(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(supplier, nation, region)``."""
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    return (
-        table(spark, sf_dir, "supplier")
-        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-        .select(
-            F.col("s_suppkey").alias("supplier"),
-            F.col("n_nationkey").cast("bigint").alias("nation"),
-            F.col("n_regionkey").cast("bigint").alias("region"),
-        )
+    return _placed(spark, sf_dir, table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "supplier")).select(
+        "supplier", "nation", "region"
     )
 
 
-def bought(spark: SparkSession, sf_dir: str, by: str = "o_custkey") -> DataFrame:
-    """``(id, supplier, qty)``: quantities per buyer and supplier."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return (
-        items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(F.col(by).alias("id"), F.col("l_suppkey").alias("supplier"))
-        .agg(F.sum("l_quantity").alias("qty"))
+def _placed(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Add ``nation`` and ``region`` for ``s_nationkey``."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    return rows.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).withColumns(
+        {"nation": F.col("n_nationkey").cast("bigint"), "region": F.col("n_regionkey").cast("bigint")}
     )
 
 
-def share_scores(spark: SparkSession, sf_dir: str, levels: int = N_SHARE) -> DataFrame:
-    """``scores(id, lvl, label, ord, prob)`` of the first ``levels`` levels.
+def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(o_custkey, o_orderkey, qty, supplier, nation, region)``, one row per line item.
 
-    All levels and the total come from one pass over the quantities per buyer and supplier.
+    A supplier may sell a large share of all items, so that join is salted.
     """
-    leaf = bought(spark, sf_dir).join(geography(spark, sf_dir), "supplier")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("supplier"), F.col("l_quantity").alias("qty"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    sold = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier"), "s_nationkey")
+    return _placed(spark, sf_dir, salted_join(sold, suppliers, ["supplier"], ["o_orderkey"]))
+
+
+def share_scores(spark: SparkSession, sf_dir: str, levels: int = N_SHARE) -> DataFrame:
+    """``scores(id, lvl, label, ord, prob)`` of the first ``levels`` levels."""
+    leaf = purchases(spark, sf_dir).withColumnRenamed("o_custkey", "id")
     return shares(leaf, SHARE_LEVELS[:levels])
 
 
 def shares(leaf: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Scores from ``(id, qty, <label column per level>)``: share of each label in its id's total."""
-    sets = [[F.col("id")], *[[F.col("id"), F.col(n)] for n in names]]
-    sums = leaf.groupingSets(sets, "id", *names).agg(F.sum("qty").alias("qty"))
-    lvl = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(k)) for k, n in enumerate(names)])
-    sums = sums.select("id", lvl.alias("lvl"), F.coalesce(*names).alias("label"), "qty")
-    totals = sums.filter("lvl IS NULL").select("id", F.col("qty").alias("total"))
-    return salted_join(sums.filter("lvl IS NOT NULL"), totals, ["id"], ["lvl", "label"]).select(
+    """Scores from ``(id, qty, <label column per level>)``: share of each label in its id's total.
+
+    Each level is summed from the level below it and the total from the root level, so the
+    detail rows are shuffled once, already combined per label.
+    """
+    sums, level = [], leaf
+    for k in reversed(range(len(names))):
+        level = level.groupBy("id", *names[: k + 1]).agg(F.sum("qty").alias("qty"))
+        sums.append(level.select("id", F.lit(k).alias("lvl"), F.col(names[k]).alias("label"), "qty"))
+    totals = level.groupBy("id").agg(F.sum("qty").alias("total"))
+    return salted_join(union_all(sums), totals, ["id"], ["lvl", "label"]).select(
         "id", "lvl", "label", F.col("label").cast("int").alias("ord"), (F.col("qty") / F.col("total")).alias("prob")
     )
 
@@ -247,14 +252,8 @@ def image_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Region shares of every order; an order is a tile ``<customer>_<order>.jpg`` of its customer."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     name = F.concat(F.col("o_custkey").cast("string"), F.lit("_"), F.col("o_orderkey").cast("string"), F.lit(".jpg"))
-    leaf = (
-        items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(geography(spark, sf_dir).withColumnRenamed("supplier", "l_suppkey"), "l_suppkey")
-        .select(name.alias("id"), "region", F.col("l_quantity").alias("qty"))
-    )
+    leaf = purchases(spark, sf_dir).select(name.alias("id"), "region", "qty")
     return with_original(shares(leaf, ("region",)), delimiter="_")
 
 
@@ -283,7 +282,7 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("events").alias("run"),
         day.alias("epoch"),
         phase.alias("phase"),
-        F.round(F.col("value") * 100).alias("loss"),
+        F.floor(F.col("value") * 100.0 + 0.5).cast("double").alias("loss"),
         (F.col("value") > 50).alias("correct"),
     )
 
@@ -297,7 +296,7 @@ def training_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         training_rows(spark, sf_dir).withColumn("run", F.concat(F.lit("month_"), F.floor(F.col("epoch") / 31).cast("string")))
     )
     def show(name: str, phase: str):
-        value = F.max(F.when(F.col("phase") == phase, F.round(name, 4)))
+        value = F.max(F.when(F.col("phase") == phase, half_up(F.col(name), 4)))
         return F.coalesce(value, F.lit(0.0)).cast("decimal(18,4)").cast("string")
 
     lines = figures.groupBy("run", "epoch").agg(

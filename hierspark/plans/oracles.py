@@ -4,6 +4,8 @@ Written from the definitions, level by level with windows and joins, not from th
 operators work.  Doubles are rounded to six digits at the end.
 """
 
+import re
+
 from hierspark.plans.queries import THRESHOLDS
 
 T0, T1, T2 = (f"{t:e}" for t in THRESHOLDS)
@@ -106,7 +108,7 @@ sm AS (SELECT id, truth, pos, e / sum(e) OVER (PARTITION BY id) AS prob, d - ln(
 STEPS = """
 steps AS (SELECT 'events' AS run, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS epoch,
                  CASE WHEN event_type IN ('click', 'view') THEN 'train' ELSE 'val' END AS phase,
-                 round(value * 100) AS loss, CASE WHEN value > 50 THEN 1e0 ELSE 0e0 END AS ok FROM events),
+                 floor(value * 1e2 + 5e-1) AS loss, CASE WHEN value > 50 THEN 1e0 ELSE 0e0 END AS ok FROM events),
 hist AS (SELECT run, epoch, phase, count(*) AS n_rows, avg(loss) AS loss, avg(ok) AS acc FROM steps GROUP BY ALL)"""
 
 _MODEL_LEVELS = ((0, 41, 2), (1, 31, 5), (2, 1, 10))
@@ -136,7 +138,7 @@ _NAMES = """JOIN rname r ON r.k = b.l0 LEFT JOIN nname n ON n.k = b.l1 LEFT JOIN
 _SHORT = """'Plantae' AS kingdom, r.phylum AS phyla, '' AS "class", '' AS "order", coalesce(r.name, '') AS family,
     coalesce(n.name, '') AS genus, coalesce(s.name, '') AS species_epithet"""
 
-ORACLES: dict[str, str] = {
+_QUERIES: dict[str, str] = {
     "best_path": _with(SHARES, TREE, CANDIDATES) + _BEST_PATH,
     "best_path_by_joins": _with(SHARES, TREE, CANDIDATES) + _BEST_PATH,
     "decode_model_scores": _with(MODELS, TREE, CANDIDATES) + _BEST_PATH,
@@ -229,7 +231,7 @@ ORACLES: dict[str, str] = {
     "label_list_explode": """
         SELECT n_regionkey AS lvl, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY CAST(n_nationkey AS VARCHAR)) - 1 AS INTEGER) AS pos,
                CAST(n_nationkey AS BIGINT) AS label, 'list' AS sorted_by FROM nation
-        UNION ALL SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1, n_nationkey, 'number' FROM nation""",
+        UNION ALL SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER), n_nationkey, 'number' FROM nation""",
     "label_decode": _with(LOGITS)
     + """, tr AS (SELECT CAST(row_number() OVER (ORDER BY CAST(code AS VARCHAR)) - 1 AS INTEGER) AS pos, CAST(code AS BIGINT) AS label
                   FROM (SELECT DISTINCT label * 3 + 1 AS code FROM embeddings)),
@@ -327,3 +329,13 @@ ORACLES: dict[str, str] = {
         WITH c AS (SELECT CAST(label AS BIGINT) AS label, count(*) AS n FROM embeddings GROUP BY label)
         SELECT label, CAST(f AS INTEGER) AS fold, (n + 4 - f) // 5 AS n_rows FROM c CROSS JOIN range(5) r(f) WHERE (n + 4 - f) // 5 > 0""",
 }
+
+
+def _half_up(sql: str) -> str:
+    """``round(x, d)`` spelled out, so that exact ties round the same way in every engine."""
+    return re.sub(
+        r"round\(((?:(?!, [46]\)).)*), ([46])\)", r"(floor((\1) * 1e\2 + 5e-1) / 1e\2)", sql, flags=re.DOTALL
+    )
+
+
+ORACLES: dict[str, str] = {name: _half_up(sql) for name, sql in _QUERIES.items()}

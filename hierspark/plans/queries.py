@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hierspark.functions import ids, paths, probs
+from hierspark.functions.text import half_up
 from hierspark.operators import classify, combine, decode, hierarchy, history, labels, metrics, reduce, report, scores
 from hierspark.plans import blocks as B
 from hierspark.sinks import writers
@@ -24,7 +25,7 @@ def query(fn):
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return df.withColumns({c: half_up(F.col(c), 6) for c in columns})
 
 
 def _flat(decoded: DataFrame, *keep: str) -> DataFrame:
@@ -294,7 +295,7 @@ def label_decode(spark, sf):
     outputs = (
         B.logits(spark, sf)
         .select("id", probs.softmax(F.col("logits")).alias("probs"))
-        .select("id", F.lit(0).alias("lvl"), pos.alias("pos"), F.round(top, 6).alias("conf"))
+        .select("id", F.lit(0).alias("lvl"), pos.alias("pos"), half_up(top, 6).alias("conf"))
     )
     decoded = labels.decode_output(outputs, B.output_labels(spark, sf), B.output_encodings(spark, sf))
     return decoded.select("id", "pos", "label", "taxon_id", "conf")
