@@ -34,6 +34,12 @@ def floor_prob(prob: Column, threshold) -> Column:
     return F.when(prob < t, F.lit(0.0)).otherwise(prob)
 
 
+def floor_uniform(values: Column) -> Column:
+    """Zero the elements below ``1 / size`` of a full score array."""
+    limit = F.lit(1.0) / F.size(values)
+    return F.transform(values, lambda x: floor_prob(x, limit))
+
+
 def product(values: Column) -> Column:
     return F.aggregate(values, F.lit(1.0), lambda a, x: a * x)
 

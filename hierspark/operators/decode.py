@@ -37,16 +37,14 @@ def best_path(
     Ties go to the shallowest start.  An id whose candidates all score 0 has no row, so
     zero scores are dropped before anything is shuffled.
     """
-    best = _tree(scores.filter("prob > 0"), edges, n_levels, strategy).best()
-    return best.select("id", "start_lvl", P.path_of(n_levels).alias("path"), "conf")
+    return best_of(_tree(scores.filter("prob > 0"), edges, n_levels, strategy))
 
 
 def candidates(
     scores: DataFrame, edges: DataFrame, n_levels: int, strategy: str = "auto"
 ) -> DataFrame:
     """``(id, start_lvl, path, conf)``, one row for every start level that has a full path."""
-    rows = _tree(scores, edges, n_levels, strategy).rows(range(n_levels))
-    return rows.select("id", "start_lvl", P.path_of(n_levels).alias("path"), _path_score(n_levels).alias("conf"))
+    return candidates_of(_tree(scores, edges, n_levels, strategy))
 
 
 def descend(
@@ -74,16 +72,29 @@ def gated_descent(
     blanked at the end if it is below its own threshold.  ``score`` is the product of the
     kept probabilities, 1 when none is kept.
     """
-    n_levels = len(thresholds)
-    if min(thresholds) > 0:
-        scores = scores.filter("prob > 0")
-    rows = _tree(scores, edges, n_levels, strategy).rows([0], up=False, gate=thresholds)
+    if min(thresholds[1:], default=0) > 0:
+        # the root is exempt from its gate, so a root score of 0 still leads the way
+        scores = scores.filter("lvl = 0 OR prob > 0")
+    return gated_of(_tree(scores, edges, len(thresholds), strategy), thresholds)
+
+
+def best_of(tree) -> DataFrame:
+    return tree.best().select("id", "start_lvl", P.path_of(tree.n).alias("path"), "conf")
+
+
+def candidates_of(tree) -> DataFrame:
+    rows = tree.rows(range(tree.n))
+    return rows.select("id", "start_lvl", P.path_of(tree.n).alias("path"), _path_score(tree.n).alias("conf"))
+
+
+def gated_of(tree, thresholds: Sequence[float]) -> DataFrame:
+    rows = tree.rows([0], up=False, gate=thresholds)
     root_ok = F.col("p0") >= F.lit(float(thresholds[0]))
     rows = rows.withColumns({"l0": F.when(root_ok, F.col("l0")), "p0": F.when(root_ok, F.col("p0"))})
     score = F.lit(1.0)
-    for k in range(n_levels):
+    for k in range(tree.n):
         score = score * F.coalesce(f"p{k}", F.lit(1.0))
-    return rows.select("id", *_level_columns(n_levels), score.alias("score"))
+    return rows.select("id", *_level_columns(tree.n), score.alias("score"))
 
 
 def gated_backfill(gated: DataFrame, edges: DataFrame, n_levels: int) -> DataFrame:
@@ -164,12 +175,39 @@ def _path_score(n_levels: int, prefix: str = "") -> Column:
     return F.pow(total, F.lit(1.0 / n_levels))
 
 
-class _FoldTree:
-    """Per-id maps: ``kids{k}`` parent -> best child at level k, ``node{k}`` label -> (prob, parent).
+class RowTree:
+    """All start levels walked side by side in one row per id, in columns such as ``s2_l0``.
 
-    All start levels are walked side by side in one row, in columns such as ``s2_l0``.
+    A subclass supplies ``n``, the number of levels, and ``_walk``.
     """
 
+    def rows(self, starts: Sequence[int], up: bool = True, down: bool = True, gate: Sequence[float] | None = None) -> DataFrame:
+        """``(id, start_lvl, l0, p0, …)``; only complete rows unless gated."""
+        walked = self._walk(starts, up, down, gate)
+        per_start = [F.struct(F.lit(s).alias("start_lvl"), *self._row(s, up, down)) for s in starts]
+        out = walked.select("id", F.inline(F.array(*per_start)))
+        needed = [f"p{starts[0]}"] if gate is not None else [c for c in out.columns if c.startswith("p")]
+        return out.dropna("any", subset=needed)
+
+    def best(self) -> DataFrame:
+        found = [
+            F.struct(_path_score(self.n, f"s{s}_").alias("conf"), F.lit(-s).alias("_rev"), F.lit(s).alias("start_lvl"), *self._row(s))
+            for s in range(self.n)
+        ]
+        best = F.array_max(F.filter(F.array(*found), lambda c: c["conf"] > 0))
+        # a generator drops ids without a path; a filter would be pushed down the whole walk,
+        # repeating its expressions at every step
+        kept = F.filter(F.array(best), lambda c: c.isNotNull())
+        return self._walk(range(self.n)).select("id", F.inline(kept)).drop("_rev")
+
+    def _row(self, s: int, up: bool = True, down: bool = True) -> list[Column]:
+        levels = range(0 if up else s, self.n if down else s + 1)
+        return [F.col(f"s{s}_{c}{k}").alias(f"{c}{k}") for k in levels for c in ("l", "p")]
+
+
+class _FoldTree(RowTree):
+    """Per-id maps: ``kids{k}`` parent -> best child at level k, ``node{k}`` label -> (prob, parent)."""
+
     def __init__(self, placed: DataFrame, n_levels: int):
         self.n = n_levels
         node = F.struct("label", F.struct("prob", "parent").alias("at"))
@@ -190,27 +228,6 @@ class _FoldTree:
                 aggs.append(F.map_from_entries(listed).alias(f"node{k}"))
         self.df = by_parent.groupBy("id").agg(*aggs)
 
-    def rows(self, starts: Sequence[int], up: bool = True, down: bool = True, gate: Sequence[float] | None = None) -> DataFrame:
-        """``(id, start_lvl, l0, p0, …)``; only complete rows unless gated."""
-        walked = self._walk(starts, up, down, gate)
-        per_start = [F.struct(F.lit(s).alias("start_lvl"), *self._row(s, up, down)) for s in starts]
-        out = walked.select("id", F.inline(F.array(*per_start)))
-        needed = [f"p{starts[0]}"] if gate is not None else [c for c in out.columns if c.startswith("p")]
-        return out.dropna("any", subset=needed)
-
-    def best(self) -> DataFrame:
-        found = [
-            F.struct(_path_score(self.n, f"s{s}_").alias("conf"), F.lit(-s).alias("_rev"), F.lit(s).alias("start_lvl"), *self._row(s))
-            for s in range(self.n)
-        ]
-        best = F.array_max(F.filter(F.array(*found), lambda c: c["conf"] > 0))
-        walked = self._walk(range(self.n)).select("id", best.alias("b")).filter("b IS NOT NULL")
-        return walked.select("id", "b.*").drop("_rev")
-
-    def _row(self, s: int, up: bool = True, down: bool = True) -> list[Column]:
-        levels = range(0 if up else s, self.n if down else s + 1)
-        return [F.col(f"s{s}_{c}{k}").alias(f"{c}{k}") for k in levels for c in ("l", "p")]
-
     def _walk(
         self, starts: Sequence[int], up: bool = True, down: bool = True, gate: Sequence[float] | None = None
     ) -> DataFrame:

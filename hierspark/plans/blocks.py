@@ -317,17 +317,19 @@ MODEL_SLICES = ((41, 2), (31, 5), (1, 10))
 LOGIT_SCALE = 8.0
 
 
-def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Softmax scores of three independent models over 2, 5 and 10 labels."""
-    rows = table(spark, sf_dir, "embeddings")
-    levels = [
-        F.struct(
-            F.lit(k).alias("lvl"),
-            softmax(F.transform(F.slice("embedding", first, n), lambda x: x.cast("double") * LOGIT_SCALE)).alias("probs"),
-        )
+def model_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(id, probs0, probs1, probs2)``: softmax scores of three independent models over 2, 5 and 10 labels."""
+    cells = [
+        softmax(F.transform(F.slice("embedding", first, n), lambda x: x.cast("double") * LOGIT_SCALE)).alias(f"probs{k}")
         for k, (first, n) in enumerate(MODEL_SLICES)
     ]
-    per_level = rows.select(F.col("vec_id").alias("id"), F.inline(F.array(*levels)))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), *cells)
+
+
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores as a long table."""
+    levels = [F.struct(F.lit(k).alias("lvl"), F.col(f"probs{k}").alias("probs")) for k in range(len(MODEL_SLICES))]
+    per_level = model_arrays(spark, sf_dir).select("id", F.inline(F.array(*levels)))
     return per_level.select("id", "lvl", F.posexplode("probs").alias("ord", "prob")).select(
         "id", "lvl", F.col("ord").cast("bigint").alias("label"), "ord", "prob"
     )

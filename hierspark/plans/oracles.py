@@ -142,6 +142,7 @@ _QUERIES: dict[str, str] = {
     "best_path": _with(SHARES, TREE, CANDIDATES) + _BEST_PATH,
     "best_path_by_joins": _with(SHARES, TREE, CANDIDATES) + _BEST_PATH,
     "decode_model_scores": _with(MODELS, TREE, CANDIDATES) + _BEST_PATH,
+    "decode_score_arrays": _with(MODELS, TREE, CANDIDATES) + _BEST_PATH,
     "descend": _with(SHARES, TREE, CANDIDATES) + f"SELECT id, {_PATH} FROM cand WHERE start_lvl = 0",
     "backfill": _with(SHARES, TREE, CANDIDATES) + f"SELECT id, {_PATH} FROM cand WHERE start_lvl = 2",
     "path_score": _with(SHARES, TREE, CANDIDATES)

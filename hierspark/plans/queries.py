@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hierspark.functions import ids, paths, probs
 from hierspark.functions.text import half_up
-from hierspark.operators import classify, combine, decode, hierarchy, history, labels, metrics, reduce, report, scores
+from hierspark.operators import classify, combine, decode, dense, hierarchy, history, labels, metrics, reduce, report, scores
 from hierspark.plans import blocks as B
 from hierspark.sinks import writers
 from hierspark.sources import files, logs, trainlog
@@ -59,6 +59,15 @@ def decode_model_scores(spark, sf):
     return rounded(_flat(found, "start_lvl", "conf"), "conf")
 
 
+@query
+def decode_score_arrays(spark, sf):
+    """The same scores kept as one array per level."""
+    arrays = B.model_arrays(spark, sf)
+    floored = arrays.withColumns({c: probs.floor_uniform(F.col(c)) for c in arrays.columns[1:]})
+    index = dense.label_index(B.model_trained(spark), B.model_edges(spark), len(B.MODEL_SLICES))
+    return rounded(_flat(dense.best_path(floored, index), "start_lvl", "conf"), "conf")
+
+
 @query
 def descend(spark, sf):
     return _flat(decode.descend(B.share_scores(spark, sf), B.share_edges(spark, sf), B.N_SHARE))
