@@ -78,6 +78,11 @@ def truth_unmatched(scores: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
+def keep_level(features: DataFrame, level: str, levels: Sequence[str]) -> DataFrame:
+    """One level's training table: its label column and all features, without the other labels."""
+    return features.drop(*[x for x in levels if x != level])
+
+
 def assign_split(table: DataFrame, split_ids: DataFrame) -> DataFrame:
     """Rows of ``table`` whose id is listed in ``split_ids(id, split, …)``, with the listed columns."""
     return table.join(split_ids, "id")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from hierspark.functions import paths as P
 from hierspark.operators.hierarchy import nodes
+from hierspark.operators.skew import salted_join
 
 FOLD_LIMIT = 20_000
 
@@ -150,7 +151,8 @@ def _tree(scores: DataFrame, edges: DataFrame, n_levels: int, strategy: str):
         strategy = "fold" if parents_fit(edges) else "join"
     if strategy not in ("fold", "join"):
         raise ValueError(f"unknown strategy: {strategy}")
-    placed = scores.filter(F.col("lvl") < n_levels).join(nodes(edges), ["lvl", "label"], "left")
+    # the few labels near the root occur for every id, so their rows are spread by id
+    placed = salted_join(scores.filter(F.col("lvl") < n_levels), nodes(edges), ["lvl", "label"], ["id"], how="left")
     return (_FoldTree if strategy == "fold" else _JoinTree)(placed, n_levels)
 
 

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hierspark.operators.skew import salted_join
+
 
 def explode_label_list(lists: DataFrame, numeric_order: bool = False) -> DataFrame:
     """``trained(lvl, pos, label)`` from ``(lvl, labels)`` rows with a comma list.
@@ -44,9 +46,12 @@ def class_index(rows: DataFrame, label: str) -> DataFrame:
 
 
 def with_names(paths: DataFrame, names: DataFrame, n_levels: int, how: str = "left") -> DataFrame:
-    """Add ``name0, name1, …`` for the label columns ``l0, l1, …``."""
+    """Add ``name0, name1, …`` for the label columns ``l0, l1, …``.
+
+    One label may win for a large share of the ids, so its rows are spread by id.
+    """
     out = paths
     for k in range(n_levels):
         at = names.filter(F.col("lvl") == k).select(F.col("label").alias(f"l{k}"), F.col("name").alias(f"name{k}"))
-        out = out.join(at, f"l{k}", how)
+        out = salted_join(out, at, [f"l{k}"], ["id"], how=how)
     return out

@@ -121,6 +121,13 @@ def test_truth_of_tiles(spark):
     assert rows(combine.truth_unmatched(tiles, truth), "id", "orig_id") == [("2.jpg", "2")]
 
 
+def test_level_tables_and_splits(spark):
+    table = spark.createDataFrame([("1", 3, 4, 0.5), ("2", 3, 5, 0.25)], "id STRING, class INT, order INT, class_3 DOUBLE")
+    members = spark.createDataFrame([("1", "train"), ("9", "valid")], "id STRING, split STRING")
+    one = combine.keep_level(combine.assign_split(table, members), "order", ["class", "order"])
+    assert one.columns == ["id", "order", "class_3", "split"] and rows(one, *one.columns) == [("1", 4, 0.5, "train")]
+
+
 def test_labels(spark):
     lists = spark.createDataFrame([(0, "1,10,2")], "lvl INT, labels STRING")
     assert rows(labels.explode_label_list(lists), "pos", "label") == [(0, 1), (1, 10), (2, 2)]
