@@ -145,13 +145,25 @@ def raise_if_any(bad: DataFrame, what: str) -> None:
 
 
 def nodes(edges: DataFrame) -> DataFrame:
-    """Every label of the hierarchy: ``(lvl, label, parent, child_ord, is_parent)``."""
+    """Every label of the hierarchy once: ``(lvl, label, parent, child_ord, is_parent)``.
+
+    A union and an aggregate rather than a join: its estimated size stays that of the edges,
+    so Spark can still see that a small hierarchy fits a broadcast.
+    """
     as_child = edges.select(
-        (F.col("lvl") + 1).alias("lvl"), F.col("child").alias("label"), "parent", F.col("ord").alias("child_ord")
+        (F.col("lvl") + 1).alias("lvl"),
+        F.col("child").alias("label"),
+        F.struct(F.col("parent").alias("parent"), F.col("ord").cast("bigint").alias("child_ord")).alias("above"),
+        F.lit(False).alias("is_parent"),
     )
-    as_parent = edges.select("lvl", F.col("parent").alias("label")).distinct().withColumn("_p", F.lit(True))
-    return as_child.join(as_parent, ["lvl", "label"], "full").select(
-        "lvl", "label", "parent", "child_ord", F.coalesce("_p", F.lit(False)).alias("is_parent")
+    as_parent = edges.select(
+        "lvl", F.col("parent").alias("label"), F.lit(None).cast("struct<parent: bigint, child_ord: bigint>").alias("above"), F.lit(True).alias("is_parent")
+    )
+    return (
+        as_child.union(as_parent)
+        .groupBy("lvl", "label")
+        .agg(F.min("above").alias("above"), F.max("is_parent").alias("is_parent"))
+        .select("lvl", "label", "above.parent", "above.child_ord", "is_parent")
     )
 
 
