@@ -1,0 +1 @@
+"""Hierarchical classification results on Spark: combine, decode, score, report."""
