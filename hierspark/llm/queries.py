@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hierspark.llm import chat, langid, sentencepiece_bpe, token_files, toxic, urls
+from hierspark.llm import chat, decontaminate, imatch, langid, sentencepiece_bpe, token_files, toxic, urls
 from hierspark.llm.util import bucket, shared_folder
 
 # Rules and the literal conversation of the query's contract.
@@ -29,6 +29,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", F.size("raw").cast("bigint").alias("n_tokens"), digest.alias("ids_crc32"), (F.col("decoded") == F.col("text")).alias("lossless"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold a benchmark item, with the item."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = bucket(F.col("doc_id"), HELD_OUT_LANG) == 1
@@ -40,6 +45,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "token-ids")
     token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), END_ID)
@@ -59,4 +68,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_records(chat.records_of(turns)))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op4_language_id, op5_url_filter, op8_token_files, op9_toxicity, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_decontaminate, op4_language_id, op5_url_filter, op7_fingerprint, op8_token_files, op9_toxicity, op10_chat_format)}
