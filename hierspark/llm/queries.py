@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hierspark.llm import chat, decontaminate, imatch, langid, sentencepiece_bpe, token_files, toxic, urls
+from hierspark.llm import chat, decontaminate, html, imatch, langid, sentencepiece_bpe, token_files, toxic, urls
 from hierspark.llm.util import bucket, shared_folder
 
 # Rules and the literal conversation of the query's contract.
@@ -45,6 +45,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -68,4 +72,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_records(chat.records_of(turns)))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_decontaminate, op4_language_id, op5_url_filter, op7_fingerprint, op8_token_files, op9_toxicity, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_decontaminate, op4_language_id, op5_url_filter, op6_html_text, op7_fingerprint, op8_token_files, op9_toxicity, op10_chat_format)}
