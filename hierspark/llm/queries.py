@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hierspark.llm import chat, decontaminate, html, imatch, langid, sentencepiece_bpe, token_files, toxic, urls
+from hierspark.llm import chat, decontaminate, html, imatch, langid, ngram_join, sentencepiece_bpe, token_files, toxic, urls
 from hierspark.llm.util import bucket, shared_folder
 
 # Rules and the literal conversation of the query's contract.
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids with merge-dropout of every document, and whether they decode to the text."""
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -72,4 +76,4 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_records(chat.records_of(turns)))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_decontaminate, op4_language_id, op5_url_filter, op6_html_text, op7_fingerprint, op8_token_files, op9_toxicity, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_decontaminate, op4_language_id, op5_url_filter, op6_html_text, op7_fingerprint, op8_token_files, op9_toxicity, op10_chat_format)}
