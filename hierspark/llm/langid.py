@@ -142,7 +142,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim:
     return Profiles(langs, vectors / np.where(norms > 0, norms, 1), dim, seed)
 
 
-def _predict(batches: Iterator[pa.RecordBatch], profiles: Profiles) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], profiles: Profiles, prefix: str) -> Iterator[pa.RecordBatch]:
     space = Space(profiles.dim, profiles.seed)
     prototypes = profiles.vectors.astype(np.float32)
     for batch in pieces(batches, 1):
@@ -167,17 +167,16 @@ def _predict(batches: Iterator[pa.RecordBatch], profiles: Profiles) -> Iterator[
             best = int(np.argmax(cosines))
             langs.append(profiles.langs[best])
             scores.append(float(min(1.0, max(0.0, cosines[best]))))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[batch.schema.names[0], "lang_pred", "score"])
+        columns = [batch.column(0), *batch.columns[2:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[0], *batch.schema.names[2:], f"{prefix}lang_pred", f"{prefix}score"])
 
 
-def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return (id, lang_pred, score), one row per input row; the score is the cosine, cut at 0.
+def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """Return (id, kept columns, lang_pred, score), one row per input row; the score is the cosine, cut at 0.
 
     NULL and empty texts, texts without letters, and all texts if nothing was learned, are ``und`` with score 0.
-    Equal cosines go to the first language by name.  Other columns are ignored.
+    Equal cosines go to the first language by name.  Other columns are ignored.  ``prefix`` goes before the new names.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col))
-    schema = T.StructType([rows.schema[0], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(lambda batches: _predict(batches, profiles), schema)
-
-
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), *(F.col(c) for c in keep))
+    schema = T.StructType([rows.schema[0], *rows.schema.fields[2:], T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType())])
+    return rows.mapInArrow(lambda batches: _predict(batches, profiles, prefix), schema)

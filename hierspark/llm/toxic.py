@@ -201,20 +201,21 @@ def learn(rows: DataFrame, text_col: str = "text", label_col: str = "toxic", lea
     return Lexicon(lexicon.weights, lexicon.exceptions, slope, offset)
 
 
-def _score(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, prefix: str) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, 1):
         scores = [lexicon.score(t) for t in fold_all(texts_of(batch, 1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=[batch.schema.names[0], "score", "predicted"])
+        columns = [batch.column(0), *batch.columns[2:], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[0], *batch.schema.names[2:], f"{prefix}score", f"{prefix}predicted"])
 
 
-def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return (id, score, predicted), one row per input row; NULL and empty texts have the score of a text without hits.
+def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
+    """Return (id, kept columns, score, predicted), one row per input row; NULL and empty texts have the score of a text without hits.
 
-    Repeated rows are scored each; other columns are ignored.
+    Repeated rows are scored each; other columns are ignored.  ``prefix`` goes before the new names.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col))
-    schema = T.StructType([rows.schema[0], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return rows.mapInArrow(lambda batches: _score(batches, lexicon), schema)
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), *(F.col(c) for c in keep))
+    schema = T.StructType([rows.schema[0], *rows.schema.fields[2:], T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}predicted", T.IntegerType())])
+    return rows.mapInArrow(lambda batches: _score(batches, lexicon, prefix), schema)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000) -> DataFrame:
