@@ -20,23 +20,23 @@ ORACLE_SQL = None
 
 def without(docs: DataFrame, ids: DataFrame, key: Column | None = None) -> DataFrame:
     """The rows whose key is not listed.  A list of up to a counted two million ids is broadcast, a longer one shuffled."""
-    listed = broadcast_up_to(ids.select(F.col("doc_id").alias("_out")).distinct(), BROADCAST_IDS)
-    return docs.join(listed, (F.col("doc_id") if key is None else key) == F.col("_out"), "left_anti")
+    listed = broadcast_up_to(ids.select(F.col("doc_id").alias("__out")).distinct(), BROADCAST_IDS)
+    return docs.join(listed, (F.col("doc_id") if key is None else key) == F.col("__out"), "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon, learned from the labels of these documents, does not call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     lexicon = toxic.learn(toxic.labelled(docs, labels))
-    scored = toxic.score(docs, lexicon, keep=tuple(c for c in docs.columns if c != "doc_id"), prefix="_")
-    return scored.where("_predicted = 0").select(docs.columns)
+    scored = toxic.score(docs, lexicon, keep=tuple(c for c in docs.columns if c != "doc_id"), prefix="__")
+    return scored.where("__predicted = 0").select(docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that resemble a language of these documents; those without letters, or like none, go."""
     profiles = langid.learn(docs)
-    found = langid.predict(docs, profiles, keep=tuple(c for c in docs.columns if c != "doc_id"), prefix="_")
-    return found.where((F.col("_lang_pred") != langid.UNKNOWN) & (F.col("_score") > 0)).select(docs.columns)
+    found = langid.predict(docs, profiles, keep=tuple(c for c in docs.columns if c != "doc_id"), prefix="__")
+    return found.where((F.col("__lang_pred") != langid.UNKNOWN) & (F.col("__score") > 0)).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if repeated.isEmpty():
         return once
     first = Window.partitionBy("doc_id").orderBy(*(F.col(c) for c in docs.columns if c != "doc_id"))
-    same = once.join(repeated, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).where("_row = 1").select(docs.columns)
+    same = once.join(repeated, "doc_id", "left_semi").withColumn("__row", F.row_number().over(first)).where("__row = 1").select(docs.columns)
     return without(once, repeated).unionByName(same)
 
 

@@ -177,6 +177,6 @@ def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_co
     NULL and empty texts, texts without letters, and all texts if nothing was learned, are ``und`` with score 0.
     Equal cosines go to the first language by name.  Other columns are ignored.  ``prefix`` goes before the new names.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), *(F.col(c) for c in keep))
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"), *(F.col(c) for c in keep))
     schema = T.StructType([rows.schema[0], *rows.schema.fields[2:], T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType())])
     return rows.mapInArrow(lambda batches: _predict(batches, profiles, prefix), schema)

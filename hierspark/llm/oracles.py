@@ -37,3 +37,52 @@ SELECT conv_id, count(*) AS n_turns,
   sum(length('<|im_start|>') + length(name) + 1 + length(body) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
 FROM escaped GROUP BY conv_id
 """
+
+ORACLES["op1_ngram_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(CASE
+    WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+classes AS (SELECT min(doc_id) AS class_id, s FROM sets WHERE len(s) > 0 GROUP BY s),
+tokens AS MATERIALIZED (SELECT class_id, len(s) AS n, unnest(s) AS t FROM classes),
+common AS (
+  SELECT a.class_id AS x, b.class_id AS y, a.n AS na, b.n AS nb, count(*) AS c
+  FROM tokens a JOIN tokens b ON a.t = b.t AND a.class_id < b.class_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY ALL),
+links AS MATERIALIZED (SELECT x, y FROM common WHERE 100 * c >= 90 * (na + nb - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(node, root) AS (
+  SELECT class_id, class_id FROM classes
+  UNION SELECT e.y, r.root FROM reach r JOIN edges e ON r.node = e.x),
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(c.class_id, s.doc_id) AS class_id, coalesce(r.root, s.doc_id) AS component_id
+FROM sets s LEFT JOIN classes c ON s.s = c.s LEFT JOIN roots r ON r.node = c.class_id
+"""
+
+ORACLES["op3_decontaminate"] = r"""
+WITH masks(mask, span, places) AS (VALUES (1, 7, [0, 1, 2, 4, 5, 6]), (2, 8, [0, 1, 3, 4, 6, 7]), (3, 10, [0, 1, 3, 4, 7, 8, 9])),
+d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+b AS MATERIALIZED (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+doc_windows AS (
+  SELECT doc_id, pos, mask, array_to_string(list_transform(places, lambda p: w[pos + p + 1]), ' ') AS key
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 6)) AS pos FROM d), masks WHERE pos + span <= len(w)),
+item_windows AS (
+  SELECT item_id, pos, mask, array_to_string(list_transform(places, lambda p: w[pos + p + 1]), ' ') AS key
+  FROM (SELECT item_id, w, unnest(range(0, len(w) - 6)) AS pos FROM b), masks WHERE pos + span <= len(w)),
+hits AS (
+  SELECT DISTINCT doc_id, item_id, x.pos - y.pos AS diag FROM doc_windows x JOIN item_windows y USING (mask, key)),
+aligned AS (
+  SELECT doc_id, item_id, diag, len(b.w) AS n,
+    list_transform(range(0, len(b.w)), lambda k: CASE WHEN diag + k >= 0 AND d.w[greatest(diag + k, 0) + 1] = b.w[k + 1] THEN 1 ELSE 0 END) AS same
+  FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
+judged AS (
+  SELECT doc_id, item_id, diag, n, list_sum(same) AS m,
+    coalesce(list_max(list_transform(range(1, n - 14), lambda k: list_sum(same[k:k + 15]))), 0) AS best FROM aligned),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY m DESC, diag) AS r
+  FROM judged WHERE m >= 0.6 * n OR best >= 13)
+SELECT doc_id, item_id, n::INTEGER AS item_words, m::INTEGER AS matches, diag::INTEGER AS start FROM ranked WHERE r = 1
+"""

@@ -213,7 +213,7 @@ def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: s
 
     Repeated rows are scored each; other columns are ignored.  ``prefix`` goes before the new names.
     """
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), *(F.col(c) for c in keep))
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"), *(F.col(c) for c in keep))
     schema = T.StructType([rows.schema[0], *rows.schema.fields[2:], T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}predicted", T.IntegerType())])
     return rows.mapInArrow(lambda batches: _score(batches, lexicon, prefix), schema)
 
