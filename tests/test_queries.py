@@ -6,9 +6,10 @@ import pytest
 from compare import database, differences
 
 import __spark_entry__ as entry
+from hierspark.plans.oracles import ORACLES
+from hierspark.plans.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-ORACLES = entry.oracle_sql()
 ROWS_ONLY = {"pca_fit", "pca_variance", "pca_project", "logreg_fit", "logreg_score", "stratified_cv"}
 
 
@@ -18,12 +19,12 @@ def con():
 
 
 def test_only_model_fits_go_without_sql():
-    assert set(entry.queries()) - set(ORACLES) == ROWS_ONLY and set(ORACLES) <= set(entry.queries())
+    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY and set(ORACLES) <= set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    df = entry.queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     if name in ORACLES:
         assert differences(name, df, con, ORACLES[name]) == []
     else:
