@@ -41,7 +41,7 @@ def _folded(point: int) -> int:
 
 
 _FOLD = np.array([_folded(i) for i in range(0x30000)] + [ord(" ")], dtype="<u4")
-_MIXED = re.compile(r"(?<=[^\W\d_])[0134578@$9]+(?=[^\W\d_])|(?<=[^\W\d_])[01345789]+|[@$0134578](?=[^\W\d_]{2})")
+_MIXED = re.compile(r"(?<=[^\W\d_])[0134578@$9]+(?=[^\W\d_])|(?<=[^\W\d_])[01345789$]+|[@$0134578](?=[^\W\d_]{2})")
 _SIGNS = re.compile(r"[0134578@$9]")
 _UNDO = {ord(k): v for k, v in IN_WORDS.items()}
 _DROP = {ord(k): " " for k in IN_WORDS}
