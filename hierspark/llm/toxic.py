@@ -91,7 +91,7 @@ class Lexicon:
         return self.automaton
 
     def hits(self, folded: str) -> list[tuple[int, str, float]]:
-        """(position, entry, weight) of the hits that no exception phrase holds; at one place the heaviest counts."""
+        """(place of the blank before it, entry, weight) of the hits that no exception phrase holds; at one place the heaviest counts."""
         machine = self.machine()
         if machine is None:
             return []

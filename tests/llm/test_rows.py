@@ -138,12 +138,12 @@ def test_folding():
 
 def test_exceptions_and_heaviest_hit():
     lexicon = toxic.Lexicon({"scum": 3.0, "scu": 1.0}, frozenset({"scum pond"}), 1.0, 0.0)
-    assert lexicon.hits(toxic.fold("pond scum")) == [(6, "scum", 3.0)] and lexicon.hits(toxic.fold("the scum pond")) == []
+    assert lexicon.hits(toxic.fold("pond scum")) == [(5, "scum", 3.0)] and lexicon.hits(toxic.fold("the scum pond")) == []
     assert lexicon.hits(toxic.fold("unscum")) == []
 
 
 def test_lexicon_marks_held_out_texts(spark):
-    clean = [(i, f"quiet{i % 7} words about river{i % 5} and stone", 0) for i in range(200)]
+    clean = [(i, f"quiet{i % 7} words you about river{i % 5} and stone", 0) for i in range(200)]
     bad = [(i, f"quiet{i % 7} words you m0ron{'s' * (i % 3)} and stone", 1) for i in range(200, 260)]
     docs = spark.createDataFrame(clean + bad + [(999, None, None)], "doc_id bigint, text string, toxic int")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
