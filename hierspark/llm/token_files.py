@@ -13,6 +13,7 @@ A shard is written under a temporary name and renamed, so a repeated task leaves
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import uuid
@@ -138,13 +139,14 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", dictionary_sample: int = 1000, level: int = 3) -> DataFrame:
     """Write all documents in ascending key order; return the shards (shard, file, docs, ids, start).
 
-    ``dictionary_sample`` bounds the documents, taken by the hash of their key, that train the dictionary.
+    ``dictionary_sample`` bounds (in expectation) the documents, taken by the hash of their key, that train the dictionary.
     Keys are whole numbers; rows with a NULL key cannot be placed and are left out.  NULL texts are empty documents: the end
     id alone.  Repeated keys are neighbours, ordered by text.  An empty table makes no shard.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = rows.select("text", F.xxhash64("key").alias("_h")).orderBy("_h").limit(dictionary_sample).select("text").toLocalIterator()
+    share = min(1.0, dictionary_sample / max(1, rows.count()))
+    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < math.ceil((1 << 30) * share)).select("text").collect()
     dictionary = train_dictionary(encoder(tokenizer, end_id).encode([r["text"] for r in sample]))
     files, root = filesystem(folder)
     files.create_dir(root, recursive=True)
