@@ -209,6 +209,7 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordB
 def read(spark, folder: str) -> DataFrame:
     """All documents of the files: (doc_id, start, n_tokens, ids as little-endian 32-bit numbers)."""
     listed = shards(spark, folder).select("shard", "file", "start")
-    return listed.repartition(F.col("shard")).mapInArrow(lambda batches: _read(batches, folder), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    # a given number of partitions: a task for each shard, however few bytes the list has
+    return listed.repartitionByRange(max(1, listed.count()), "shard").mapInArrow(lambda batches: _read(batches, folder), "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
