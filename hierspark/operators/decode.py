@@ -6,32 +6,30 @@ label, then the best child of each label down to the leaf, and the recorded pare
 the root.  Ties go to the smaller ``ord``: column order at the start level, child order
 below it.  A label without scored children, or without a scored parent, has no path.
 
-Two strategies give the same rows:
-
-``fold``
-    gathers, per id, the scores of the labels that *have children* and the best child of
-    each, and walks the path by map look-up.  Two shuffles whatever the depth.  A group
-    holds at most one entry per parent label, never one per score row, so it is used only
-    when the hierarchy's number of parents is known to be below ``FOLD_LIMIT``.
-``join``
-    never gathers anything: tops and best children are plain aggregates and each step is
-    an equi-join on ``(id, label)``.  One more shuffle per step, no bound needed.
+Scores are dealt out by ``id`` once; everything after that is keyed by ``(id, ...)`` and stays in
+place.  Going up the levels, a window over a label and its children hands every label the path below its
+best child; going down, the same window hands every child the path above its parent.  Each
+label then knows its whole path, and the best label of a level is a plain aggregate.  An id has no more rows than
+there are labels; nothing is collected, and the plan does not depend on any size.
+
+Of repeated rows of one ``(id, lvl, label)`` the one with the smallest ``ord`` counts, of
+equal ones the largest ``prob``.
+
+``strategy="join"`` walks the same paths by equi-joins on ``(id, label)`` instead, with the same rows.
 """
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from hierspark.functions import paths as P
 from hierspark.operators.hierarchy import nodes
 from hierspark.operators.skew import salted_join
 
-FOLD_LIMIT = 20_000
-
 
 def best_path(
-    scores: DataFrame, edges: DataFrame, n_levels: int, strategy: str = "auto"
+    scores: DataFrame, edges: DataFrame, n_levels: int, strategy: str = "window"
 ) -> DataFrame:
     """``(id, start_lvl, path, conf)``: the candidate with the highest geometric mean.
 
@@ -42,14 +40,14 @@ def best_path(
 
 
 def candidates(
-    scores: DataFrame, edges: DataFrame, n_levels: int, strategy: str = "auto"
+    scores: DataFrame, edges: DataFrame, n_levels: int, strategy: str = "window"
 ) -> DataFrame:
     """``(id, start_lvl, path, conf)``, one row for every start level that has a full path."""
     return candidates_of(_tree(scores, edges, n_levels, strategy))
 
 
 def descend(
-    scores: DataFrame, edges: DataFrame, n_levels: int, start: int = 0, strategy: str = "auto"
+    scores: DataFrame, edges: DataFrame, n_levels: int, start: int = 0, strategy: str = "window"
 ) -> DataFrame:
     """``(id, path)`` from the best label at ``start`` down to the leaf level."""
     rows = _tree(scores, edges, n_levels, strategy).rows([start], up=False)
@@ -57,7 +55,7 @@ def descend(
 
 
 def backfill(
-    scores: DataFrame, edges: DataFrame, n_levels: int, start: int, strategy: str = "auto"
+    scores: DataFrame, edges: DataFrame, n_levels: int, start: int, strategy: str = "window"
 ) -> DataFrame:
     """``(id, path)`` from the root down to the best label at ``start``, with the ancestors' own scores."""
     rows = _tree(scores, edges, n_levels, strategy).rows([start], down=False)
@@ -65,7 +63,7 @@ def backfill(
 
 
 def gated_descent(
-    scores: DataFrame, edges: DataFrame, thresholds: Sequence[float], strategy: str = "auto"
+    scores: DataFrame, edges: DataFrame, thresholds: Sequence[float], strategy: str = "window"
 ) -> DataFrame:
     """``(id, l0, p0, l1, p1, …, score)``: descend from the root while ``prob >= threshold``.
 
@@ -102,12 +100,10 @@ def gated_backfill(gated: DataFrame, edges: DataFrame, n_levels: int) -> DataFra
     """Fill missing labels from their kept child; probabilities and score stay as they are."""
     rows = gated
     for k in reversed(range(n_levels - 1)):
-        up = edges.filter(F.col("lvl") == k).select(F.col("child").alias(f"l{k + 1}"), F.col("parent").alias("_up"))
-        rows = (
-            rows.join(up, f"l{k + 1}", "left")
-            .withColumn(f"l{k}", F.coalesce(f"l{k}", "_up"))
-            .drop("_up")
-        )
+        up = edges.filter(F.col("lvl") == k).select(F.col("child").alias("_child"), F.lit(False).alias("_none"), F.col("parent").alias("_up"))
+        # a row without a label finds nothing, wherever it is; its id spreads such rows
+        keyed = rows.withColumns({"_none": F.col(f"l{k + 1}").isNull(), "_child": F.coalesce(F.col(f"l{k + 1}"), F.xxhash64("id"))})
+        rows = salted_join(keyed, up, ["_child", "_none"], ["id"], how="left").withColumn(f"l{k}", F.coalesce(f"l{k}", "_up")).drop("_up", "_child", "_none")
     return rows.select(*gated.columns)
 
 
@@ -141,19 +137,20 @@ def unreachable(scores: DataFrame, edges: DataFrame, n_levels: int) -> DataFrame
     return seen.select("lvl", "label", problem.alias("problem")).filter("problem IS NOT NULL")
 
 
-def parents_fit(edges: DataFrame, limit: int = FOLD_LIMIT) -> bool:
-    """Whether the hierarchy has at most ``limit`` parent labels; reads the edges only."""
-    return edges.select("lvl", "parent").distinct().limit(limit + 1).count() <= limit
-
-
 def _tree(scores: DataFrame, edges: DataFrame, n_levels: int, strategy: str):
-    if strategy == "auto":
-        strategy = "fold" if parents_fit(edges) else "join"
-    if strategy not in ("fold", "join"):
+    if strategy not in ("window", "join"):
         raise ValueError(f"unknown strategy: {strategy}")
     # the few labels near the root occur for every id, so their rows are spread by id
     placed = salted_join(scores.filter(F.col("lvl") < n_levels), nodes(edges), ["lvl", "label"], ["id"], how="left")
-    return (_FoldTree if strategy == "fold" else _JoinTree)(placed, n_levels)
+    return (_WindowTree if strategy == "window" else _JoinTree)(_single(placed.repartition("id")), n_levels)
+
+
+def _single(placed: DataFrame) -> DataFrame:
+    """One row per ``(id, lvl, label)``; what the hierarchy says of a label is the same in all of them."""
+    first = F.min(F.struct("ord", (-F.col("prob")).alias("_less"))).alias("_first")
+    of_label = [F.first(c).alias(c) for c in ("parent", "child_ord", "is_parent")]
+    rows = placed.groupBy("id", "lvl", "label").agg(first, *of_label)
+    return rows.select("id", "lvl", "label", F.col("_first.ord").alias("ord"), (-F.col("_first._less")).alias("prob"), "parent", "child_ord", "is_parent")
 
 
 def _top() -> Column:
@@ -207,60 +204,59 @@ class RowTree:
         return [F.col(f"s{s}_{c}{k}").alias(f"{c}{k}") for k in levels for c in ("l", "p")]
 
 
-class _FoldTree(RowTree):
-    """Per-id maps: ``kids{k}`` parent -> best child at level k, ``node{k}`` label -> (prob, parent)."""
+class _WindowTree:
+    """Every row learns the path below and above it, level by level, inside its id."""
 
     def __init__(self, placed: DataFrame, n_levels: int):
         self.n = n_levels
-        node = F.struct("label", F.struct("prob", "parent").alias("at"))
-        by_parent = placed.groupBy("id", "lvl", "parent").agg(
-            _top().alias("top"),
-            _best_child().alias("kid"),
-            F.collect_list(F.when(F.col("is_parent"), node)).alias("nodes"),
-        )
-        aggs = []
-        for k in range(n_levels):
-            at = F.col("lvl") == k
-            aggs.append(F.max(F.when(at, F.col("top"))).alias(f"top{k}"))
-            if k > 0:
-                kid = F.when(at & F.col("parent").isNotNull(), F.struct("parent", "kid"))
-                aggs.append(F.map_from_entries(F.collect_list(kid)).alias(f"kids{k}"))
-            if k < n_levels - 1:
-                listed = F.flatten(F.collect_list(F.when(at, F.col("nodes"))))
-                aggs.append(F.map_from_entries(listed).alias(f"node{k}"))
-        self.df = by_parent.groupBy("id").agg(*aggs)
-
-    def _walk(
-        self, starts: Sequence[int], up: bool = True, down: bool = True, gate: Sequence[float] | None = None
-    ) -> DataFrame:
-        rows = self.df.withColumns(
-            {
-                name: F.col(f"top{s}")[field]
-                for s in starts
-                for name, field in ((f"s{s}_l{s}", "label"), (f"s{s}_p{s}", "prob"), (f"s{s}_up", "parent"))
-            }
-        )
-        for k in reversed(range(self.n - 1)) if up else ():
-            below = [s for s in starts if s > k]
-            rows = rows.withColumns({f"_at{s}": F.col(f"node{k}")[F.col(f"s{s}_up")] for s in below})
-            step = {}
-            for s in below:
-                at = F.col(f"_at{s}")
-                step[f"s{s}_l{k}"] = F.when(at.isNotNull(), F.col(f"s{s}_up"))
-                step[f"s{s}_p{k}"] = at["prob"]
-                step[f"s{s}_up"] = at["parent"]
-            rows = rows.withColumns(step)
-        for k in range(1, self.n) if down else ():
-            above = [s for s in starts if s < k]
-            rows = rows.withColumns({f"_kid{s}": F.col(f"kids{k}")[F.col(f"s{s}_l{k - 1}")] for s in above})
-            step = {}
-            for s in above:
-                kid = F.col(f"_kid{s}")
-                if gate is not None:
-                    kid = F.when(kid["prob"] >= F.lit(float(gate[k])), kid)
-                step[f"s{s}_l{k}"], step[f"s{s}_p{k}"] = kid["label"], kid["prob"]
-            rows = rows.withColumns(step)
-        return rows
+        self.placed = placed
+
+    def rows(self, starts: Sequence[int], up: bool = True, down: bool = True, gate: Sequence[float] | None = None) -> DataFrame:
+        """``(id, start_lvl, l0, p0, …)``; only complete rows unless gated."""
+        tops = self._tops(starts, up, down, gate)
+        levels = range(0 if up else min(starts), self.n if down else max(starts) + 1)
+        found = tops.select("id", F.col("lvl").alias("start_lvl"), *[F.col(f"top.{c}{k}").alias(f"{c}{k}") for k in levels for c in ("l", "p")])
+        needed = [f"p{starts[0]}"] if gate is not None else [f"p{k}" for k in levels]
+        return found.dropna("any", subset=needed)
+
+    def best(self) -> DataFrame:
+        scored = self.rows(range(self.n)).withColumn("conf", _path_score(self.n)).filter("conf > 0")
+        rank = F.struct("conf", (-F.col("start_lvl")).alias("_rev"), "start_lvl", *_level_columns(self.n))
+        return scored.groupBy("id").agg(F.max(rank).alias("b")).select("id", "b.*").drop("_rev")
+
+    def _tops(self, starts: Sequence[int], up: bool, down: bool, gate: Sequence[float] | None) -> DataFrame:
+        lvl = F.col("lvl")
+        own = {c: F.when(lvl == k, F.col(v)) for k in range(self.n) for c, v in ((f"l{k}", "label"), (f"p{k}", "prob"))}
+        rows = self.placed.withColumns(own)
+        for k in reversed(range(min(starts), self.n - 1)) if down else ():
+            rows = self._learn_below(rows, k, gate)
+        for k in range(max(starts)) if up else ():
+            rows = self._learn_above(rows, k)
+        path = F.struct("prob", (-F.col("ord")).alias("_rev"), *_level_columns(self.n))
+        return rows.filter(lvl.isin(*starts)).groupBy("id", "lvl").agg(F.max(path).alias("top"))
+
+    def _learn_below(self, rows: DataFrame, k: int, gate: Sequence[float] | None) -> DataFrame:
+        """Rows of level k take the best child and the path below it; a child that fails the gate is none."""
+        below = [(c, j) for j in range(k + 1, self.n) for c in ("l", "p")]
+        child = (F.col("lvl") == k + 1) & F.col("parent").isNotNull()
+        kid = F.max(F.when(child, F.struct("prob", (-F.col("child_ord")).alias("_rev"), *[f"{c}{j}" for c, j in below]))).over(self._family(k))
+        taken = F.col("lvl") == k
+        if gate is not None:
+            taken = taken & (F.col("_kid.prob") >= F.lit(float(gate[k + 1])))
+        rows = rows.withColumn("_kid", kid)
+        return rows.withColumns({f"{c}{j}": F.when(taken, F.col(f"_kid.{c}{j}")).otherwise(F.col(f"{c}{j}")) for c, j in below}).drop("_kid")
+
+    def _learn_above(self, rows: DataFrame, k: int) -> DataFrame:
+        """Rows of level k + 1 take their parent and the path above it."""
+        above = [(c, j) for j in range(k + 1) for c in ("l", "p")]
+        parent = F.max(F.when(F.col("lvl") == k, F.struct(*[f"{c}{j}" for c, j in above]))).over(self._family(k))
+        taken = (F.col("lvl") == k + 1) & F.col("parent").isNotNull()
+        rows = rows.withColumn("_par", parent)
+        return rows.withColumns({f"{c}{j}": F.when(taken, F.col(f"_par.{c}{j}")).otherwise(F.col(f"{c}{j}")) for c, j in above}).drop("_par")
+
+    def _family(self, k: int) -> WindowSpec:
+        """A label of level k with its children; the other rows of the id are a family without effect."""
+        return Window.partitionBy("id", F.when(F.col("lvl") == k, F.col("label")).when(F.col("lvl") == k + 1, F.col("parent")))
 
 
 class _JoinTree:

@@ -6,7 +6,8 @@ its array, its best child one look at the few positions of its children.  Nothin
 exploded and, once the levels of an id are in one row, nothing is shuffled.  Results are
 those of the decoders for long tables.
 
-The label lists and the hierarchy become literals of the plan, so their size is checked.
+The label lists and the hierarchy between listed labels become literals of the plan.  A label list is no longer than
+the arrays of scores in every row, and a listed label has one parent, so they are of the size of one row.
 """
 
 from collections.abc import Sequence
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 
 from hierspark.operators import decode
 
-LABEL_LIMIT = 200_000
-
 
 @dataclass(frozen=True)
 class LabelIndex:
@@ -33,10 +32,14 @@ class LabelIndex:
     parents: list[list[int]]
 
 
-def label_index(trained: DataFrame, edges: DataFrame, n_levels: int, limit: int = LABEL_LIMIT) -> LabelIndex:
-    """Collect the label lists and the hierarchy, or fail when either exceeds ``limit`` rows."""
-    listed = _bounded(trained.filter(F.col("lvl") < n_levels).select("lvl", "pos", "label"), limit, "trained labels")
-    linked = _bounded(edges.filter(F.col("lvl") < n_levels - 1).select("lvl", "ord", "parent", "child"), limit, "edges")
+def label_index(trained: DataFrame, edges: DataFrame, n_levels: int) -> LabelIndex:
+    """Collect the label lists and, joined in Spark, the part of the hierarchy that lies between listed labels."""
+    known = trained.filter(F.col("lvl") < n_levels).select("lvl", "pos", "label")
+    listed = [tuple(r) for r in known.collect()]
+    above = known.select("lvl", F.col("label").alias("parent"))
+    below = known.select((F.col("lvl") - 1).alias("lvl"), F.col("label").alias("child"))
+    between = edges.select("lvl", "ord", "parent", "child").join(above, ["lvl", "parent"], "left_semi").join(below, ["lvl", "child"], "left_semi")
+    linked = [tuple(r) for r in between.select("lvl", "ord", "parent", "child").collect()]
     labels: list[list[int]] = [[] for _ in range(n_levels)]
     for lvl, _, label in sorted(listed):
         labels[lvl].append(label)
@@ -50,13 +53,6 @@ def label_index(trained: DataFrame, edges: DataFrame, n_levels: int, limit: int
     return LabelIndex(labels, kids, parents)
 
 
-def _bounded(rows: DataFrame, limit: int, what: str) -> list[tuple]:
-    found = [tuple(r) for r in rows.limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} {what}: use the decoders for long tables")
-    return found
-
-
 def stack_levels(rows: DataFrame, n_levels: int) -> DataFrame:
     """``(id, probs0, probs1, …)`` from one ``(id, lvl, probs)`` row per id and level."""
     cells = [F.first(F.when(F.col("lvl") == k, F.col("probs")), ignorenulls=True).alias(f"probs{k}") for k in range(n_levels)]

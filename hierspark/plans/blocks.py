@@ -9,7 +9,7 @@ Logits: the first ten elements of an embedding are the logits of ten classes.
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hierspark.functions.probs import softmax
@@ -18,7 +18,6 @@ from hierspark.operators.combine import with_original
 from hierspark.operators.hierarchy import edges_from_truth
 from hierspark.operators.history import epoch_history
 from hierspark.operators.labels import class_index
-from hierspark.operators.scores import union_all
 from hierspark.operators.skew import salted_join
 
 SHARE_LEVELS = ("region", "nation", "supplier")
@@ -66,19 +65,28 @@ def share_scores(spark: SparkSession, sf_dir: str, levels: int = N_SHARE) -> Dat
 def shares(leaf: DataFrame, names: Sequence[str]) -> DataFrame:
     """Scores from ``(id, qty, <label column per level>)``: share of each label in its id's total.
 
-    Each level is summed from the level below it and the total from the root level, so the
-    detail rows are shuffled once, already combined per label.
+    The detail rows are summed per leaf label, combined before their shuffle, and then dealt out by ``id``.  The
+    sums of the other levels are windows over the same order of rows, each given out once by its first row.
+    The result stays dealt out by ``id``.
     """
-    sums, level = [], leaf
-    for k in reversed(range(len(names))):
-        level = level.groupBy("id", *names[: k + 1]).agg(F.sum("qty").alias("qty"))
-        sums.append(level.select("id", F.lit(k).alias("lvl"), F.col(names[k]).alias("label"), "qty"))
-    totals = level.groupBy("id").agg(F.sum("qty").alias("total"))
-    return salted_join(union_all(sums), totals, ["id"], ["lvl", "label"]).select(
-        "id", "lvl", "label", F.col("label").cast("int").alias("ord"), (F.col("qty") / F.col("total")).alias("prob")
+    rows = leaf.groupBy("id", *names).agg(F.sum("qty").alias("qty")).repartition("id")
+    last, cells = len(names) - 1, []
+    for k in range(last):
+        label = Window.partitionBy("id", *names[: k + 1])
+        is_first = F.row_number().over(label.orderBy(*names[k + 1 :])) == 1
+        rows = rows.withColumns({f"_first{k}": is_first, f"_qty{k}": F.sum("qty").over(label)})
+        cells.append(F.when(F.col(f"_first{k}"), _cell(k, names[k], f"_qty{k}")))
+    rows = rows.withColumn("_total", F.sum("qty").over(Window.partitionBy("id")))
+    found = F.filter(F.array(*cells, _cell(last, names[last], "qty")), lambda c: c.isNotNull())
+    return rows.select("id", "_total", F.inline(found)).select(
+        "id", "lvl", "label", F.col("label").cast("int").alias("ord"), (F.col("_qty") / F.col("_total")).alias("prob")
     )
 
 
+def _cell(lvl: int, label: str, qty: str) -> Column:
+    return F.struct(F.lit(lvl).alias("lvl"), F.col(label).alias("label"), F.col(qty).alias("_qty"))
+
+
 def share_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select(
         F.lit(0).alias("lvl"), F.col("n_regionkey").alias("parent"), F.col("n_nationkey").alias("child")

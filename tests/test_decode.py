@@ -9,7 +9,7 @@ from hierspark.operators import decode
 from hierspark.operators import dense as arrays
 from hierspark.schema import EDGES, SCORES, TRAINED
 
-STRATEGIES = ("fold", "join")
+STRATEGIES = ("window", "join")
 
 
 def score_rows(id_, levels):
@@ -99,8 +99,6 @@ def test_score_arrays_equal_dense_decoder(spark, random_case):
     gate = (0.5, 0.25, 0.0, 0.25)
     found = {r["id"]: [r[f"l{k}"] for k in range(4)] for r in arrays.gated_descent(stacked, index, gate).collect()}
     assert found == {i: [c and c[0] for c in dense.gated(s, kids, gate)[0]] for i, s in aligned.items()}
-    with pytest.raises(ValueError):
-        arrays.label_index(trained, edges, 4, limit=10)
 
 
 @pytest.mark.parametrize("strategy", STRATEGIES)
@@ -146,11 +144,17 @@ def test_empty_scores(spark, strategy):
     assert decode.gated_descent(scores, edges, [0.5, 0.5], strategy).collect() == []
 
 
-def test_strategy_choice_reads_the_number_of_parents(spark):
-    edges = spark.createDataFrame([(0, p, 10 + p, 0) for p in range(5)], EDGES)
-    assert decode.parents_fit(edges, 5) and not decode.parents_fit(edges, 4)
+def test_unknown_strategy(spark):
     with pytest.raises(ValueError):
-        decode.best_path(spark.createDataFrame([], SCORES), edges, 2, "guess")
+        decode.best_path(spark.createDataFrame([], SCORES), spark.createDataFrame([], EDGES), 2, "guess")
+
+
+@pytest.mark.parametrize("strategy", STRATEGIES)
+def test_of_repeated_rows_the_first_column_counts(spark, strategy):
+    rows = [("a", 0, 1, 1, 0.2), ("a", 0, 1, 0, 0.3), ("a", 0, 1, 0, 0.4), ("a", 1, 11, 0, 0.5), ("a", 1, 11, 0, 0.5), ("a", 1, 12, 1, 0.1)]
+    edges = spark.createDataFrame(edge_rows([{1: [11, 12]}]), EDGES)
+    found = decode.candidates(spark.createDataFrame(rows, SCORES), edges, 2, strategy).collect()
+    assert sorted((r["start_lvl"], path_list(r)) for r in found) == [(k, [(1, 0.4), (11, 0.5)]) for k in (0, 1)]
 
 
 def cut(spark, probs, thresholds, labels=None):
