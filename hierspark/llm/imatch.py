@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hierspark.llm.util import next_ids
+from hierspark.llm.util import next_ids, stored
 
 SLOTS = 12
 PER_SCALE = 12
@@ -52,20 +52,20 @@ def sampled(listed: Column, at_scale: Column) -> Column:
 
 
 def slots(kept: Column, at_scale: Column) -> Column:
-    """Subset hashes at the text's scale, then at the next one; NULL for an empty subset."""
+    """Subset hashes (32 bits) at the text's scale, then at the next one; NULL for an empty subset."""
     ordered = F.sort_array(kept)
     slot = lambda h: F.pmod(F.shiftrightunsigned(h, 40), F.lit(SLOTS))
 
     def subset(k: Column, s: Column) -> Column:
         own = F.filter(ordered, lambda h: kept_at(h, s) & (slot(h) == k))
-        return F.when(F.size(own) > 0, F.xxhash64(own))
+        return F.when(F.size(own) > 0, F.shiftright(F.xxhash64(own), 32).cast("int"))
 
     numbers = F.array(*[F.lit(k) for k in range(SLOTS)])
     return F.concat(F.transform(numbers, lambda k: subset(k, at_scale)), F.transform(numbers, lambda k: subset(k, at_scale + 1)))
 
 
 def as_text(at_scale: Column, hashes: Column) -> Column:
-    return F.concat_ws(":", at_scale, F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lower(F.hex(F.shiftrightunsigned(h, 32))), F.lit("-"))), ","))
+    return F.concat_ws(":", at_scale, F.array_join(F.transform(hashes, lambda h: F.coalesce(F.lower(F.hex(h.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit("-"))), ","))
 
 
 def likeness(scale_a: Column, a: Column, scale_b: Column, b: Column) -> Column:
@@ -107,7 +107,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counted = docs.where(F.col(id_col).isNotNull())
     known = lexicon(counted, text_col, counted.count(), band)
     pairs = edited(docs, id_col, text_col)
-    sized = pairs.select("_id", "_next", F.length("_text").alias("_n"), F.sha2("_edited", 256).alias("_sha"), terms(F.col("_text")).alias("_ta"), terms(F.col("_edited")).alias("_te"))
+    sized = pairs.select("_id", "_next", F.length("_text").alias("_n"), F.unhex(F.sha2("_edited", 256)).alias("_sha"), terms(F.col("_text")).alias("_ta"), terms(F.col("_edited")).alias("_te"))
     scaled = sized.select("_id", "_next", "_n", "_sha", "_ta", "_te", scale(F.size("_ta")).alias("_sa"), scale(F.size("_te")).alias("_se"))
     drawn = scaled.select("_id", "_next", "_n", "_sha", "_sa", "_se", sampled(F.col("_ta"), F.col("_sa")).alias("_a"), sampled(F.col("_te"), F.col("_se")).alias("_e"))
     # One row more than terms: it carries what belongs to the document, under a key of its own that is in no lexicon.
@@ -115,17 +115,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     entry = F.explode(F.concat(F.array(F.lit(None).cast("bigint")), F.array_union("_a", "_e"))).alias("_term")
     rows = drawn.select("_id", "_next", "_n", "_sha", "_sa", "_se", "_a", "_e", entry)
     head = lambda c: F.when(F.col("_term").isNull(), F.col(c)).alias(c)
-    slim = rows.select("_id", *map(head, ("_next", "_n", "_sha", "_sa", "_se")), F.coalesce("_term", alone).alias("_h"), "_term", F.array_contains("_a", F.col("_term")).alias("_in_a"), F.array_contains("_e", F.col("_term")).alias("_in_e"))
-    judged = slim.join(known.withColumn("_known", F.lit(True)), "_h", "left")
-    of = lambda flag: F.collect_set(F.when(F.col("_known") & F.col(flag), F.col("_term")))
-    whole = judged.groupBy("_id").agg(*(F.max(c).alias(c) for c in ("_next", "_n", "_sha", "_sa", "_se")), of("_in_a").alias("_a"), of("_in_e").alias("_e"))
-    prints = whole.select("_id", "_next", "_n", "_sha", "_sa", "_se", slots(F.col("_a"), F.col("_sa")).alias("_fa"), slots(F.col("_e"), F.col("_se")).alias("_fe"))
+    in_a, in_e = F.array_contains("_a", F.col("_term")), F.array_contains("_e", F.col("_term"))
+    side = F.when(in_a & in_e, 3).when(in_a, 1).when(in_e, 2).cast("byte").alias("_side")
+    slim = rows.select("_id", *map(head, ("_next", "_n", "_sha", "_sa", "_se")), F.coalesce("_term", alone).alias("_h"), side)
+    judged = slim.join(known.withColumn("_known", F.lit(True)), "_h", "left").where(F.col("_known") | F.col("_side").isNull())
+    of = lambda k: F.collect_set(F.when(F.col("_side") == k, F.col("_h")))
+    whole = judged.groupBy("_id").agg(*(F.max(c).alias(c) for c in ("_next", "_n", "_sha", "_sa", "_se")), of(1).alias("_a"), of(2).alias("_e"), of(3).alias("_both"))
+    own, other = F.concat("_both", "_a"), F.concat("_both", "_e")
+    # stored, since every fingerprint is read twice: as a document's own and as that of the next one
+    prints = stored(whole.select("_id", "_next", "_n", "_sha", "_sa", "_se", slots(own, F.col("_sa")).alias("_fa"), slots(other, F.col("_se")).alias("_fe")), "fingerprints")
     after = prints.select(F.col("_id").alias("_next"), F.col("_sa").alias("_sn"), F.col("_fa").alias("_fn"))
     c = F.col
     return prints.join(after, "_next").select(
         c("_id").alias(id_col),
         c("_n").cast("bigint").alias("n_chars"),
-        c("_sha").alias("edited_sha256"),
+        F.lower(F.hex("_sha")).alias("edited_sha256"),
         as_text(c("_sa"), c("_fa")).alias("fingerprint"),
         as_text(c("_se"), c("_fe")).alias("edited_fingerprint"),
         likeness(c("_sa"), c("_fa"), c("_se"), c("_fe")).alias("near_edited"),

@@ -179,8 +179,8 @@ def plain_fingerprint(text, lexicon):
     for s in (scale, scale + 1):
         for k in range(imatch.SLOTS):
             own = [h for h in hashes if h % (1 << s) == 0 and ((h % 2**64) >> 40) % imatch.SLOTS == k]
-            slots.append(spark_hash(own) if own else None)
-    return scale, slots, f"{scale}:" + ",".join("-" if h is None else f"{(h % 2**64) >> 32:x}" for h in slots)
+            slots.append((spark_hash(own) % 2**64) >> 32 if own else None)
+    return scale, slots, f"{scale}:" + ",".join("-" if h is None else f"{h:x}" for h in slots)
 
 
 def plain_likeness(a, b):
