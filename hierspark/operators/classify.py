@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from hierspark.operators.reduce import with_features
 from hierspark.operators.scores import union_all
 
-# Fixed value: iteration limit of the solver.
+# Default iteration limit of the solver.
 MAX_ITER = 100
 TOLERANCE = 1e-6
 
@@ -27,8 +27,11 @@ def class_counts(rows: DataFrame, label: str = "label") -> list[tuple[int, int]]
     return sorted((r[0], r[1]) for r in rows.groupBy(label).count().collect())
 
 
-def fit(rows: DataFrame, vec: str = "vec", label: str = "label", c: float = 1.0) -> PipelineModel:
-    """L2-penalised fit; ``c`` weighs the summed loss against half the squared weights."""
+def fit(rows: DataFrame, vec: str = "vec", label: str = "label", c: float = 1.0, max_iter: int = MAX_ITER) -> PipelineModel:
+    """L2-penalised fit; ``c`` weighs the summed loss against half the squared weights.
+
+    ``convergence`` tells whether the solver stopped before ``max_iter``.
+    """
     counts = class_counts(rows, label)
     data = with_features(rows, vec).select("features", F.col(label).cast("string").alias("label"))
     index = StringIndexerModel.from_labels([str(x) for x, _ in counts], inputCol="label", outputCol="_y")
@@ -37,13 +40,20 @@ def fit(rows: DataFrame, vec: str = "vec", label: str = "label", c: float = 1.0)
         regParam=1.0 / (c * sum(n for _, n in counts)),
         elasticNetParam=0.0,
         standardization=False,
-        maxIter=MAX_ITER,
+        maxIter=max_iter,
         tol=TOLERANCE,
         labelCol="_y",
     ).fit(index.transform(data))
     return PipelineModel([index, regression])
 
 
+def convergence(model: PipelineModel) -> tuple[int, bool]:
+    """Iterations of a fresh fit, and whether it converged within its limit."""
+    regression = model.stages[1]
+    steps = regression.summary.totalIterations
+    return steps, steps < regression.getMaxIter()
+
+
 def _labels(model: PipelineModel):
     return F.array(*[F.lit(int(x)).cast("bigint") for x in model.stages[0].labels])
 

@@ -148,8 +148,10 @@ def nodes(edges: DataFrame) -> DataFrame:
     """Every label of the hierarchy once: ``(lvl, label, parent, child_ord, is_parent)``.
 
     A union and an aggregate rather than a join: its estimated size stays that of the edges,
-    so Spark can still see that a small hierarchy fits a broadcast.
+    so Spark can still see that a small hierarchy fits a broadcast.  A label with two parents is an error.
     """
+    one = F.min("above.parent").eqNullSafe(F.max("above.parent"))
+    two = F.raise_error(F.concat(F.lit("two parents of label "), F.col("label").cast("string"), F.lit(" at level "), F.col("lvl").cast("string")))
     as_child = edges.select(
         (F.col("lvl") + 1).alias("lvl"),
         F.col("child").alias("label"),
@@ -162,8 +164,8 @@ def nodes(edges: DataFrame) -> DataFrame:
     return (
         as_child.union(as_parent)
         .groupBy("lvl", "label")
-        .agg(F.min("above").alias("above"), F.max("is_parent").alias("is_parent"))
-        .select("lvl", "label", "above.parent", "above.child_ord", "is_parent")
+        .agg(F.min("above").alias("above"), one.alias("one"), F.max("is_parent").alias("is_parent"))
+        .select("lvl", "label", F.when(F.col("one"), F.col("above.parent")).otherwise(two.cast("bigint")).alias("parent"), "above.child_ord", "is_parent")
     )
 
 

@@ -17,14 +17,35 @@ def explode_label_list(lists: DataFrame, numeric_order: bool = False) -> DataFra
     return lists.select("lvl", F.posexplode(labels).alias("pos", "label"))
 
 
-def decode_output(outputs: DataFrame, trained: DataFrame, encodings: DataFrame) -> DataFrame:
-    """Model output position -> trained label -> taxon id, for rows with ``(lvl, pos)``."""
-    return outputs.join(trained, ["lvl", "pos"]).join(encodings, ["lvl", "label"])
+def look_up(rows: DataFrame, lookup: DataFrame, keys: list[str], found: str, strict: bool = True, spread: list[str] | None = None) -> DataFrame:
+    """Add the columns of ``lookup``; a key that it lacks is an error, or drops the row when ``strict`` is off.
+
+    One key may own a large share of the rows, so they are spread by ``spread`` (all other columns by default).
+    ``found`` is a column of the look-up that is never NULL there.
+    """
+    if not strict:
+        return salted_join(rows, lookup, keys, spread or _others(rows, keys))
+    joined = salted_join(rows, lookup, keys, spread or _others(rows, keys), how="left")
+    known = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("NULL"))) for k in keys])
+    value = F.when(F.col(found).isNotNull(), F.col(found)).otherwise(F.raise_error(F.concat(F.lit(f"no {found} for "), known)))
+    return joined.withColumn(found, value)
+
+
+def _others(rows: DataFrame, keys: list[str]) -> list[str]:
+    return [c for c in rows.columns if c not in keys] or keys
+
+
+def decode_output(outputs: DataFrame, trained: DataFrame, encodings: DataFrame, strict: bool = True) -> DataFrame:
+    """Model output position -> trained label -> taxon id, for rows with ``(lvl, pos)``.
+
+    A position or label that is not listed is an error, or drops the row when ``strict`` is off.
+    """
+    return look_up(look_up(outputs, trained, ["lvl", "pos"], "label", strict), encodings, ["lvl", "label"], "taxon_id", strict)
 
 
-def encode(taxa: DataFrame, encodings: DataFrame) -> DataFrame:
-    """Taxon id -> label, for rows with ``(lvl, taxon_id)``."""
-    return taxa.join(encodings, ["lvl", "taxon_id"])
+def encode(taxa: DataFrame, encodings: DataFrame, strict: bool = True) -> DataFrame:
+    """Taxon id -> label, for rows with ``(lvl, taxon_id)``; a taxon without a label as above."""
+    return look_up(taxa, encodings, ["lvl", "taxon_id"], "label", strict)
 
 
 def missing_keys(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hierspark.functions.paths import unpack
 from hierspark.functions.text import last_word, percent_text
 from hierspark.operators.labels import with_names
+from hierspark.operators.skew import salted_join
 from hierspark.schema import LEVELS
 
 # Fixed values written into every submission row.
@@ -26,6 +27,7 @@ SUBMISSION_COLUMNS = (
     "individual_count", "organism_quantity", "organism_quantity_type",
     "references", "notes",
 )
+# Columns of the short layout.
 SHORT_COLUMNS = (
     "photoid", "kingdom", "phyla", "class", "order", "family", "genus", "species_epithet",
     "taxon_rank", "identification_method", "confidence_percent",
@@ -38,7 +40,7 @@ def named_paths(decoded: DataFrame, names: DataFrame, phyla: DataFrame, n_levels
     ``phyla(label, phylum)`` names the phylum of each root label.
     """
     flat = decoded.select("*", *unpack("path", n_levels)).drop("path")
-    return with_names(flat, names, n_levels).join(phyla.withColumnRenamed("label", "l0"), "l0", "left")
+    return _with_phyla(with_names(flat, names, n_levels), phyla)
 
 
 def submission(
@@ -98,11 +100,16 @@ def debug_paths(decoded: DataFrame, ranks: Sequence[str] = LEVELS) -> DataFrame:
 def gated_report(gated: DataFrame, names: DataFrame, phyla: DataFrame, ranks: Sequence[str] = LEVELS) -> DataFrame:
     """Back-filled gated paths in the short layout; the rank is the deepest kept label."""
     n = len(ranks)
-    named = with_names(gated, names, n).join(phyla.withColumnRenamed("label", "l0"), "l0", "left")
+    named = _with_phyla(with_names(gated, names, n), phyla)
     rank = F.coalesce(*[F.when(F.col(f"l{k}").isNotNull(), F.lit(ranks[k])) for k in reversed(range(n))], F.lit(""))
     return submission_short(named, ranks, conf="score", rank=rank)
 
 
+def _with_phyla(named: DataFrame, phyla: DataFrame) -> DataFrame:
+    """A handful of root labels serve all ids, so the rows are spread by id."""
+    return salted_join(named, phyla.withColumnRenamed("label", "l0"), ["l0"], ["id"], how="left")
+
+
 def _taxa(ranks: Sequence[str]) -> dict[str, Column]:
     """Name per rank; the species name is reduced to its epithet, an unused rank is empty."""
     out = {}

@@ -54,11 +54,12 @@ def floor_fixed(scores: DataFrame, threshold: float) -> DataFrame:
 
 
 def floor_uniform(scores: DataFrame, trained: DataFrame) -> DataFrame:
-    """Scores below ``1 / number of trained labels of their level`` become 0."""
+    """Scores below ``1 / number of trained labels of their level`` become 0; a level without any is an error."""
     limits = trained.groupBy("lvl").agg((F.lit(1.0) / F.count(F.lit(1))).alias("_limit"))
     # one row per level
     return (
-        scores.join(F.broadcast(limits), "lvl")
+        scores.join(F.broadcast(limits), "lvl", "left")
+        .withColumn("_limit", F.coalesce("_limit", F.raise_error(F.concat(F.lit("no trained label at level "), F.col("lvl").cast("string"))).cast("double")))
         .withColumn("prob", probs.floor_prob(F.col("prob"), F.col("_limit")))
         .select(*scores.columns)
     )

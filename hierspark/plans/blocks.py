@@ -4,7 +4,7 @@ Shares: a customer is an id, region > nation > supplier is the hierarchy, and th
 a label is the customer's share of ``l_quantity`` bought there.  Quantities are whole
 numbers, so sums and ties are exact.
 
-Logits: the first ten elements of an embedding are the logits of ten classes.
+Logits: the elements of an embedding are the logits of as many classes.
 """
 
 from collections.abc import Sequence
@@ -22,7 +22,6 @@ from hierspark.operators.skew import salted_join
 
 SHARE_LEVELS = ("region", "nation", "supplier")
 N_SHARE = 3
-N_CLASSES = 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +86,15 @@ def _cell(lvl: int, label: str, qty: str) -> Column:
     return F.struct(F.lit(lvl).alias("lvl"), F.col(label).alias("label"), F.col(qty).alias("_qty"))
 
 
+def dense_shares(spark: SparkSession, sf_dir: str, lvl: int) -> DataFrame:
+    """Scores of one level with a row for every label, 0 where an id has none."""
+    listed = share_trained(spark, sf_dir).filter(F.col("lvl") == lvl).select("pos", "label").orderBy("pos").collect()
+    own = share_scores(spark, sf_dir, levels=lvl + 1).filter(F.col("lvl") == lvl)
+    known = own.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("label", "prob"))).alias("_known"))
+    cells = F.array(*[F.struct(F.lit(r["label"]).alias("label"), F.lit(r["pos"]).alias("ord"), F.coalesce(F.col("_known")[F.lit(r["label"])], F.lit(0.0)).alias("prob")) for r in listed])
+    return known.select("id", F.lit(lvl).alias("lvl"), F.inline(cells))
+
+
 def share_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select(
         F.lit(0).alias("lvl"), F.col("n_regionkey").alias("parent"), F.col("n_nationkey").alias("child")
@@ -134,7 +142,7 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, logits, truth)``."""
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"),
-        F.transform(F.slice("embedding", 1, N_CLASSES), lambda x: x.cast("double")).alias("logits"),
+        F.transform("embedding", lambda x: x.cast("double")).alias("logits"),
         F.col("label").alias("truth"),
     )
 
@@ -236,8 +244,8 @@ def nation_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def output_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``trained(lvl, pos, label)``: labels ``3·class + 1`` in lexical order of their text."""
-    classes = table(spark, sf_dir, "embeddings").select((F.col("label") * 3 + 1).alias("code"))
+    """``trained(lvl, pos, label)``: labels ``3·place + 1`` of the elements in lexical order of their text."""
+    classes = _places(spark, sf_dir).select((F.col("place") * 3 + 1).alias("code"))
     return class_index(classes, "code").select(
         F.lit(0).alias("lvl"), F.col("class_idx").alias("pos"), F.col("class_label").cast("bigint").alias("label")
     )
@@ -321,12 +329,12 @@ def training_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- per-level model outputs
 
 # Element ranges of an embedding that serve as the logits of three models, root level first.
-MODEL_SLICES = ((41, 2), (31, 5), (1, 10))
+MODEL_SLICES = ((1, 8), (9, 16), (25, 40))
 LOGIT_SCALE = 8.0
 
 
 def model_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(id, probs0, probs1, probs2)``: softmax scores of three independent models over 2, 5 and 10 labels."""
+    """``(id, probs0, probs1, probs2)``: softmax scores of three models that share out all elements."""
     cells = [
         softmax(F.transform(F.slice("embedding", first, n), lambda x: x.cast("double") * LOGIT_SCALE)).alias(f"probs{k}")
         for k, (first, n) in enumerate(MODEL_SLICES)
@@ -343,14 +351,24 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def model_edges(spark: SparkSession) -> DataFrame:
-    """Labels 0-2 and 3-4 of the middle level share a parent, as do pairs of the leaf level."""
-    middle = spark.range(5).select(F.lit(0).alias("lvl"), F.floor(F.col("id") / 3).alias("parent"), F.col("id").alias("child"))
-    leaf = spark.range(10).select(F.lit(1), F.floor(F.col("id") / 2), F.col("id"))
-    return middle.union(leaf).select("lvl", "parent", "child", F.col("child").alias("ord"))
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``place``: the element places that embeddings have."""
+    return table(spark, sf_dir, "embeddings").select(F.posexplode("embedding").alias("place", "_x")).select("place").distinct()
+
+
+def model_trained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``trained(lvl, pos, label)``: every element is a label of one model."""
+    lvl, first = F.lit(None).cast("int"), F.lit(None).cast("int")
+    for k, (begin, n) in enumerate(MODEL_SLICES):
+        own = F.col("place").between(begin - 1, begin + n - 2)
+        lvl, first = F.when(own, k).otherwise(lvl), F.when(own, begin - 1).otherwise(first)
+    placed = _places(spark, sf_dir).select(lvl.alias("lvl"), (F.col("place") - first).alias("pos"))
+    return placed.withColumn("label", F.col("pos").cast("bigint"))
 
 
-def model_trained(spark: SparkSession) -> DataFrame:
-    levels = [F.struct(F.lit(k).alias("lvl"), F.sequence(F.lit(0), F.lit(n - 1)).alias("at")) for k, (_, n) in enumerate(MODEL_SLICES)]
-    listed = spark.range(1).select(F.inline(F.array(*levels)))
-    return listed.select("lvl", F.explode("at").alias("pos")).withColumn("label", F.col("pos").cast("bigint"))
+def model_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of labels of the middle level share a parent, of the leaf level two or three labels."""
+    labels = model_trained(spark, sf_dir)
+    middle = labels.where("lvl = 1").select(F.lit(0).alias("lvl"), F.floor(F.col("label") / 2).alias("parent"), F.col("label").alias("child"))
+    leaf = labels.where("lvl = 2").select(F.lit(1), F.floor(F.col("label") * 2 / 5), F.col("label"))
+    return middle.union(leaf).select("lvl", "parent", "child", F.col("child").cast("int").alias("ord"))

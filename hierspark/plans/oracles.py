@@ -12,7 +12,7 @@ T0, T1, T2 = (f"{t:e}" for t in THRESHOLDS)
 
 # Quantities per customer and supplier, totals, long scores, edges.
 SHARES = """
-supp AS (SELECT o_custkey AS id, CAST(l_suppkey AS BIGINT) AS supplier, CAST(n_nationkey AS BIGINT) AS nation,
+supp AS MATERIALIZED (SELECT o_custkey AS id, CAST(l_suppkey AS BIGINT) AS supplier, CAST(n_nationkey AS BIGINT) AS nation,
                 CAST(n_regionkey AS BIGINT) AS region, sum(l_quantity) AS qty
          FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey
               JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL),
@@ -20,19 +20,19 @@ tot AS (SELECT id, sum(qty) AS total FROM supp GROUP BY id),
 sums AS (SELECT id, 0 AS lvl, region AS label, sum(qty) AS qty FROM supp GROUP BY id, region
          UNION ALL SELECT id, 1, nation, sum(qty) FROM supp GROUP BY id, nation
          UNION ALL SELECT id, 2, supplier, sum(qty) FROM supp GROUP BY id, supplier),
-sc AS (SELECT s.id, CAST(lvl AS INTEGER) AS lvl, label, qty / total AS prob FROM sums s JOIN tot t ON s.id = t.id),
+sc AS MATERIALIZED (SELECT s.id, CAST(lvl AS INTEGER) AS lvl, label, qty / total AS prob FROM sums s JOIN tot t ON s.id = t.id),
 edges AS (SELECT CAST(0 AS INTEGER) AS lvl, CAST(n_regionkey AS BIGINT) AS parent, CAST(n_nationkey AS BIGINT) AS child FROM nation
           UNION ALL SELECT 1, s_nationkey, s_suppkey FROM supplier)"""
 
 # Best label per level and best child per parent.
 TREE = """
-par AS (SELECT s.id, s.lvl, s.label, s.prob, e.parent FROM sc s LEFT JOIN edges e ON e.lvl = s.lvl - 1 AND e.child = s.label),
-tops AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, lvl ORDER BY prob DESC, label) AS rn FROM par) WHERE rn = 1),
-kids AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, lvl, parent ORDER BY prob DESC, label) AS rn
+par AS MATERIALIZED (SELECT s.id, s.lvl, s.label, s.prob, e.parent FROM sc s LEFT JOIN edges e ON e.lvl = s.lvl - 1 AND e.child = s.label),
+tops AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, lvl ORDER BY prob DESC, label) AS rn FROM par) WHERE rn = 1),
+kids AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, lvl, parent ORDER BY prob DESC, label) AS rn
                         FROM par WHERE parent IS NOT NULL) WHERE rn = 1)"""
 
 CANDIDATES = """
-cand AS (
+cand AS MATERIALIZED (
   SELECT a.id, 0 AS start_lvl, a.label AS l0, a.prob AS p0, b.label AS l1, b.prob AS p1, c.label AS l2, c.prob AS p2
   FROM tops a JOIN kids b ON b.id = a.id AND b.lvl = 1 AND b.parent = a.label
               JOIN kids c ON c.id = a.id AND c.lvl = 2 AND c.parent = b.label WHERE a.lvl = 0
@@ -82,9 +82,9 @@ strong AS (SELECT * FROM sc WHERE prob >= CASE lvl WHEN 0 THEN 3e-1 WHEN 1 THEN
 lvls AS (SELECT id, CAST(count(DISTINCT lvl) AS INTEGER) AS n_lvls FROM strong GROUP BY id)"""
 
 TRUTH = """
-truth AS (SELECT c_custkey AS id, CAST(0 AS INTEGER) AS lvl, CAST(n_regionkey AS BIGINT) AS true_label FROM customer JOIN nation ON c_nationkey = n_nationkey
+truth AS MATERIALIZED (SELECT c_custkey AS id, CAST(0 AS INTEGER) AS lvl, CAST(n_regionkey AS BIGINT) AS true_label FROM customer JOIN nation ON c_nationkey = n_nationkey
           UNION ALL SELECT c_custkey, 1, c_nationkey FROM customer),
-top2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, lvl ORDER BY prob DESC, label) AS rn FROM sc WHERE lvl < 2) WHERE rn = 1),
+top2 AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, lvl ORDER BY prob DESC, label) AS rn FROM sc WHERE lvl < 2) WHERE rn = 1),
 pred AS (SELECT t.id, t.lvl, u.true_label, t.label AS pred_label FROM top2 t JOIN truth u ON t.id = u.id AND t.lvl = u.lvl)"""
 
 BRANDS = """
@@ -100,7 +100,7 @@ tiles AS (SELECT a.id, a.orig_id, a.label, a.qty / b.total AS prob
           JOIN (SELECT id, sum(qty) AS total FROM items GROUP BY id) b ON a.id = b.id)"""
 
 LOGITS = """
-lg AS (SELECT vec_id AS id, label AS truth, CAST(unnest(embedding[1:10]) AS DOUBLE) AS x, unnest(range(10)) AS pos FROM embeddings),
+lg AS (SELECT vec_id AS id, label AS truth, CAST(unnest(embedding) AS DOUBLE) AS x, unnest(range(len(embedding))) AS pos FROM embeddings),
 mx AS (SELECT id, max(x) AS m FROM lg GROUP BY id),
 ex AS (SELECT lg.id, truth, CAST(pos AS INTEGER) AS pos, x, x - m AS d, exp(x - m) AS e FROM lg JOIN mx ON lg.id = mx.id),
 sm AS (SELECT id, truth, pos, e / sum(e) OVER (PARTITION BY id) AS prob, d - ln(sum(e) OVER (PARTITION BY id)) AS logp FROM ex)"""
@@ -111,7 +111,7 @@ steps AS (SELECT 'events' AS run, CAST(date_diff('day', DATE '2024-01-01', CAST(
                  floor(value * 1e2 + 5e-1) AS loss, CASE WHEN value > 50 THEN 1e0 ELSE 0e0 END AS ok FROM events),
 hist AS (SELECT run, epoch, phase, count(*) AS n_rows, avg(loss) AS loss, avg(ok) AS acc FROM steps GROUP BY ALL)"""
 
-_MODEL_LEVELS = ((0, 41, 2), (1, 31, 5), (2, 1, 10))
+_MODEL_LEVELS = ((0, 1, 8), (1, 9, 16), (2, 25, 40))
 MODELS = (
     "raw AS ("
     + " UNION ALL ".join(
@@ -123,8 +123,8 @@ MODELS = (
 ex AS (SELECT id, lvl, CAST(label AS BIGINT) AS label, bar, exp(x - max(x) OVER (PARTITION BY id, lvl)) AS e FROM raw),
 dense AS (SELECT id, lvl, label, bar, e / sum(e) OVER (PARTITION BY id, lvl) AS prob FROM ex),
 sc AS (SELECT id, lvl, label, prob FROM dense WHERE prob >= bar),
-edges AS (SELECT CAST(0 AS INTEGER) AS lvl, CAST(c // 3 AS BIGINT) AS parent, CAST(c AS BIGINT) AS child FROM range(5) r(c)
-          UNION ALL SELECT 1, c // 2, c FROM range(10) r(c))"""
+edges AS (SELECT CAST(0 AS INTEGER) AS lvl, CAST(c // 2 AS BIGINT) AS parent, CAST(c AS BIGINT) AS child FROM range(16) r(c)
+          UNION ALL SELECT 1, c * 2 // 5, c FROM range(40) r(c))"""
 )
 
 
@@ -235,7 +235,7 @@ _QUERIES: dict[str, str] = {
         UNION ALL SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INTEGER), n_nationkey, 'number' FROM nation""",
     "label_decode": _with(LOGITS)
     + """, tr AS (SELECT CAST(row_number() OVER (ORDER BY CAST(code AS VARCHAR)) - 1 AS INTEGER) AS pos, CAST(code AS BIGINT) AS label
-                  FROM (SELECT DISTINCT label * 3 + 1 AS code FROM embeddings)),
+                  FROM (SELECT DISTINCT unnest(range(len(embedding))) * 3 + 1 AS code FROM embeddings)),
            best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY prob DESC, pos) AS rn FROM sm) WHERE rn = 1)
          SELECT id, b.pos, t.label, t.label + 47000 AS taxon_id, round(prob, 6) AS conf FROM best b JOIN tr t ON t.pos = b.pos""",
     "label_encode": """SELECT c_custkey AS id, CAST(c_nationkey * 7 + 50000 AS BIGINT) AS taxon_id, CAST(c_nationkey AS BIGINT) AS label FROM customer""",
@@ -318,6 +318,9 @@ _QUERIES: dict[str, str] = {
     + """SELECT CAST(t.id AS VARCHAR) || '.jpg' AS id, CAST(1 AS INTEGER) AS lvl, CAST(n_nationkey AS BIGINT) AS label,
                 CAST(n_nationkey AS INTEGER) AS ord, round(coalesce(s.prob, 0e0), 6) AS prob
          FROM tot t CROSS JOIN nation LEFT JOIN sc s ON s.id = t.id AND s.lvl = 1 AND s.label = n_nationkey""",
+    "read_mixed_logs": _with(SHARES)
+    + """SELECT CAST(t.id AS VARCHAR) || '.jpg' AS id, CAST(1 AS INTEGER) AS lvl, CAST(n_nationkey AS BIGINT) AS label, round(coalesce(s.prob, 0e0), 6) AS prob
+         FROM tot t CROSS JOIN nation LEFT JOIN sc s ON s.id = t.id AND s.lvl = 1 AND s.label = n_nationkey""",
     "parse_train_log": _with(STEPS)
     + """, e AS (SELECT DISTINCT epoch FROM hist), p AS (SELECT 'train' AS phase UNION ALL SELECT 'val')
          SELECT 'month_' || CAST(e.epoch // 31 AS VARCHAR) AS run, e.epoch, p.phase, round(coalesce(loss, 0e0), 4) AS loss, round(coalesce(acc, 0e0), 4) AS acc

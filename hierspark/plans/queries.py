@@ -54,8 +54,8 @@ def best_path_by_joins(spark, sf):
 def decode_model_scores(spark, sf):
     """Decode straight from per-level model outputs, after the uniform floor."""
     raw = B.model_scores(spark, sf)
-    floored = scores.floor_uniform(raw, B.model_trained(spark))
-    found = decode.best_path(floored, B.model_edges(spark), len(B.MODEL_SLICES))
+    floored = scores.floor_uniform(raw, B.model_trained(spark, sf))
+    found = decode.best_path(floored, B.model_edges(spark, sf), len(B.MODEL_SLICES))
     return rounded(_flat(found, "start_lvl", "conf"), "conf")
 
 
@@ -64,7 +64,7 @@ def decode_score_arrays(spark, sf):
     """The same scores kept as one array per level."""
     arrays = B.model_arrays(spark, sf)
     floored = arrays.withColumns({c: probs.floor_uniform(F.col(c)) for c in arrays.columns[1:]})
-    index = dense.label_index(B.model_trained(spark), B.model_edges(spark), len(B.MODEL_SLICES))
+    index = dense.label_index(B.model_trained(spark, sf), B.model_edges(spark, sf), len(B.MODEL_SLICES))
     return rounded(_flat(dense.best_path(floored, index), "start_lvl", "conf"), "conf")
 
 
@@ -261,8 +261,8 @@ def split_train_valid(spark, sf):
 @query
 def union_logs(spark, sf):
     events = B.table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
-    kinds = ("click", "view", "purchase", "signup", "error")
-    return scores.union_all([events.filter(F.col("event_type") == k) for k in kinds])
+    part = F.pmod("event_id", F.lit(3))
+    return scores.union_all([events.filter(part == 0), events.filter(part == 1), events.filter(~F.coalesce(part < 2, F.lit(False)))])
 
 
 @query
@@ -339,7 +339,7 @@ def file_catalog(spark, sf):
 @query
 def name_lookup(spark, sf):
     flat = _best(spark, sf).select("id", *paths.unpack("path", B.N_SHARE)).drop("p0", "p1", "p2")
-    return labels.with_names(flat, B.share_names(spark, sf), B.N_SHARE, how="inner")
+    return labels.with_names(flat, B.share_names(spark, sf), B.N_SHARE)
 
 
 @query
@@ -454,6 +454,22 @@ def read_score_log(spark, sf):
     return rounded(logs.parse_lines(lines, [str(n) for n in nations], 1), "prob")
 
 
+@query
+def read_mixed_logs(spark, sf):
+    """Nation scores in two logs: the second lists its labels the other way round and repeats some ids with other scores."""
+    nations = [str(r["label"]) for r in B.share_trained(spark, sf).filter("lvl = 1").orderBy("pos").collect()]
+    rows = scores.to_arrays(B.dense_shares(spark, sf, 1))
+    text = lambda probs: F.concat_ws(",", F.concat("id", F.lit(".jpg")), F.lit("0"), F.lit("0.5"), F.array_join(probs.cast("array<string>"), ","))
+    first = rows.where("id % 2 = 0").select(F.lit("a.csv").alias("file_name"), F.col("id").alias("line"), text(F.col("probs")).alias("value"))
+    again = F.when(F.col("id") % 2 == 0, F.transform("probs", lambda x: F.lit(0.5))).otherwise(F.reverse("probs"))
+    second = rows.where("id % 2 = 1 OR id % 10 = 0").select(F.lit("b.csv").alias("file_name"), F.col("id").alias("line"), text(again).alias("value"))
+    heads = [(f, -1, ",".join([*logs.LOG_HEAD, *order])) for f, order in (("a.csv", nations), ("b.csv", nations[::-1]))]
+    lines = spark.createDataFrame(heads, "file_name STRING, line BIGINT, value STRING").unionByName(first).unionByName(second)
+    found = logs.log_arrays(lines.select("*", F.lit(0).alias("block"), F.lit(1).alias("lvl")))
+    long = found.select("id", "lvl", F.inline(F.arrays_zip(F.col("labels").alias("label"), F.col("probs").alias("prob"))))
+    return rounded(long, "prob")
+
+
 @query
 def parse_train_log(spark, sf):
     """Epoch figures printed as training logs, one per event type, and read back."""

@@ -5,6 +5,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hierspark.functions.text import percent_text
+from hierspark.operators.labels import look_up
 from hierspark.operators.scores import to_arrays
 from hierspark.sources.logs import LOG_HEAD
 
@@ -28,14 +30,15 @@ def write_score_log(
 ) -> None:
     """Score log of one level: text lines under the header ``file,pred,conf,<labels>``.
 
-    ``pred`` is the taxon id of the best label, or the label itself without encodings.  The
+    ``pred`` is the taxon id of the best label, or the label itself without encodings; a label
+    that the encodings lack is an error.  The
     header is one more line of the same folder; readers recognise it by its names.
     """
     rows = to_arrays(scores).withColumn("conf", F.array_max("probs"))
     best = F.element_at("labels", F.array_position("probs", F.col("conf")).cast("int"))
     rows = rows.withColumn("label", best)
     if encodings is not None:
-        rows = rows.join(encodings, ["lvl", "label"]).withColumn("pred", F.col("taxon_id"))
+        rows = look_up(rows, encodings, ["lvl", "label"], "taxon_id", spread=["id"]).withColumn("pred", F.col("taxon_id"))
     else:
         rows = rows.withColumn("pred", F.col("label"))
     head = ",".join([*LOG_HEAD, *[str(x) for x in labels]])
@@ -88,7 +91,7 @@ def write_class_accuracy(accuracy: DataFrame, path: str) -> None:
     """``class,accuracy(%),num_tp,num_total``."""
     accuracy.select(
         F.col("true_label").alias("class"),
-        F.format_string("%.2f", "accuracy_percent").alias("accuracy(%)"),
+        percent_text(F.col("num_tp") / F.col("num_total")).alias("accuracy(%)"),
         "num_tp",
         "num_total",
     ).write.mode("overwrite").csv(path, header=True)

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from hierspark.operators import decode, hierarchy, metrics, report, scores
+from hierspark.operators import combine, decode, hierarchy, metrics, report, scores
 from hierspark.schema import EDGES, NAMES, SCORES
 from hierspark.sinks import writers
 from hierspark.sources import files, logs, meta, trainlog
@@ -44,6 +44,17 @@ def test_score_logs(spark, log_folder):
         logs.read_score_logs(spark, log_folder, ["class", "genus"])
 
 
+def test_every_log_has_its_own_header_and_the_first_line_wins(spark, tmp_path):
+    put(f"{tmp_path}/log_inference_class_a.csv", "file,pred,conf,1,2\nx.jpg,1,0.9,0.9,0.1\n")
+    put(f"{tmp_path}/log_inference_class_b.csv", "file,pred,conf,2,1\ny.jpg,1,0.8,0.2,0.8\nx.jpg,1,0.5,0.5,0.5\ny.jpg,1,0.8,0.8,0.2\n")
+    put(f"{tmp_path}/log_inference_order_a.csv", "file,pred,conf,7\nx.jpg,7,1.0,1.0\n")
+    got = logs.read_score_logs(spark, str(tmp_path), ["class", "order"])
+    assert rows(got.filter("lvl = 0"), "id", "label", "prob") == [("x.jpg", 1, 0.9), ("x.jpg", 2, 0.1), ("y.jpg", 1, 0.8), ("y.jpg", 2, 0.2)]
+    assert rows(combine.incomplete(got, 2), "id") == [("y.jpg",)]
+    with pytest.raises(Exception, match="headers differ in log_inference_class_b.csv"):
+        logs.read_score_arrays(spark, str(tmp_path), ["class", "order"], {"class": ["1", "2"], "order": ["7"]}).collect()
+
+
 def test_merged_log_needs_trained_labels(spark, tmp_path):
     put(f"{tmp_path}/log_inference_class_m.txt", "file,pred,conf,probs\nx.jpg,7,0.5,0.5,0.5\n")
     got = logs.read_score_logs(spark, str(tmp_path), ["class"], trained={"class": ["3", "8"]})

@@ -138,7 +138,11 @@ def test_labels(spark):
     out = spark.createDataFrame([("a", 0, 1)], "id STRING, lvl INT, pos INT")
     assert rows(labels.decode_output(out, trained, enc), "id", "label", "taxon_id") == [("a", 10, 777)]
     taxa = spark.createDataFrame([(0, 888), (0, 5)], "lvl INT, taxon_id BIGINT")
-    assert rows(labels.encode(taxa, enc), "taxon_id", "label") == [(888, 1)]
+    assert rows(labels.encode(taxa, enc, strict=False), "taxon_id", "label") == [(888, 1)]
+    with pytest.raises(Exception, match="no label for lvl=0, taxon_id=5"):
+        labels.encode(taxa, enc).collect()
+    with pytest.raises(Exception, match="no label for lvl=0, pos=7"):
+        labels.decode_output(spark.createDataFrame([("a", 0, 7)], "id STRING, lvl INT, pos INT"), trained, enc).collect()
     assert rows(labels.missing_keys(taxa, enc, ["lvl", "taxon_id"]), "taxon_id") == [(5,)]
 
 
@@ -186,3 +190,15 @@ def test_softmax_is_stable(spark):
     assert got == [[0.5, 0.5], [1.0, 0.0]]
     floored = spark.createDataFrame([([0.25, 0.5, 0.2, 0.05],)], "x ARRAY<DOUBLE>").select(probs.floor_uniform(F.col("x")))
     assert floored.first()[0] == [0.25, 0.5, 0.0, 0.0]
+
+
+def test_a_label_with_two_parents_is_an_error(spark):
+    edges = spark.createDataFrame([(0, 1, 11, 0), (0, 2, 11, 0)], "lvl INT, parent BIGINT, child BIGINT, ord INT")
+    with pytest.raises(Exception, match="two parents of label 11"):
+        hierarchy.nodes(edges).collect()
+
+
+def test_uniform_floor_needs_trained_labels(spark):
+    table = spark.createDataFrame([("a", 1, 1, 0, 0.5)], "id STRING, lvl INT, label BIGINT, ord INT, prob DOUBLE")
+    with pytest.raises(Exception, match="no trained label at level 1"):
+        scores.floor_uniform(table, spark.createDataFrame([(0, 0, 5)], "lvl INT, pos INT, label BIGINT")).collect()
