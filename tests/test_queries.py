@@ -10,7 +10,7 @@ from hierspark.plans.oracles import ORACLES
 from hierspark.plans.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-ROWS_ONLY = {"pca_fit", "pca_variance", "pca_project", "logreg_fit", "logreg_score", "stratified_cv"}
+ROWS_ONLY = {"pca_fit", "pca_variance", "pca_project", "logreg_fit", "logreg_score", "stratified_cv", "second_stage_path"}
 
 
 @pytest.fixture(scope="module")
