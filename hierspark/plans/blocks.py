@@ -313,13 +313,16 @@ def training_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     def show(name: str, phase: str):
         value = F.max(F.when(F.col("phase") == phase, half_up(F.col(name), 4)))
-        return F.coalesce(value, F.lit(0.0)).cast("decimal(18,4)").cast("string")
+        return value.cast("decimal(18,4)").cast("string")
+
+    def line(phase: str):
+        return F.concat(F.lit(f"\n{phase} Loss: "), show("loss", phase), F.lit(" Acc: "), show("acc", phase))
 
     lines = figures.groupBy("run", "epoch").agg(
         F.concat(
-            F.lit("Epoch "), F.col("epoch").cast("string"), F.lit("/99\n----------\n"),
-            F.lit("train Loss: "), show("loss", "train"), F.lit(" Acc: "), show("acc", "train"), F.lit("\n"),
-            F.lit("val Loss: "), show("loss", "val"), F.lit(" Acc: "), show("acc", "val"), F.lit("\n"),
+            # a phase without rows has no line
+            F.lit("Epoch "), F.col("epoch").cast("string"), F.lit("/99\n----------"),
+            F.coalesce(line("train"), F.lit("")), F.coalesce(line("val"), F.lit("")), F.lit("\n"),
         ).alias("block")
     )
     blocks = F.array_sort(F.collect_list(F.struct("epoch", "block")))

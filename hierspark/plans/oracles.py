@@ -322,9 +322,7 @@ _QUERIES: dict[str, str] = {
     + """SELECT CAST(t.id AS VARCHAR) || '.jpg' AS id, CAST(1 AS INTEGER) AS lvl, CAST(n_nationkey AS BIGINT) AS label, round(coalesce(s.prob, 0e0), 6) AS prob
          FROM tot t CROSS JOIN nation LEFT JOIN sc s ON s.id = t.id AND s.lvl = 1 AND s.label = n_nationkey""",
     "parse_train_log": _with(STEPS)
-    + """, e AS (SELECT DISTINCT epoch FROM hist), p AS (SELECT 'train' AS phase UNION ALL SELECT 'val')
-         SELECT 'month_' || CAST(e.epoch // 31 AS VARCHAR) AS run, e.epoch, p.phase, round(coalesce(loss, 0e0), 4) AS loss, round(coalesce(acc, 0e0), 4) AS acc
-         FROM e CROSS JOIN p LEFT JOIN hist h ON h.epoch = e.epoch AND h.phase = p.phase""",
+    + """SELECT 'month_' || CAST(epoch // 31 AS VARCHAR) AS run, epoch, phase, round(loss, 4) AS loss, round(acc, 4) AS acc FROM hist""",
     "zscore": """
         WITH x AS (SELECT vec_id AS id, unnest(range(len(embedding))) AS pos, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
         s AS (SELECT pos, avg(v) AS m, stddev_pop(v) AS sd FROM x GROUP BY pos)

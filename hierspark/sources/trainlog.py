@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed patterns of the log text.
-EPOCH = r"Epoch (\d+)/\d+[^\n]*\n[^\n]*\ntrain Loss: ([0-9.]+) Acc: ([0-9.]+)[^\n]*\nval Loss: ([0-9.]+) Acc: ([0-9.]+)"
+EPOCH = r"Epoch (\d+)/\d+[^\n]*\n[^\n]*(?:\ntrain Loss: ([0-9.]+) Acc: ([0-9.]+)[^\n]*)?(?:\nval Loss: ([0-9.]+) Acc: ([0-9.]+))?"
 CLASS_LINE = r"Test Accuracy of +([^\n]*?): *\d+% \( *(\d+)/ *(\d+)\)"
 OVERALL_LINE = r"Test Accuracy \(Overall\): *\d+% \( *(\d+)/ *(\d+)\)"
 
@@ -24,15 +24,16 @@ def _matches(logs: DataFrame, pattern: str, n_groups: int) -> DataFrame:
 
 
 def epochs(logs: DataFrame) -> DataFrame:
-    """``(run, epoch, phase, loss, acc)``: two rows per epoch."""
+    """``(run, epoch, phase, loss, acc)``: a row for each phase that an epoch has."""
     found = _matches(logs, EPOCH, 5)
+    number = lambda c: F.nullif(F.col(c), F.lit("")).cast("double")
     phases = F.array(
         *[
-            F.struct(F.lit(p).alias("phase"), F.col(a).cast("double").alias("loss"), F.col(b).cast("double").alias("acc"))
+            F.when(F.col(a) != "", F.struct(F.lit(p).alias("phase"), number(a).alias("loss"), number(b).alias("acc")))
             for p, a, b in (("train", "g2", "g3"), ("val", "g4", "g5"))
         ]
     )
-    return found.select("run", F.col("g1").cast("int").alias("epoch"), F.inline(phases))
+    return found.select("run", F.col("g1").cast("int").alias("epoch"), F.inline(F.array_compact(phases)))
 
 
 def class_accuracy(logs: DataFrame) -> DataFrame:
