@@ -193,10 +193,13 @@ def links(kept: DataFrame, counts: DataFrame, percent: int, eighths: int) -> Dat
     groups = components(first)
     named = members.select("signature", "id", "n", "bits").join(groups.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = F.min("root").over(bucket) != F.max("root").over(bucket)
-    open_ = named.withColumn("_mixed", mixed).where("_mixed").drop("_mixed")
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = (F.col("x.signature") == F.col("y.signature")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root"))
-    rest = x.join(y, apart & may_link("x", "y", percent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    open_ = stored(named.withColumn("_mixed", mixed).where("_mixed").drop("_mixed"), "open")
+    # a pair meets in every signature that it shares; only the smallest of them gives it out
+    listed = open_.join(open_.groupBy("id").agg(F.collect_set("signature").alias("shared")), "id")
+    x, y = listed.alias("x"), listed.alias("y")
+    apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", percent)
+    first_met = F.array_min(F.array_intersect("x.shared", "y.shared")) == F.col("x.signature")
+    rest = x.join(y, (F.col("x.signature") == F.col("y.signature")) & F.when(apart, first_met).otherwise(False)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     return first.unionByName(verified(rest, kept, percent))
 
 
