@@ -4,6 +4,10 @@ Words are runs of letters and digits, lower-cased.  A mask selects some of the w
 others; windows of a test item and of a document that agree on the selected words share a hash, so a substituted
 word in an ignored place does not hide a copy.  Every hit fixes an alignment of item and document, and the words of the
 whole item are compared there, place by place.
+
+The masks are all choices of three words within five that begin with the first.  No alignment that meets the rule is
+without a hit: if no five words in a row hold three that agree, blocks of five hold at most two each and what is left
+over at most two, which is under 60 % of seven words or more; 13 of 16 leave three in a row.
 """
 
 from __future__ import annotations
@@ -13,11 +17,13 @@ from pyspark.sql import functions as F
 
 from hierspark.llm.util import broadcast_up_to
 
-MASKS = ("1110111", "11011011", "1101100111")
+MASKS = ("111", "1101", "1011", "11001", "10101", "10011")
 SHORTEST = min(map(len, MASKS))
+LEAST_WORDS = 7
 SHARE = 0.6
 STRETCH, STRETCH_MATCHES = 16, 13
 BROADCAST_WINDOWS = 1_000_000
+BROADCAST_ITEMS = 100_000
 
 
 def words(text: Column) -> Column:
@@ -44,22 +50,25 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     A document holds an item if, at one alignment, ``share`` of the item's words agree, or 13 of 16 words in a
     row; ``matches`` is the largest number of agreeing words and ``start`` the first word of that alignment (negative if the
-    item begins before the document).  Items of fewer than seven words say too little and are held by no document.
+    item begins before the document).  Items of fewer than seven words say too little and are held by no document.  Every such
+    alignment is found for a ``share`` of 60 % or more; below that, those with three of five words in a row that agree.
     NULL and empty texts hold nothing; repeated rows of one id give one row; empty tables give no rows; other columns are
     ignored.  The windows of the items are broadcast up to a counted million and joined by a shuffle beyond it.
     """
-    tests = items.select(F.col(item_col).alias("_item"), words(F.col(item_text_col)).alias("_words"))
+    tests = items.select(F.col(item_col).alias("_item"), words(F.col(item_text_col)).alias("_words")).where(F.size("_words") >= LEAST_WORDS)
     keys = windows(tests, fits_only=True).where(F.col("_hash").isNotNull()).select("_hash", "_item", F.col("_at").alias("_item_at"), F.size("_words").alias("_n")).distinct()
     listed = docs.select(F.col(id_col).alias("_id"), words(F.col(text_col)).alias("_words"))
     hits = windows(listed, fits_only=False).join(broadcast_up_to(keys, BROADCAST_WINDOWS), "_hash")
     begin = F.col("_at") - F.col("_item_at")
     region = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.when(F.col("_begin") + k >= 0, F.get("_words", F.col("_begin") + k)))
-    aligned = hits.withColumn("_begin", begin).select("_id", "_item", "_begin", region.alias("_region")).dropDuplicates(["_id", "_item", "_begin"])
-    same = F.zip_with("_region", "_item_words", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
+    # judged where it is hit: only alignments that meet the rule are shuffled
+    aligned = hits.withColumn("_begin", begin).join(broadcast_up_to(tests.select("_item", F.col("_words").alias("_item_words")).distinct(), BROADCAST_ITEMS), "_item")
+    same = F.zip_with(region, "_item_words", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
     total = lambda part: F.aggregate(part, F.lit(0), lambda s, x: s + x)
-    pairs = aligned.join(tests.select("_item", F.col("_words").alias("_item_words")).distinct(), "_item").select("_id", "_item", "_begin", F.size("_item_words").alias("_n"), same.alias("_same"))
-    best = F.when(F.col("_n") >= STRETCH, F.array_max(F.transform(F.sequence(F.lit(1), F.col("_n") - STRETCH + 1), lambda k: total(F.slice("_same", k, STRETCH)))))
-    judged = pairs.select("_id", "_item", "_begin", "_n", total(F.col("_same")).alias("_matches"), F.coalesce(best, F.lit(0)).alias("_best"))
+    pairs = aligned.where(F.size("_item_words") == F.col("_n")).select("_id", "_item", "_begin", "_n", same.alias("_same"))
+    stretch = F.array_max(F.transform(F.sequence(F.lit(1), F.col("_n") - STRETCH + 1), lambda k: total(F.slice("_same", k, STRETCH))))
+    best = F.when((F.col("_n") >= STRETCH) & (F.col("_matches") >= STRETCH_MATCHES), stretch)
+    judged = pairs.withColumn("_matches", total(F.col("_same"))).withColumn("_best", F.coalesce(best, F.lit(0)))
     held = judged.where((F.col("_matches") >= share * F.col("_n")) | (F.col("_best") >= STRETCH_MATCHES))
     top = F.max(F.struct(F.col("_matches"), -F.col("_begin"), F.col("_n"))).alias("_top")
     return held.groupBy("_id", "_item").agg(top).select(

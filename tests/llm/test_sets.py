@@ -152,6 +152,30 @@ def test_substituted_passages_are_found(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
 
 
+def test_random_substitutions_against_all_alignments(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    items = [[word() for _ in range(n)] for n in (7, 8, 9, 10, 11, 13, 15, 15, 17, 20, 24, 30, 45)]
+    docs = []
+    for i in range(1200):
+        item, rate = rng.choice(items), rng.choice([0.1, 0.2, 0.3, 0.4])
+        part = [word() if rng.random() < rate else w for w in item]
+        docs.append([word() for _ in range(rng.randrange(12))] + part[rng.choice([0, 0, 0, 1, 2]) : len(part) - rng.choice([0, 0, 0, 1, 2])] + [word() for _ in range(rng.randrange(12))])
+    want = {}
+    for i, d in enumerate(docs):
+        for k, item in enumerate(items):
+            best = None
+            for start in range(1 - len(item), len(d)):
+                same = [0 <= start + j < len(d) and d[start + j] == w for j, w in enumerate(item)]
+                if sum(same) >= 0.6 * len(item) or any(sum(same[j : j + 16]) >= 13 for j in range(len(item) - 15)):
+                    best = max(best or (0, 0), (sum(same), -start))
+            if best:
+                want[i, k] = (len(item), best[0], -best[1])
+    tables = [spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(xs)], f"{name} bigint, text string") for xs, name in ((docs, "doc_id"), (items, "item_id"))]
+    got = {(r["doc_id"], r["item_id"]): (r["item_words"], r["matches"], r["start"]) for r in decontaminate.contaminated(*tables).collect()}
+    assert got == want and len(want) > 700
+
+
 def test_a_long_item_held_in_part_and_awkward_texts(spark, awkward, nothing):
     item = " ".join(f"v{i}" for i in range(100))
     tests = spark.createDataFrame([(1, item), (2, "alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id bigint, text string")
