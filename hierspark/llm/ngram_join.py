@@ -76,7 +76,7 @@ def _kept(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         take = batch.take(pa.array(good, pa.int64()))
         offsets = lambda x: pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32))
         flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        yield pa.RecordBatch.from_arrays([take.column(0), pa.array([len(x) for x in lists], pa.int64()), take.column(4), pa.ListArray.from_arrays(offsets(lists), flat(lists)), pa.ListArray.from_arrays(offsets(bits), flat(bits))], names=["id", "n", "own", "tokens", "bits"])
+        yield pa.RecordBatch.from_arrays([take.column(2), pa.array([len(x) for x in lists], pa.int64()), take.column(4), pa.ListArray.from_arrays(offsets(lists), flat(lists)), pa.ListArray.from_arrays(offsets(bits), flat(bits))], names=["id", "n", "own", "tokens", "bits"])
 
 
 def missing(n: int, percent: int) -> int:
@@ -99,8 +99,9 @@ def _rows(batches: Iterator[pa.RecordBatch], percent: int, eighths: int) -> Iter
             need = missing(n, percent) + 1
             parts = max(1, *(int(p * missing(1 << b, percent)) for b in bands(n, percent) for _, _, p in CLASSES))
             short = first.sum() - 2 * parts < need
-            for own, is_spare in ((found[first], False), (found[~first][:need] if short else found[:0], True)):
-                tokens.append(own.view(np.int64))
+            # the spares in the order of signatures(), which reads tokens as signed numbers
+            for own, is_spare in ((found[first].view(np.int64), False), (np.sort(found[~first].view(np.int64))[: need if short else 0], True)):
+                tokens.append(own)
                 sizes.append((id_, n, len(own), is_spare))
         repeat = [s[2] for s in sizes]
         ids = pa.array([s[0] for s in sizes]).take(pa.array(np.repeat(np.arange(len(sizes)), repeat)))
@@ -210,7 +211,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with the same set, ``component_id`` the smallest id that links reach.  A text of fewer words than ``width`` is one
     shingle; NULL and empty texts have none and link with nothing: their class and component are themselves.  Rows with
     a NULL id link with nothing and have a NULL class and component.  Repeated rows of an id give a row each; if their
-    texts differ, the id belongs to the component of each.  Ids are whole numbers; other columns are ignored.
+    texts differ, each row has the class and the component of its own text.  Ids are whole numbers; other columns are ignored.
     ``eighths`` of all tokens are counted; it changes the work, not the result.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
@@ -224,8 +225,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spread = F.expr(f"n * {100 - percent} div 100")
     alive = stored(classes.join(singles, "key", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(F.col("own") <= spread), "alive")
     chosen = own.join(broadcast_up_to(alive.withColumnRenamed("class_id", "id").select("id", "key", "key2", "own"), BROADCAST_SETS), "id")
+    # from here on a class goes by its key: two classes may have the same smallest id
     kept = stored(chosen.select("id", "text", "key", "key2", "own").mapInArrow(lambda b: _kept(b, width), "id bigint, n bigint, own bigint, tokens array<bigint>, bits array<bigint>").dropDuplicates(["id"]), "kept")
-    found = components(links(kept, seen.where("token is not null").select("token", "rate"), percent, eighths))
-    named = sets.join(classes, ["key", "key2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"))
-    whole = named.join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
-    return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", F.coalesce("root", "class_id").alias("component_id"))
+    found = components(links(kept, seen.where("token is not null").select("token", "rate"), percent, eighths)).withColumnRenamed("node", "key").join(alive.select("key", "class_id"), "key")
+    found = stored(found, "found")
+    reached = found.select("key", "root").join(found.groupBy("root").agg(F.min("class_id").alias("component_id")), "root").select(F.col("key").alias("linked"), "component_id")
+    named = sets.join(classes, ["key", "key2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"), F.when(F.col("class_id").isNotNull() & F.col("id").isNotNull(), F.col("key")).alias("linked"))
+    whole = named.join(reached, "linked", "left")
+    return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component_id", "class_id").alias("component_id"))

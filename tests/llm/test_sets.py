@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from compare import database, differences
@@ -92,6 +93,36 @@ def test_similar_sets_share_a_signature(monkeypatch):
     assert shared > 200
 
 
+@pytest.mark.parametrize("percent, eighths", [(80, 3), (90, 2)])
+def test_similar_small_sets_share_a_signature(percent, eighths):
+    """Through _rows, where few or no tokens are counted and the others stand in."""
+    rng = np.random.default_rng(percent)
+    sets = {}
+    for k in range(6000):
+        a = np.unique(rng.integers(0, 2**64, rng.integers(2, 13), dtype=np.uint64))
+        b = np.unique(np.append(a[rng.permutation(len(a))[: len(a) - rng.integers(0, 2)]], rng.integers(0, 2**64, rng.integers(0, 2), dtype=np.uint64)))
+        sets[2 * k], sets[2 * k + 1] = a, b
+    listed = pa.array([x.view(np.int64) for x in sets.values()], pa.list_(pa.int64()))
+    batch = pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([len(x) for x in sets.values()], pa.int64()), listed], names=["id", "n", "tokens"])
+    held = Counter(t for x in sets.values() for t in x.view(np.int64).tolist())
+    rated, own = {i: [] for i in sets}, Counter()
+    for i, t, spare in ((r["id"], r["token"], r["spare"]) for r in pa.Table.from_batches(list(ngram_join._rows(iter([batch]), percent, eighths))).to_pylist()):
+        if spare or held[t] > 1:
+            rated[i].append((ngram_join.LAST if spare else held[t], t))
+    for i, x in sets.items():
+        own[i] = sum(held[t] == 1 for t in x[ngram_join.counted(x, eighths)].view(np.int64).tolist())
+    made = {i: ngram_join.signatures(len(x), own[i], rated[i], percent) for i, x in sets.items()}
+    linked = [i for i in range(0, len(sets), 2) if 100 * len(np.intersect1d(sets[i], sets[i + 1])) >= percent * len(np.union1d(sets[i], sets[i + 1]))]
+    assert len(linked) > 1000 and [i for i in linked if not made[i] & made[i + 1]] == []
+
+
+def test_two_texts_of_one_id_keep_their_links(spark):
+    first, second = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    docs = spark.createDataFrame([(1, first), (1, second), (2, first + " x"), (3, second + " x"), (4, second), (None, first)], "doc_id bigint, text string")
+    got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["component_id"] or 0) for r in ngram_join.near_groups(docs).collect())
+    assert got == [(0, 0, 0), (1, 1, 1), (1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 1, 1)]
+
+
 def test_groups_of_awkward_texts(spark, awkward, nothing):
     got = sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in ngram_join.near_groups(awkward).collect())
     assert len(got) == awkward.count()
