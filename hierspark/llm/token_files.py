@@ -2,10 +2,10 @@
 
 A shard file holds the documents of one range of keys:
 
-    magic "TIDS", version, number of documents n, dictionary digest (xxhash64 of its bytes)
+    magic "TIDS", version, dictionary digest (xxhash64 of its bytes)
     frames: little-endian unsigned 32-bit ids, compressed with the shared dictionary
     index: keys int64[n], offsets uint64[n + 1], ids uint64[n]
-    start of the index, magic
+    number of documents n, magic
 
 The dictionary is a file beside the shards, named by its digest.  Any document can be read by one seek.
 A shard is written under a temporary name and renamed, so a repeated task leaves the same file.
@@ -14,10 +14,8 @@ A shard is written under a temporary name and renamed, so a repeated task leaves
 from __future__ import annotations
 
 import math
-import re
 import struct
 import uuid
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,65 +26,14 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
+from hierspark.llm.byte_bpe import encoder
 from hierspark.llm.util import pieces, texts_of
 
-MAGIC = b"TIDS"
-HEAD = struct.Struct("<4sIQQ")
+MAGIC, VERSION = b"TIDS", 2
+HEAD = struct.Struct("<4sIQ")
 TAIL = struct.Struct("<Q4s")
-KEPT_WORDS = 600_000
-_SPACE_RUN = re.compile(r" \s|\s ")
-_SINGLE = re.compile(r"(?<=\S) (?=\S)")
-
-
-class Encoder:
-    """The tokenizer with a memory of the words that it has seen.
-
-    Byte-level pre-tokenization always begins a token at a single space between two other characters, so a text
-    may be cut there and its parts encoded apart.  Texts that name a special token are encoded in one go.
-    """
-
-    def __init__(self, path: str, end_id: int):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.end = array("I", [end_id]).tobytes()
-
-    def learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        new = list(words.difference(known))
-        if len(known) + len(new) > KEPT_WORDS:
-            known.clear()
-            new = list(words)
-        for word, found in zip(new, self.tokenizer.encode_batch_fast([lead + w for w in new], add_special_tokens=False)):
-            known[word] = array("I", found.ids).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text and the end id, as little-endian 32-bit numbers."""
-        cut: list[list[str] | None] = []
-        for text in texts:
-            if any(s in text for s in self.special):
-                cut.append(None)
-            elif _SPACE_RUN.search(text) or text[:1] == " " or text[-1:] == " ":
-                cut.append(_SINGLE.split(text))
-            else:
-                cut.append(text.split(" "))
-        heads = [None if parts is None else parts.pop(0) for parts in cut]
-        self.learn(self.first, {h for h in heads if h is not None}, "")
-        self.learn(self.later, set().union(*(p for p in cut if p)), " ")
-        later = self.later.__getitem__
-        whole = lambda text: array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return [(whole(text) if parts is None else self.first[head] + b"".join(map(later, parts))) + self.end for text, head, parts in zip(texts, heads, cut)]
-
-
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
-
-
-def encoder(path: str, end_id: int) -> Encoder:
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = Encoder(path, end_id)
-    return _ENCODERS[path, end_id]
+SAMPLE_CHARS = 1 << 16
 
 
 def digest(content: bytes) -> int:
@@ -123,7 +70,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
     for batch in pieces(batches, 1):
         if out is None:
             out = files.open_output_stream(temporary)
-            out.write(HEAD.pack(MAGIC, 1, 0, digest(dictionary)))
+            out.write(HEAD.pack(MAGIC, VERSION, digest(dictionary)))
         for ids in codes.encode(texts_of(batch, 1)):
             offsets.append(offsets[-1] + out.write(squeeze.compress(ids)))
             sizes.append(len(ids) // 4)
@@ -139,14 +86,15 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_i
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", dictionary_sample: int = 1000, level: int = 3) -> DataFrame:
     """Write all documents in ascending key order; return the shards (shard, file, docs, ids, start).
 
-    ``dictionary_sample`` bounds (in expectation) the documents, taken by the hash of their key, that train the dictionary.
+    ``dictionary_sample`` bounds (in expectation) the documents, taken by the hash of their key, that train the dictionary;
+    documents of over 65,536 characters do not train it.
     Keys are whole numbers; rows with a NULL key cannot be placed and are left out.  NULL texts are empty documents: the end
     id alone.  Repeated keys are neighbours, ordered by text.  An empty table makes no shard.
     """
     spark = docs.sparkSession
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     share = min(1.0, dictionary_sample / max(1, rows.count()))
-    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < math.ceil((1 << 30) * share)).select("text").collect()
+    sample = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < math.ceil((1 << 30) * share)).where(F.length("text") <= SAMPLE_CHARS).select("text").collect()
     dictionary = train_dictionary(encoder(tokenizer, end_id).encode([r["text"] for r in sample]))
     files, root = filesystem(folder)
     files.create_dir(root, recursive=True)
@@ -170,9 +118,9 @@ class Shard:
     def __init__(self, folder: str, name: str):
         files, root = filesystem(folder)
         self.file = files.open_input_file(f"{root}/{name}")
-        magic, version, _, stamp = HEAD.unpack(self.file.read_at(HEAD.size, 0))
+        magic, version, stamp = HEAD.unpack(self.file.read_at(HEAD.size, 0))
         n, end = TAIL.unpack(self.file.read_at(TAIL.size, self.file.size() - TAIL.size))
-        if (magic, version, end) != (MAGIC, 1, MAGIC):
+        if (magic, version, end) != (MAGIC, VERSION, MAGIC):
             raise ValueError(f"{name} is not a shard")
         index = self.file.read_at(8 * (3 * n + 1), self.file.size() - TAIL.size - 8 * (3 * n + 1))
         self.keys = np.frombuffer(index, "<i8", n)
