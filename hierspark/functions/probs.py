@@ -4,17 +4,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: inside a lambda an expression would be evaluated again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def softmax(logits: Column) -> Column:
-    """Softmax of an ``ARRAY<DOUBLE>``, shifted by its maximum so ``exp`` cannot overflow."""
-    top = F.array_max(logits)
-    weights = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(weights, lambda w: w / total)
+    """Softmax of an ``ARRAY<DOUBLE>``, shifted by its maximum so ``exp`` cannot overflow; linear in the width."""
+    shifted = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return let(shifted, lambda weights: let(total(weights), lambda whole: F.transform(weights, lambda w: w / whole)))
 
 
 def log_sum_exp(logits: Column) -> Column:
-    top = F.array_max(logits)
-    return top + F.ln(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+    return let(F.array_max(logits), lambda top: top + F.ln(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))))
 
 
 def log_prob(logits: Column, pos: Column) -> Column:
@@ -24,8 +30,7 @@ def log_prob(logits: Column, pos: Column) -> Column:
 
 def mean_log_prob(logits: Column) -> Column:
     """Mean of the log-softmax over all positions."""
-    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + x)
-    return total / F.size(logits) - log_sum_exp(logits)
+    return total(logits) / F.size(logits) - log_sum_exp(logits)
 
 
 def floor_prob(prob: Column, threshold) -> Column:
@@ -36,8 +41,7 @@ def floor_prob(prob: Column, threshold) -> Column:
 
 def floor_uniform(values: Column) -> Column:
     """Zero the elements below ``1 / size`` of a full score array."""
-    limit = F.lit(1.0) / F.size(values)
-    return F.transform(values, lambda x: floor_prob(x, limit))
+    return let(F.lit(1.0) / F.size(values), lambda limit: F.transform(values, lambda x: floor_prob(x, limit)))
 
 
 def product(values: Column) -> Column:

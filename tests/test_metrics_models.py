@@ -163,3 +163,30 @@ def test_folds_are_stratified_and_cv_reports(spark, clusters):
     assert report["n_folds"] == 4 and report["acc_mean"] == pytest.approx(np.mean(accuracies))
     assert report["acc_std"] == pytest.approx(np.std(accuracies)) and report["validation_acc"] == 0.5
     assert report["acc_mean"] > 0.8
+
+
+def test_softmax_is_linear_in_the_width(spark):
+    import time
+
+    import numpy as np
+
+    from hierspark.functions import probs
+
+    width = 2537
+    rows = spark.range(200).select(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.sin(k * 0.7 + F.col("id")) * 30).alias("x")).repartition(4).cache()
+    rows.count()
+    begun = time.time()
+    got = rows.select("x", probs.softmax(F.col("x")).alias("p"), probs.log_sum_exp(F.col("x")).alias("l"), probs.mean_log_prob(F.col("x")).alias("m")).limit(200).collect()
+    assert time.time() - begun < 20
+    for r in got[:20]:
+        x = np.array(r["x"])
+        want = np.exp(x - x.max())
+        whole = np.log(want.sum()) + x.max()
+        assert np.allclose(r["p"], want / want.sum()) and np.isclose(r["l"], whole) and np.isclose(r["m"], (x - whole).mean())
+
+
+def test_softmax_of_null_and_empty(spark):
+    from hierspark.functions import probs
+
+    row = spark.sql("select cast(null as array<double>) a, cast(array() as array<double>) b, array(1e308, -1e308) c").select(*(probs.softmax(F.col(c)).alias(c) for c in "abc")).first()
+    assert row["a"] is None and row["b"] == [] and row["c"] == [1.0, 0.0]
