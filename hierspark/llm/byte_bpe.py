@@ -18,11 +18,10 @@ from array import array
 import regex
 from tokenizers import Tokenizer
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 800_000
 # The pattern that byte-level pre-tokenization splits by, and the characters that stand for bytes.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_SPACE_RUN = re.compile(r" \s|\s ")
 _SINGLE = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = ",.;:!?"
 
@@ -33,6 +32,13 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in PRINTED} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def plain(text: str) -> bool:
+    """Whether all white space is single spaces and single line ends between other characters."""
+    if not text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    return text.replace("\n", "").isprintable() and not any(run in text for run in ("  ", " \n", "\n ", "\n\n"))
+
+
 class Words(dict):
     """Ids by word; a word that is not here comes from the older generation or is encoded."""
 
@@ -71,13 +77,13 @@ class Encoder:
         return array("I", [t.id for t in known]).tobytes()
 
     def word(self, word: str) -> bytes:
-        """Ids of a word with the space before it."""
+        """Ids of a word with the space before it, or with the line end that it begins with."""
         if word.isalpha():
             return self.part(" " + word)
         core = word.rstrip(_MARKS)
         if core.isalpha():
             return self.young[core] + self.mark(word[len(core) :])
-        return b"".join(map(self.part, self.split(" " + word)))
+        return b"".join(map(self.part, self.split(word if word[:1] == "\n" else " " + word)))
 
     def mark(self, marks: str) -> bytes:
         found = self.marks.get(marks)
@@ -92,10 +98,11 @@ class Encoder:
         for text in texts:
             if not self.by_words or any(s in text for s in self.special):
                 cut.append(None)
-            elif _SPACE_RUN.search(text) or text[:1] == " " or text[-1:] == " ":
-                cut.append(_SINGLE.split(text))
+            elif plain(text):
+                # a line end between two other characters is a token of its own as well
+                cut.append(text.replace("\n", " \n").split(" "))
             else:
-                cut.append(text.split(" "))
+                cut.append(_SINGLE.split(text))
         heads = [None if words is None else words.pop(0) for words in cut]
         if len(self.young) > self.kept_words:
             self.young = Words(self, dict(self.young))
