@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hierspark.llm import chat, decontaminate, html, imatch, langid, ngram_join, packing, sentencepiece_bpe, token_files, toxic, urls
+from hierspark.llm import chat, decontaminate, filter_audit, html, imatch, langid, ngram_join, packing, sentencepiece_bpe, token_files, toxic, urls
 from hierspark.llm.util import bucket, shared_folder
 
 # Rules and the literal conversation of the query's contract.
@@ -76,10 +76,14 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_records(chat.records_of(turns)))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "packed")
     packing.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), PACKED_END_ID)
     return packing.read(spark, folder).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_decontaminate, op4_language_id, op5_url_filter, op6_html_text, op7_fingerprint, op8_token_files, op9_toxicity, op10_chat_format, op13_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_decontaminate, op4_language_id, op5_url_filter, op6_html_text, op7_fingerprint, op8_token_files, op9_toxicity, op10_chat_format, op12_filter_audit, op13_packing)}

@@ -1,5 +1,8 @@
 """Byte-level encoding, packing and the radix-trie audit against plain Python."""
 
+import itertools
+import random
+import re
 import zlib
 
 import duckdb
@@ -8,9 +11,10 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hierspark.llm import byte_bpe, packing, queries
+from hierspark.llm import byte_bpe, filter_audit, packing, queries
 
 SF = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -83,3 +87,75 @@ def test_packing_of_awkward_texts(spark, awkward, nothing, tmp_path):
     assert packing.read(spark, f"file://{tmp_path}/b").count() == 0
     with pytest.raises(ValueError):
         packing.write(awkward, f"file://{tmp_path}/c", BPE, 0, longest=1000)
+
+
+# Filter audit
+
+
+@given(st.lists(st.binary(max_size=6) | st.sampled_from([b"abc" * 30, b"abc" * 30 + b"x", b"abc" * 29, b""])))
+@settings(deadline=None)
+def test_trie_tells_texts_apart(texts):
+    trie, seen = filter_audit.Trie(), {}
+    for t in texts:
+        assert trie.insert(t) == seen.setdefault(t, len(seen))
+
+
+@given(st.lists(st.tuples(st.binary(max_size=4), st.integers(1, 9)), unique_by=lambda x: x[0]))
+def test_separators_keep_order(prefixes):
+    found = filter_audit.separators(prefixes, 10)
+    assert found == sorted(set(found)) and all(0 < len(s) <= 4 for s in found)
+    buckets = {}
+    for p, n in prefixes:
+        at = sum(s <= p for s in found)
+        buckets.setdefault(at, []).append(n)
+    assert all(sum(b) <= 10 or len(b) == 1 for b in buckets.values())
+
+
+def plain_masks(rows):
+    out = []
+    for i, text, _ in rows:
+        t = text or ""
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", t) if w]
+        mask = (len(words) < 50) | (100 * len(set(words)) < 65 * len(words)) << 1 | (100 * len(re.findall("[A-Z]", t)) > 5 * len(t)) << 2 | bool(re.search(r"[#$%&*|]", t)) << 3
+        out.append(mask | (i is not None and any(j is not None and j < i and (u or "") == t for j, u, _ in rows)) << 4)
+    return out
+
+
+def plain_audit(rows, labels):
+    want, found = {}, plain_masks(rows)
+    good, bad = ({i for i, *x in labels if x[k] == 1 and i is not None} for k in (0, 1))
+    for part in {p or "" for *_, p in rows}:
+        own = [(i, m) for (i, _, p), m in zip(rows, found) if (p or "") == part]
+        shares = dict.fromkeys("ABCDE", 0)
+        for order in itertools.permutations("ABCDE"):
+            left = own
+            for step, letter in enumerate(order, 1):
+                bit = 1 << "ABCDE".index(letter)
+                gone = [(i, m) for i, m in left if m & bit]
+                left = [(i, m) for i, m in left if not m & bit]
+                shares[letter] += len(gone)
+                redundant = sum(bool(m & bit) for _, m in own) - len(gone)
+                want[part, "".join(order), step] = [len(left), len(gone), redundant, sum(m == bit for _, m in own), sum(i in good for i, _ in gone), sum(i in bad for i, _ in gone)]
+        for (p, order, step), counts in want.items():
+            if p == part:
+                counts.append(shares[order[step - 1]])
+    return want
+
+
+def test_audit_against_plain_python(spark, awkward, nothing):
+    rng = random.Random(3)
+    shared = "The same long beginning of many texts. " * 40
+    texts = ["", None, " \n", "A B", "x # y", "Über " * 60, *(shared + str(k) for k in range(40)), *(" ".join(rng.choices([f"w{n}" for n in range(90)], k=70)) for _ in range(6))]
+    rows = [(i if i % 17 else None, rng.choice(texts), rng.choice(["a", "b", "", None])) for i in range(400)] + [(5, "A B", "a"), (5, "A B", "a")] + [(i, "hot text #1", "hot") for i in range(900, 1100)]
+    labels = [(i, rng.choice([0, 1, None]), rng.choice([0, 1, None])) for i in rng.choices(range(1100), k=500)] + [(None, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("mask", F.lit(7)).repartition(5)
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    want = plain_audit(rows, labels)
+    for bucket_bytes in (1 << 23, 2000):
+        got = {(r["part"], r["filter_order"], r["step"]): [*r][3:] for r in filter_audit.audit(docs, marks, bucket_bytes=bucket_bytes).collect()}
+        assert got == want
+    assert len(filter_audit.boundaries(docs.select(F.coalesce("text", F.lit("")).alias("_text")), 2000)) > 5
+    odd = awkward.withColumn("source", F.lit("s"))
+    plain = [(r["doc_id"], r["text"], "s") for r in odd.collect()]
+    assert sorted((r["id"] or 0, r["mask"]) for r in filter_audit.masks(odd).collect()) == sorted((i or 0, m) for (i, *_), m in zip(plain, plain_masks(plain)))
+    assert filter_audit.audit(nothing.withColumn("source", F.lit("s")), marks).count() == 0
