@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hierspark.llm import chat, decontaminate, filter_audit, html, imatch, langid, ngram_join, packing, sentencepiece_bpe, token_files, toxic, urls
+from hierspark.llm import chat, decontaminate, filter_audit, hard_negatives, html, imatch, langid, ngram_join, packing, sentencepiece_bpe, token_files, toxic, urls
 from hierspark.llm.util import bucket, shared_folder
 
 # Rules and the literal conversation of the query's contract.
@@ -76,6 +76,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_records(chat.records_of(turns)))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", shifted), F.col("id") % 100 == 0)
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -86,4 +92,4 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.read(spark, folder).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_decontaminate, op4_language_id, op5_url_filter, op6_html_text, op7_fingerprint, op8_token_files, op9_toxicity, op10_chat_format, op12_filter_audit, op13_packing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_decontaminate, op4_language_id, op5_url_filter, op6_html_text, op7_fingerprint, op8_token_files, op9_toxicity, op10_chat_format, op11_hard_negatives, op12_filter_audit, op13_packing)}
