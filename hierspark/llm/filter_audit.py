@@ -226,6 +226,7 @@ def audit(docs: DataFrame, labels: DataFrame, rules: Rules | None = None, id_col
     keyed = masks(docs, rules, id_col, text_col, part_col, bucket_bytes).select(F.coalesce("id", F.lit(0)).alias("_id"), spread.alias("_spread"), "part", "mask")
     joined = keyed.join(marked.withColumn("_spread", F.lit(-1).cast("bigint")), ["_id", "_spread"], "left")
     counts = joined.groupBy("part", "mask").agg(F.count("*").alias("n"), *(F.sum(F.coalesce(c, F.lit(0))).cast("bigint").alias(name) for c, name in (("_good", "good"), ("_toxic", "bad"))))
+    counts = stored(counts, "counts")  # at most 32 rows a part, read twice
     pairs = [(sum(before), bit) for bit in (1, 2, 4, 8, 16) for k in range(5) for before in combinations([b for b in (1, 2, 4, 8, 16) if b != bit], k)]
     cases = F.explode(F.array(*(F.struct(F.lit(before).alias("before"), F.lit(bit).alias("bit")) for before, bit in pairs))).alias("case")
     mask, before, bit = F.col("mask"), F.col("before"), F.col("bit")

@@ -307,10 +307,12 @@ def mine(
     near = chosen.repartitionByRange(-(-extent["n"] // (100 * GROUP)) or 1, "key", "id").sortWithinPartitions("key", "id")
     anchors = stored(grouped(near, GROUP), "anchors")
     spans = F.explode(F.sequence(F.lit(0), F.lit(SPANS - 1))).alias("span")
-    near_by = anchors.select("*", spans).groupBy("grp", "span").applyInArrow(_positives(folder, width, rule.positives), f"{ANCHORS}, found {FOUND}")
+    # few bytes, much work: a stated number of partitions, so that groups are not put together by their bytes
+    n_parts = -(-anchors.count() // GROUP) * SPANS or 1
+    near_by = anchors.select("*", spans).repartition(n_parts, "grp", "span").groupBy("grp", "span").applyInArrow(_positives(folder, width, rule.positives), f"{ANCHORS}, found {FOUND}")
     whole = near_by.groupBy("uid").agg(*(F.max(c).alias(c) for c in ("grp", "id", "label")), F.first("vec", ignorenulls=True).alias("vec"), first(F.col("found"), rule.positives).alias("positives"))
     known = stored(whole.where(F.size("positives") > 0), "positives")
-    apart = known.select("*", spans).groupBy("grp", "span").applyInArrow(_negatives(folder, width, rule), f"uid bigint, id bigint, nth int, positive_id bigint, positive_score bigint, found {FOUND}")
+    apart = known.select("*", spans).repartition(n_parts, "grp", "span").groupBy("grp", "span").applyInArrow(_negatives(folder, width, rule), f"uid bigint, id bigint, nth int, positive_id bigint, positive_score bigint, found {FOUND}")
     merged = apart.groupBy("uid", "nth").agg(*(F.max(c).alias(c) for c in ("id", "positive_id", "positive_score")), first(F.col("found"), rule.negatives).alias("found"))
     return merged.select("id", "positive_id", "positive_score", F.posexplode("found").alias("_at", "_one")).select(
         F.col("id").alias("anchor_id"), "positive_id", (F.col("_at") + 1).alias("rank"), F.col("_one.id").alias("negative_id"), "positive_score", (-F.col("_one.worse")).alias("negative_score")

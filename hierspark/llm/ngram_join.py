@@ -13,9 +13,11 @@ Only a fixed part of the tokens, drawn by hash, is counted; it comes first in th
 singles where a prefix needs them.  A set with more than e counted tokens of its own has no partner at all and goes
 no further; that is nearly every document.
 
-Sets of equal tokens are one class.  Among classes, members of a bucket are first verified against a few pivots.  Their
-links make groups; then all pairs of a bucket that are still in different groups, and that sizes and parity bits
-allow, are verified too.  So no link between groups is lost, while a group of near copies never becomes all its pairs.
+Sets of equal tokens are one class.  Members of a bucket are first verified against a few pivots, which are plain
+aggregates; their links make groups.  Then members of a bucket that are still in different groups, and that sizes
+and parity bits allow, are verified by products of incidence matrices; only links that join groups leave a task.  At last
+the links of every class are counted inside its component, by the same products.  Buckets and components of any size
+are cut into square tiles of a bounded number of members, so no task gets a whole group and no pair becomes a row.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ CLASSES = ((32, 1, 0.0), (1024, 2, 0.5), (None, 3, 0.35))
 EIGHTHS = 8
 BITS = 8
 PIVOTS = 4
+#: Members of a tile's side, and columns of an incidence matrix.
+TILE, COLUMNS = 512, 4096
 LAST = 1 << 62
 BROADCAST_SETS = 2_000_000
 
@@ -155,7 +159,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         made = [list(signatures(r["n"], r["own"], [(x["rate"], x["token"]) for x in r["rated"] or ()], percent)) for r in batch.to_pylist()]
         back = pa.array(np.repeat(np.arange(batch.num_rows), [len(m) for m in made]))
         flat = pa.array([s for m in made for s in m], pa.int64())
-        yield pa.RecordBatch.from_arrays([flat, *(batch.column(i).take(back) for i in range(4))], names=["signature", "id", "n", "own", "bits"])
+        yield pa.RecordBatch.from_arrays([flat, batch.column(0).take(back), batch.column(2).take(back)], names=["signature", "id", "own"])
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
@@ -175,48 +179,174 @@ def verified(pairs: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
     return both.where(F.lit(100) * common >= F.lit(percent) * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
 
+def tiled(rows: DataFrame, group: str, size: str) -> DataFrame:
+    """Rows of the tiles of each group: ``_low``, ``_high`` and the row's own ``_block``; sorted by tile.
+
+    A group of up to ``TILE`` members is one tile.  A larger one is cut into blocks, and every two blocks make a tile.
+    """
+    n_blocks = F.ceil(F.col(size) / TILE).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(3)), n_blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda x: F.struct(F.least("_block", x).alias("_low"), F.greatest("_block", x).alias("_high")))
+    placed = rows.withColumn("_blocks", n_blocks).withColumn("_block", own).withColumn("_tile", F.explode(pairs))
+    rest = [c for c in rows.columns if c not in (group, size)]
+    tiles = placed.select(group, "_tile._low", "_tile._high", "_block", *rest)
+    return tiles.repartition(group, "_low", "_high").sortWithinPartitions(group, "_low", "_high")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int = 3) -> Iterator[pa.Table]:
+    """Consecutive rows that agree in the first columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)])
+        cuts = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(cuts, cuts[1:]):
+            now = tuple(columns[:, begin].tolist())
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(begin, end - begin))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def sides(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the members on both sides of a tile; a tile on the diagonal has the same on both."""
+    block = tile["_block"].to_numpy()
+    return np.flatnonzero(block == tile["_low"][0].as_py()), np.flatnonzero(block == tile["_high"][0].as_py())
+
+
+def close_enough(na: np.ndarray, nb: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * common >= percent * (na[:, None] + nb[None, :] - common)
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Common tokens of all pairs of two lists of sets, by products of their incidence matrices."""
+    if len(left) == len(right) == 1:
+        return np.array([[len(np.intersect1d(left[0], right[0], assume_unique=True))]])
+    _, column, count = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    keep = count > 1
+    number = np.where(keep, np.cumsum(keep) - 1, -1)[column]
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    row, number = row[number >= 0], number[number >= 0]
+    order = np.argsort(number, kind="stable")
+    row, number = row[order], number[order]
+    total = np.zeros((len(left), len(right)), np.float32)
+    for begin in range(0, int(keep.sum()), COLUMNS):
+        part = slice(*np.searchsorted(number, [begin, begin + COLUMNS]))
+        cells = np.zeros((len(left) + len(right), min(COLUMNS, int(keep.sum()) - begin)), np.float32)
+        cells[row[part], number[part] - begin] = 1
+        total += cells[: len(left)] @ cells[len(left) :].T
+    return total.astype(np.int64)
+
+
+def _open(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Members of a tile that sizes and parity bits allow to be similar to a member of another group."""
+    for tile in runs(batches):
+        a, b = sides(tile)
+        n, root = tile["n"].to_numpy(), tile["root"].to_numpy()
+        na, nb = n[a][:, None], n[b][None, :]
+        allowed = (root[a][:, None] != root[b][None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+        if not allowed.any():
+            continue
+        bits = tile["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), BITS)
+        differ = np.zeros(allowed.shape, np.int64)
+        for k in range(BITS):
+            differ += np.bitwise_count(bits[a, k][:, None] ^ bits[b, k][None, :])
+        allowed &= (100 + percent) * differ <= (100 - percent) * (na + nb)
+        found = np.unique(np.append(a[allowed.any(axis=1)], b[allowed.any(axis=0)]))
+        if len(found):
+            yield from tile.select(["signature", "_low", "_high", "_block", "id", "root"]).take(pa.array(found)).combine_chunks().to_batches()
+
+
+def token_sets(tile: pa.Table) -> list[np.ndarray]:
+    return [x.values.to_numpy() for x in tile["tokens"].combine_chunks()]
+
+
+def _joining(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of a tile that join two of its groups, as few as connect what all its links connect."""
+    for tile in runs(batches):
+        a, b = sides(tile)
+        n, ids, roots, sets = tile["n"].to_numpy(), tile["id"].to_numpy(), tile["root"].to_pylist(), token_sets(tile)
+        linked = close_enough(n[a], n[b], overlaps([sets[i] for i in a], [sets[i] for i in b]), percent)
+        above = {r: r for r in roots}
+
+        def top(r: int) -> int:
+            while above[r] != r:
+                above[r] = r = above[above[r]]
+            return r
+
+        pairs = []
+        for i, j in np.argwhere(linked).tolist():
+            x, y = top(roots[a[i]]), top(roots[b[j]])
+            if x != y:
+                above[x] = y
+                pairs.append((ids[a[i]], ids[b[j]]))
+        if pairs:
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """For each member of a tile, the documents in the classes that it links with on the other side."""
+    for tile in runs(batches):
+        a, b = sides(tile)
+        n, ids, sizes, sets = tile["n"].to_numpy(), tile["id"].to_numpy(), tile["size"].to_numpy(), token_sets(tile)
+        linked = close_enough(n[a], n[b], overlaps([sets[i] for i in a], [sets[i] for i in b]), percent) & (ids[a][:, None] != ids[b][None, :])
+        rows = [(ids[a], linked @ sizes[b])]
+        if tile["_low"][0].as_py() != tile["_high"][0].as_py():
+            rows.append((ids[b], linked.T @ sizes[a]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[k] for r in rows])) for k in (0, 1)], names=["id", "links"])
+
+
 def links(kept: DataFrame, counts: DataFrame, percent: int, eighths: int) -> DataFrame:
     """Links between classes: enough of them to connect all that all links connect."""
     rows = kept.select("id", "n", "tokens").mapInArrow(lambda b: _rows(b, percent, eighths), "id bigint, n bigint, token bigint, spare boolean")
     rated = rows.where("not spare").join(counts, "token").select("id", "token", "rate").unionByName(rows.where("spare").select("id", "token", F.lit(LAST).alias("rate")))
     listed = rated.groupBy("id").agg(F.collect_list(F.struct("rate", "token")).alias("rated"))
-    joined = kept.select("id", "n", "own", "bits").join(listed, "id")
-    made = joined.mapInArrow(lambda b: _signatures(b, percent), "signature bigint, id bigint, n bigint, own bigint, bits array<bigint>")
-    bucket = Window.partitionBy("signature")
+    made = stored(kept.select("id", "n", "own").join(listed, "id").mapInArrow(lambda b: _signatures(b, percent), "signature bigint, id bigint, own bigint"), "signatures")
     order = [F.struct(F.xxhash64("id", F.lit(r)), "id") for r in range(PIVOTS)] + [F.struct("own", F.xxhash64("id", F.lit(r)), "id") for r in range(PIVOTS)]
-    firsts = F.array(*(F.min(o).over(bucket)["id"] for o in order))
-    members = stored(made.withColumn("_m", F.count("*").over(bucket)).withColumn("pivots", firsts).where("_m > 1").drop("_m"), "signatures")
-    pivots = members.select("id", F.explode(F.array_distinct("pivots")).alias("b")).where("id != b").distinct()
+    buckets = made.groupBy("signature").agg(F.count("*").alias("m"), F.array_distinct(F.array(*(F.min(o)["id"] for o in order))).alias("pivots")).where("m > 1")
+    members = stored(made.select("signature", "id").join(buckets, "signature"), "members")
+    pivots = members.select("id", F.explode("pivots").alias("b")).where("id != b").select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     facts = kept.select("id", F.struct("n", "bits").alias("x"))
-    likely = pivots.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-    likely = likely.join(facts.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(facts.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
+    likely = pivots.join(facts.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(facts.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
     first = stored(verified(likely.where(may_link("xa", "xb", percent)).select("a", "b"), kept, percent), "links")
     groups = components(first)
-    named = members.select("signature", "id", "n", "bits").join(groups.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = F.min("root").over(bucket) != F.max("root").over(bucket)
-    open_ = stored(named.withColumn("_mixed", mixed).where("_mixed").drop("_mixed"), "open")
-    # a pair meets in every signature that it shares; only the smallest of them gives it out
-    listed = open_.join(open_.groupBy("id").agg(F.collect_set("signature").alias("shared")), "id")
-    x, y = listed.alias("x"), listed.alias("y")
-    apart = (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & may_link("x", "y", percent)
-    first_met = F.array_min(F.array_intersect("x.shared", "y.shared")) == F.col("x.signature")
-    rest = x.join(y, (F.col("x.signature") == F.col("y.signature")) & F.when(apart, first_met).otherwise(False)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    return first.unionByName(verified(rest, kept, percent))
+    named = members.select("signature", "m", "id").join(groups.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    named = stored(named, "named")
+    mixed = named.groupBy("signature").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least != _most").select("signature")
+    apart = named.join(mixed, "signature").join(kept.select("id", "n", "bits"), "id")
+    open_ = stored(tiled(apart, "signature", "m").mapInArrow(lambda b: _open(b, percent), "signature bigint, _low int, _high int, _block int, id bigint, root bigint"), "open")
+    exact = open_.join(kept.select("id", "n", "tokens"), "id").select("signature", "_low", "_high", "_block", "id", "root", "n", "tokens")
+    exact = exact.repartition("signature", "_low", "_high").sortWithinPartitions("signature", "_low", "_high")
+    return first.unionByName(exact.mapInArrow(lambda b: _joining(b, percent), "a bigint, b bigint"))
+
+
+def link_counts(found: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
+    """(key, links): how many documents of other classes each class links with; ``found`` has key, root and size."""
+    components_ = found.groupBy("root").agg(F.count("*").alias("m"))
+    rows = found.join(components_, "root").select("root", "m", F.col("key").alias("id"), "size").join(kept.select("id", "n", "tokens"), "id")
+    counted_ = tiled(rows.select("root", "m", "id", "size", "n", "tokens"), "root", "m").mapInArrow(lambda b: _counted(b, percent), "id bigint, links bigint")
+    return counted_.groupBy(F.col("id").alias("key")).agg(F.sum("links").alias("links"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90, eighths: int = 2) -> DataFrame:
-    """Return (id, n_shingles, class_id, component_id), one row per input row.
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 90, eighths: int = 2, count_links: bool = True) -> DataFrame:
+    """Return (id, n_shingles, class_id, component_id, n_links), one row per input row.
 
     Two documents link if 100 * common >= percent * union of their shingle sets.  ``class_id`` is the smallest id
-    with the same set, ``component_id`` the smallest id that links reach.  A text of fewer words than ``width`` is one
+    with the same set, ``component_id`` the smallest id that links reach, ``n_links`` the number of other rows that a row
+    links with, those of the same set included (left out without ``count_links``).  A text of fewer words than ``width`` is one
     shingle; NULL and empty texts have none and link with nothing: their class and component are themselves.  Rows with
-    a NULL id link with nothing and have a NULL class and component.  Repeated rows of an id give a row each; if their
+    a NULL id link with nothing, count for nothing and have a NULL class and component.  Repeated rows of an id give a row each; if their
     texts differ, each row has the class and the component of its own text.  Ids are whole numbers; other columns are ignored.
     ``eighths`` of all tokens are counted; it changes the work, not the result.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     sets = stored(own.mapInArrow(lambda b: _sets(b, width), "id bigint, n bigint, key bigint, key2 bigint"), "sets")
-    classes = sets.where("n > 0 and id is not null").groupBy("key", "key2", "n").agg(F.min("id").alias("class_id"))
+    classes = sets.where("n > 0 and id is not null").groupBy("key", "key2", "n").agg(F.min("id").alias("class_id"), F.count("*").alias("size"))
     seen = own.where("id is not null").select("text").mapInArrow(lambda b: _tokens(b, width, eighths), "token bigint, key bigint").groupBy("token").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("rate"))
     # One row for a token: the set that alone holds it, or the token itself and how often it is held.
     alone = F.col("low") == F.col("high")
@@ -227,9 +357,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chosen = own.join(broadcast_up_to(alive.withColumnRenamed("class_id", "id").select("id", "key", "key2", "own"), BROADCAST_SETS), "id")
     # from here on a class goes by its key: two classes may have the same smallest id
     kept = stored(chosen.select("id", "text", "key", "key2", "own").mapInArrow(lambda b: _kept(b, width), "id bigint, n bigint, own bigint, tokens array<bigint>, bits array<bigint>").dropDuplicates(["id"]), "kept")
-    found = components(links(kept, seen.where("token is not null").select("token", "rate"), percent, eighths)).withColumnRenamed("node", "key").join(alive.select("key", "class_id"), "key")
+    found = components(links(kept, seen.where("token is not null").select("token", "rate"), percent, eighths)).withColumnRenamed("node", "key").join(alive.select("key", "class_id", "size"), "key")
     found = stored(found, "found")
     reached = found.select("key", "root").join(found.groupBy("root").agg(F.min("class_id").alias("component_id")), "root").select(F.col("key").alias("linked"), "component_id")
-    named = sets.join(classes, ["key", "key2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"), F.when(F.col("class_id").isNotNull() & F.col("id").isNotNull(), F.col("key")).alias("linked"))
+    if count_links:
+        reached = reached.join(link_counts(found, kept, percent).withColumnRenamed("key", "linked"), "linked")
+    known = F.col("class_id").isNotNull() & F.col("id").isNotNull()
+    named = sets.join(classes, ["key", "key2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"), F.when(known, F.col("key")).alias("linked"), F.when(known, F.col("size") - 1).otherwise(F.lit(0)).alias("copies"))
     whole = named.join(reached, "linked", "left")
-    return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
+    n_links = [(F.col("copies") + F.coalesce("links", F.lit(0))).alias("n_links")] if count_links else []
+    return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", F.coalesce("component_id", "class_id").alias("component_id"), *n_links)

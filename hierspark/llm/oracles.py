@@ -46,7 +46,7 @@ sets AS (
   SELECT doc_id, list_sort(CASE
     WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
-classes AS (SELECT min(doc_id) AS class_id, s FROM sets WHERE len(s) > 0 GROUP BY s),
+classes AS (SELECT min(doc_id) AS class_id, count(*) AS size, s FROM sets WHERE len(s) > 0 GROUP BY s),
 tokens AS MATERIALIZED (SELECT class_id, len(s) AS n, unnest(s) AS t FROM classes),
 common AS (
   SELECT a.class_id AS x, b.class_id AS y, a.n AS na, b.n AS nb, count(*) AS c
@@ -57,9 +57,11 @@ edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(node, root) AS (
   SELECT class_id, class_id FROM classes
   UNION SELECT e.y, r.root FROM reach r JOIN edges e ON r.node = e.x),
-roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
-SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(c.class_id, s.doc_id) AS class_id, coalesce(r.root, s.doc_id) AS component_id
-FROM sets s LEFT JOIN classes c ON s.s = c.s LEFT JOIN roots r ON r.node = c.class_id
+roots AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+near AS (SELECT e.x, sum(c.size) AS n FROM edges e JOIN classes c ON c.class_id = e.y GROUP BY e.x)
+SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(c.class_id, s.doc_id) AS class_id, coalesce(r.root, s.doc_id) AS component_id,
+  (coalesce(c.size - 1, 0) + coalesce(near.n, 0))::BIGINT AS n_links
+FROM sets s LEFT JOIN classes c ON s.s = c.s LEFT JOIN roots r ON r.node = c.class_id LEFT JOIN near ON near.x = c.class_id
 """
 
 ORACLES["op3_decontaminate"] = r"""

@@ -43,12 +43,14 @@ def plain_groups(texts, width, percent):
             i = root[i]
         return i
 
+    n_links = Counter()
     for i in range(len(texts)):
         for j in range(i):
             if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                n_links.update([i, j])
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    return {i: (len(sets[i]), find(i)) for i in range(len(texts))}
+    return {i: (len(sets[i]), find(i), n_links[i]) for i in range(len(texts))}
 
 
 def mutated(rng, words, vocabulary, changes):
@@ -60,7 +62,8 @@ def mutated(rng, words, vocabulary, changes):
 
 @pytest.mark.parametrize("width, percent, eighths", [(3, 90, 2), (5, 80, 3), (2, 60, 8), (3, 90, 1)])
 @pytest.mark.parametrize("small_vocabulary", [False, True])
-def test_groups_against_all_pairs(spark, width, percent, eighths, small_vocabulary):
+def test_groups_against_all_pairs(spark, monkeypatch, width, percent, eighths, small_vocabulary):
+    monkeypatch.setattr(ngram_join, "TILE", 3 if small_vocabulary else 512)
     rng = random.Random(width * percent + small_vocabulary)
     vocabulary = [f"w{i}" for i in range(12 if small_vocabulary else 400)]
     shared = [rng.choice(vocabulary) for _ in range(60)]
@@ -70,7 +73,7 @@ def test_groups_against_all_pairs(spark, width, percent, eighths, small_vocabula
         texts += [" ".join(mutated(rng, base, vocabulary, rng.randrange(0, 1 + len(base) // 20))) for _ in range(rng.randrange(1, 9))]
     texts += [None, "", "One two", "one TWO", " "]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_groups(docs, width=width, percent=percent, eighths=eighths).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.near_groups(docs, width=width, percent=percent, eighths=eighths).collect()}
     assert got == plain_groups(texts, width, percent)
 
 
@@ -119,8 +122,26 @@ def test_similar_small_sets_share_a_signature(percent, eighths):
 def test_two_texts_of_one_id_keep_their_links(spark):
     first, second = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
     docs = spark.createDataFrame([(1, first), (1, second), (2, first + " x"), (3, second + " x"), (4, second), (None, first)], "doc_id bigint, text string")
-    got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["component_id"] or 0) for r in ngram_join.near_groups(docs).collect())
-    assert got == [(0, 0, 0), (1, 1, 1), (1, 1, 1), (2, 2, 1), (3, 3, 1), (4, 1, 1)]
+    got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["component_id"] or 0, r["n_links"]) for r in ngram_join.near_groups(docs).collect())
+    assert got == [(0, 0, 0, 0), (1, 1, 1, 1), (1, 1, 1, 2), (2, 2, 1, 1), (3, 3, 1, 2), (4, 1, 1, 2)]
+
+
+def test_a_group_of_many_different_copies(spark):
+    """Copies of one text, each with words of its own: a group larger than a tile, most pairs of it no links."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(120)]
+    texts = [" ".join(mutated(rng, base, [f"x{k}_{i}" for i in range(9)], rng.choice([1, 1, 2, 3]))) for k in range(700)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_join.near_groups(docs).collect()}
+    assert got == plain_groups(texts, 3, 90) and len({n for _, _, n in got.values()}) > 20
+
+
+def test_overlaps_are_set_sizes(monkeypatch):
+    monkeypatch.setattr(ngram_join, "COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    a, b = ([np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(n)] for n in (5, 8))
+    assert ngram_join.overlaps(a, b).tolist() == [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert ngram_join.overlaps(a[:1], b[:1]).tolist() == [[len(np.intersect1d(a[0], b[0]))]]
 
 
 def test_groups_of_awkward_texts(spark, awkward, nothing):
