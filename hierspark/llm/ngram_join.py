@@ -14,19 +14,21 @@ singles where a prefix needs them.  A set with more than e counted tokens of its
 no further; that is nearly every document.
 
 Sets of equal tokens are one class.  Members of a bucket are first verified against a few pivots, which are plain
-aggregates; their links make groups.  Then members of a bucket that are still in different groups, and that sizes
-and parity bits allow, are verified by products of incidence matrices; only links that join groups leave a task.  At last
-the links of every class are counted inside its component, by the same products.  Buckets and components of any size
-are cut into square tiles of a bounded number of members, so no task gets a whole group and no pair becomes a row.
+aggregates; their links make groups.  Then pairs of a bucket that are still in different groups, and that sizes and parity
+bits allow, are verified too.  A pair leaves a bucket only if none of the first few signatures of both is common and
+smaller, so it rarely leaves more than once.  At last the links of every class are counted inside its component, by products
+of incidence matrices.  Buckets and components of any size are cut into square tiles of a bounded number of
+members, so no task gets a whole group and the pairs of a group never become rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,7 @@ BITS = 8
 PIVOTS = 4
 #: Members of a tile's side, and columns of an incidence matrix.
 TILE, COLUMNS = 512, 4096
+FIRST = 8
 LAST = 1 << 62
 BROADCAST_SETS = 2_000_000
 
@@ -243,50 +246,72 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _open(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Members of a tile that sizes and parity bits allow to be similar to a member of another group."""
-    for tile in runs(batches):
-        a, b = sides(tile)
-        n, root = tile["n"].to_numpy(), tile["root"].to_numpy()
-        na, nb = n[a][:, None], n[b][None, :]
-        allowed = (root[a][:, None] != root[b][None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-        if not allowed.any():
+def whole_runs(batches: Iterator[pa.RecordBatch], columns: Callable[[pa.RecordBatch], list[np.ndarray]], keys: int = 3) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(end of each row's run, columns) of chunks of whole runs; the first columns say what a run is."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        bits = tile["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(n), BITS)
-        differ = np.zeros(allowed.shape, np.int64)
-        for k in range(BITS):
-            differ += np.bitwise_count(bits[a, k][:, None] ^ bits[b, k][None, :])
-        allowed &= (100 + percent) * differ <= (100 - percent) * (na + nb)
-        found = np.unique(np.append(a[allowed.any(axis=1)], b[allowed.any(axis=0)]))
-        if len(found):
-            yield from tile.select(["signature", "_low", "_high", "_block", "id", "root"]).take(pa.array(found)).combine_chunks().to_batches()
+        now = columns(batch)
+        held = now if held is None else [np.concatenate(pair) for pair in zip(held, now)]
+        starts = run_starts(held[:keys])
+        if len(starts) > 1:
+            yield ends_of(starts, starts[-1]), [c[: starts[-1]] for c in held]
+            held = [c[starts[-1] :] for c in held]
+    if held is not None:
+        yield ends_of(run_starts(held[:keys]), len(held[0])), held
 
 
-def token_sets(tile: pa.Table) -> list[np.ndarray]:
-    return [x.values.to_numpy() for x in tile["tokens"].combine_chunks()]
+def run_starts(keys: list[np.ndarray]) -> np.ndarray:
+    changed = np.zeros(len(keys[0]), bool)
+    changed[0] = True
+    for c in keys:
+        changed[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(changed)
 
 
-def _joining(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links of a tile that join two of its groups, as few as connect what all its links connect."""
-    for tile in runs(batches):
-        a, b = sides(tile)
-        n, ids, roots, sets = tile["n"].to_numpy(), tile["id"].to_numpy(), tile["root"].to_pylist(), token_sets(tile)
-        linked = close_enough(n[a], n[b], overlaps([sets[i] for i in a], [sets[i] for i in b]), percent)
-        above = {r: r for r in roots}
+def ends_of(starts: np.ndarray, total: int) -> np.ndarray:
+    starts = starts[starts < total]
+    ends = np.append(starts[1:], total)
+    return np.repeat(ends, ends - starts)
+
 
-        def top(r: int) -> int:
-            while above[r] != r:
-                above[r] = r = above[above[r]]
-            return r
+def _open(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a tile's members in different groups that sizes and parity bits allow to be similar."""
+
+    def columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+        flat = [batch.column(name).to_numpy(zero_copy_only=False) for name in ("signature", "_low", "_high", "_block", "id", "root", "n")]
+        bits = batch.column("bits").flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, BITS)
+        first = pa.compute.list_flatten(batch.column("first")).to_numpy().reshape(batch.num_rows, FIRST)
+        return [*flat, bits, first]
+
+    for end, (signature, low, high, block, ids, root, n, bits, first) in whole_runs(batches, columns):
+        at, step, found = np.arange(len(end)), 0, []
+        while True:
+            # pairs of rows that lie ``step`` apart in a run
+            step += 1
+            at = at[at + step < end[at]]
+            if not len(at):
+                break
+            to = at + step
+            may = (root[at] != root[to]) & ((low[at] == high[at]) | (block[at] != block[to]))
+            may &= 100 * np.minimum(n[at], n[to]) >= percent * np.maximum(n[at], n[to])
+            i, j = at[may], to[may]
+            for begin in range(0, len(i), 1 << 14):
+                x, y = i[begin : begin + (1 << 14)], j[begin : begin + (1 << 14)]
+                differ = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                near = (100 + percent) * differ <= (100 - percent) * (n[x] + n[y])
+                x, y = x[near], y[near]
+                met = ((first[x][:, :, None] == first[y][:, None, :]) & (first[x] < signature[x][:, None])[:, :, None]).any(axis=(1, 2))
+                found.append((x[~met], y[~met]))
+        if found:
+            x, y = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
 
-        pairs = []
-        for i, j in np.argwhere(linked).tolist():
-            x, y = top(roots[a[i]]), top(roots[b[j]])
-            if x != y:
-                above[x] = y
-                pairs.append((ids[a[i]], ids[b[j]]))
-        if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+def token_sets(tile: pa.Table) -> list[np.ndarray]:
+    return [x.values.to_numpy() for x in tile["tokens"].combine_chunks()]
 
 
 def _counted(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -318,11 +343,12 @@ def links(kept: DataFrame, counts: DataFrame, percent: int, eighths: int) -> Dat
     named = members.select("signature", "m", "id").join(groups.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     named = stored(named, "named")
     mixed = named.groupBy("signature").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least != _most").select("signature")
-    apart = named.join(mixed, "signature").join(kept.select("id", "n", "bits"), "id")
-    open_ = stored(tiled(apart, "signature", "m").mapInArrow(lambda b: _open(b, percent), "signature bigint, _low int, _high int, _block int, id bigint, root bigint"), "open")
-    exact = open_.join(kept.select("id", "n", "tokens"), "id").select("signature", "_low", "_high", "_block", "id", "root", "n", "tokens")
-    exact = exact.repartition("signature", "_low", "_high").sortWithinPartitions("signature", "_low", "_high")
-    return first.unionByName(exact.mapInArrow(lambda b: _joining(b, percent), "a bigint, b bigint"))
+    # the smallest signatures of an id, the largest number where it has fewer
+    few = F.concat(F.slice(F.array_sort(F.collect_list("signature")), 1, FIRST), F.array_repeat(F.lit((1 << 63) - 1), FIRST))
+    firsts = members.groupBy("id").agg(F.slice(few, 1, FIRST).alias("first"))
+    apart = named.join(mixed, "signature").join(kept.select("id", "n", "bits").join(firsts, "id"), "id")
+    rest = tiled(apart, "signature", "m").mapInArrow(lambda b: _open(b, percent), "a bigint, b bigint").distinct()
+    return first.unionByName(verified(stored(rest, "open"), kept, percent))
 
 
 def link_counts(found: DataFrame, kept: DataFrame, percent: int) -> DataFrame:
