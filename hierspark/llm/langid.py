@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from hierspark.llm.util import pieces, texts_of
 
 UNKNOWN = "und"
-SCALE = 1 << 20
+SCALE = 1 << 24
 BLOCK = 4096
 
 
@@ -38,7 +38,7 @@ def letter_vector(code: int, dim: int, seed: int) -> np.ndarray:
     return np.random.default_rng((seed, code)).integers(0, 2, dim, dtype=np.int8) * np.int8(2) - np.int8(1)
 
 
-_LETTER = np.array([chr(i).isalpha() for i in range(0x30000)] + [True], dtype=bool)
+_LETTER = np.array([chr(i).isalpha() for i in range(0x110000)], dtype=bool)
 
 
 @dataclass
@@ -60,7 +60,7 @@ def grams(texts: list[str]) -> Grams:
     points = np.frombuffer(("\0" + "\0".join(low) + "\0").encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int32)
     doc = np.repeat(np.arange(len(low)), [len(t) + 1 for t in low])
     doc = np.append(doc, len(low) - 1 if low else 0)[: len(points)]
-    points = np.where(_LETTER[np.minimum(points, 0x30000)], points, 0)
+    points = np.where(_LETTER[points], points, 0)
     keep = np.ones(len(points), dtype=bool)
     keep[1:] = (points[1:] != 0) | (points[:-1] != 0)
     points, doc = points[keep], doc[keep]
@@ -96,10 +96,10 @@ class Space:
         own = self.letter_rows(letters)
         return np.roll(own, 2, axis=1), np.roll(own, 1, axis=1), own
 
-    def bundle(self, codes: np.ndarray, weights: np.ndarray, rows: tuple) -> np.ndarray:
-        total = np.zeros(self.dim, dtype=np.float32)
+    def bundle(self, codes: np.ndarray, weights: np.ndarray, rows: tuple, kind: type = np.float32) -> np.ndarray:
+        total = np.zeros(self.dim, dtype=kind)
         for at in range(0, len(codes), BLOCK):
-            total += weights[at : at + BLOCK].astype(np.float32) @ self.vectors(codes[at : at + BLOCK], rows)
+            total += weights[at : at + BLOCK].astype(kind) @ self.vectors(codes[at : at + BLOCK], rows).astype(kind, copy=False)
         return total
 
 
@@ -116,11 +116,12 @@ def _learn(batches: Iterator[pa.RecordBatch], dim: int, seed: int) -> Iterator[p
                 own = found.codes[found.begins[i] : found.begins[i + 1]]
                 if len(own):
                     codes.append(own)
-                    weights.append(np.full(len(own), 1 / len(own)))
+                    weights.append(np.full(len(own), max(1, SCALE // len(own)), dtype=np.float64))
             if codes:
                 unique, back = np.unique(np.concatenate(codes), return_inverse=True)
                 total = np.bincount(back, np.concatenate(weights))
-                sums[lang] = sums.get(lang, 0) + np.rint(space.bundle(unique, total, rows).astype(np.float64) * SCALE).astype(np.int64)
+                # whole numbers far below 2^53: exact whatever texts come together
+                sums[lang] = sums.get(lang, 0) + space.bundle(unique, total, rows, np.float64).astype(np.int64)
     for lang, total in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([lang] * dim), pa.array(np.arange(dim, dtype=np.int32)), pa.array(total)], names=["lang", "place", "value"])
 
@@ -128,8 +129,8 @@ def _learn(batches: Iterator[pa.RecordBatch], dim: int, seed: int) -> Iterator[p
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = 1024, seed: int = 7) -> Profiles:
     """Prototypes from all rows with a language; texts without letters count for nothing.
 
-    Tasks sum their own documents; Spark adds the sums as whole numbers, so their order does not matter.  The driver
-    gets ``dim`` numbers a language.  Without labelled text there are no languages.
+    Every text weighs 2^24, shared out among its n-grams as whole numbers; tasks sum their own documents and Spark adds the
+    sums, so prototypes do not depend on how rows are dealt out.  The driver gets ``dim`` numbers a language.  Without labelled text there are no languages.
     """
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sums = rows.mapInArrow(lambda batches: _learn(batches, dim, seed), "lang string, place int, value bigint").groupBy("lang", "place").agg(F.sum("value").alias("value"))
@@ -174,7 +175,7 @@ def _predict(batches: Iterator[pa.RecordBatch], profiles: Profiles, prefix: str)
 def predict(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), prefix: str = "") -> DataFrame:
     """Return (id, kept columns, lang_pred, score), one row per input row; the score is the cosine, cut at 0.
 
-    NULL and empty texts, texts without letters, and all texts if nothing was learned, are ``und`` with score 0.
+    NULL and empty texts, texts without letters (of any script), and all texts if nothing was learned, are ``und`` with score 0.
     Equal cosines go to the first language by name.  Other columns are ignored.  ``prefix`` goes before the new names.
     """
     rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"), *(F.col(c) for c in keep))

@@ -160,6 +160,19 @@ def test_toxicity_of_awkward_texts(spark, awkward, nothing):
     assert toxic.learn(nothing.withColumn("toxic", F.lit(1))).weights == {} and toxic.score(nothing, lexicon).count() == 0
 
 
+def test_only_letters_speak(spark):
+    """Flags, private use and marks are no letters, in any plane."""
+    rows = [(0, "\U0001F1E9\U0001F1EA \U000E0067\U000E0062"), (1, "\U000F0000\U0010FFFD"), (2, "\uFE0F 12"), (3, "\U00020000 the")]
+    got = langid.predict(spark.createDataFrame(rows, "doc_id bigint, text string"), langid.learn(spark.createDataFrame([("the the", "en")], "text string, lang string")))
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {0: "und", 1: "und", 2: "und", 3: "en"}
+
+
+def test_prototypes_do_not_depend_on_batches(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("n_chars < 3000")
+    one, many = langid.learn(docs.coalesce(1)), langid.learn(docs.repartition(7))
+    assert one.langs == many.langs and (one.vectors == many.vectors).all()
+
+
 # SentencePiece
 
 
