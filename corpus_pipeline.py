@@ -14,6 +14,8 @@ from hierspark.llm import decontaminate, langid, ngram_join, sentencepiece_bpe,
 from hierspark.llm.util import broadcast_up_to, stored
 
 BROADCAST_IDS = 2_000_000
+#: Letters that a text needs to be judged by its cosine, and how many times the noise that cosine has to be.
+LETTERS, NOISES = 40, 4.0
 #: No query's rows can be written in SQL: the classifiers are learned and the ids follow from a keyed hash.
 ORACLE_SQL = None
 
@@ -33,22 +35,42 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that resemble a language of these documents; those without letters, or like none, go."""
+    """Documents that resemble a language of these documents; those without letters, or like none, go.
+
+    The cosine of a text that has nothing in common with a prototype is noise of about 1 / sqrt(dim), 0.031 here.  A text of
+    40 letters or more has to reach four times that with its best prototype.  Shorter texts hold too few n-grams for that:
+    they go only without letters, or if they are unlike all prototypes (cosine 0 or less).
+    """
     profiles = langid.learn(docs)
     found = langid.predict(docs, profiles, keep=tuple(c for c in docs.columns if c != "doc_id"), prefix="__")
-    return found.where((F.col("__lang_pred") != langid.UNKNOWN) & (F.col("__score") > 0)).select(docs.columns)
+    short = F.length(F.regexp_replace("text", r"\P{L}", "")) < LETTERS
+    score = F.col("__score")
+    return found.where((F.col("__lang_pred") != langid.UNKNOWN) & ((score >= NOISES / profiles.dim**0.5) | ((score > 0) & short))).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that share at least 80 % of their five-word shingles, the one with the smallest id."""
-    groups = stored(ngram_join.near_groups(docs, width=5, percent=80, eighths=3).select("doc_id", "component_id"), "groups")
-    once = without(docs, groups.where("doc_id != component_id"))
-    repeated = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """Of each group of documents that share at least 80 % of their five-word shingles, the one with the smallest id.
+
+    A row is known by a 64-bit hash of its id and text, so two texts of one id are two documents and a text without an id can
+    be a copy too (it is kept only where no copy has an id).  Equal rows are copies: the one that is first by its other
+    columns stays.  Texts without words have no copies but rows equal in id and text.
+    """
+    key = F.xxhash64("doc_id", "text")
+    groups = stored(ngram_join.near_groups(docs.select(key.alias("doc_id"), "text"), width=5, percent=80, eighths=3, count_links=False).select(F.col("doc_id").alias("__key"), "component_id"), "groups")
+    several = groups.groupBy("component_id").agg(F.count("*").alias("__n")).where("__n > 1").select("component_id")
+    members = groups.join(several, "component_id").distinct()
+    ids = docs.select(key.alias("__key"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("__id")).distinct()
+    ranked = stored(members.join(ids, "__key"), "members")
+    first = ranked.groupBy("component_id").agg(F.min(F.struct("__id", "__key"))["__key"].alias("__key")).select("__key")
+    out = ranked.select("__key").distinct().join(first, "__key", "left_anti")
+    once = without(docs, out.withColumnRenamed("__key", "doc_id"), key)
+    repeated = stored(docs.groupBy(key.alias("doc_id")).agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return once
-    first = Window.partitionBy("doc_id").orderBy(*(F.col(c) for c in docs.columns if c != "doc_id"))
-    same = once.join(repeated, "doc_id", "left_semi").withColumn("__row", F.row_number().over(first)).where("__row = 1").select(docs.columns)
-    return without(once, repeated).unionByName(same)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    same = once.join(broadcast_up_to(repeated.withColumnRenamed("doc_id", "__key"), BROADCAST_IDS), key == F.col("__key"), "left_semi")
+    kept = same.groupBy("doc_id", "text").agg(F.min(F.struct(F.lit(0).alias("__0"), *rest)).alias("__row")).select("doc_id", "text", *(F.col("__row")[c].alias(c) for c in rest))
+    return without(once, repeated, key).unionByName(kept.select(docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
