@@ -66,13 +66,22 @@ def class_index(rows: DataFrame, label: str) -> DataFrame:
     )
 
 
-def with_names(paths: DataFrame, names: DataFrame, n_levels: int, how: str = "left") -> DataFrame:
-    """Add ``name0, name1, …`` for the label columns ``l0, l1, …``.
+def with_names(paths: DataFrame, names: DataFrame, n_levels: int, strict: bool = True) -> DataFrame:
+    """Add ``name0, name1, …`` for the label columns ``l0, l1, …``; an unused level (NULL label) has no name.
 
-    One label may win for a large share of the ids, so its rows are spread by id.
+    A label that ``names`` lacks is an error, or has no name when ``strict`` is off.  One label may win for a large share
+    of the ids, so its rows are spread by id.
     """
     out = paths
     for k in range(n_levels):
         at = names.filter(F.col("lvl") == k).select(F.col("label").alias(f"l{k}"), F.col("name").alias(f"name{k}"))
-        out = salted_join(out, at, [f"l{k}"], ["id"], how=how)
+        out = known_or_raise(salted_join(out, at, [f"l{k}"], ["id"], how="left"), f"l{k}", f"name{k}", strict)
     return out
+
+
+def known_or_raise(joined: DataFrame, key: str, found: str, strict: bool = True) -> DataFrame:
+    """After a left join: a key that is not NULL must have found something."""
+    if not strict:
+        return joined
+    message = F.concat(F.lit(f"no {found} for {key}="), F.col(key).cast("string"))
+    return joined.withColumn(found, F.when(F.col(key).isNull() | F.col(found).isNotNull(), F.col(found)).otherwise(F.raise_error(message).cast("string")))

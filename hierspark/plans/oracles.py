@@ -24,6 +24,15 @@ sc AS MATERIALIZED (SELECT s.id, CAST(lvl AS INTEGER) AS lvl, label, qty / total
 edges AS (SELECT CAST(0 AS INTEGER) AS lvl, CAST(n_regionkey AS BIGINT) AS parent, CAST(n_nationkey AS BIGINT) AS child FROM nation
           UNION ALL SELECT 1, s_nationkey, s_suppkey FROM supplier)"""
 
+# Every id with every label of every level.
+CELLS = """
+cells AS (SELECT *, CAST(row_number() OVER (PARTITION BY lvl ORDER BY label) - 1 AS INTEGER) AS ord,
+            row_number() OVER (ORDER BY lvl, label) - 1 AS pos
+          FROM (SELECT CAST(0 AS INTEGER) AS lvl, CAST(r_regionkey AS BIGINT) AS label FROM region
+                UNION ALL SELECT 1, n_nationkey FROM nation UNION ALL SELECT 2, s_suppkey FROM supplier)),
+dense AS (SELECT t.id, c.lvl, c.label, c.ord, c.pos, coalesce(s.prob, 0e0) AS prob
+          FROM tot t CROSS JOIN cells c LEFT JOIN sc s ON s.id = t.id AND s.lvl = c.lvl AND s.label = c.label)"""
+
 # Best label per level and best child per parent.
 TREE = """
 par AS MATERIALIZED (SELECT s.id, s.lvl, s.label, s.prob, e.parent FROM sc s LEFT JOIN edges e ON e.lvl = s.lvl - 1 AND e.child = s.label),
@@ -195,20 +204,16 @@ _QUERIES: dict[str, str] = {
     "incomplete_ids": _with(SHARES, STRONG) + "SELECT id, n_lvls FROM lvls WHERE n_lvls <> 3",
     "combine_levels": _with(SHARES, STRONG)
     + "SELECT id, lvl, label, round(prob, 6) AS prob FROM strong WHERE id IN (SELECT id FROM lvls WHERE n_lvls = 3)",
-    "combine_wide": _with(SHARES)
+    "combine_wide": _with(SHARES, CELLS)
     + "SELECT id, "
     + ", ".join(f"'0' AS dum{i}" for i in range(1, 6))
-    + ", "
-    + ", ".join(
-        f"round(coalesce(max(CASE WHEN lvl = {lvl} AND label = {x} THEN prob END), 0e0), 6) AS {name}_{x}"
-        for lvl, name, n in ((0, "region", 5), (1, "nation", 25))
-        for x in range(n)
-    )
-    + " FROM sc WHERE lvl < 2 GROUP BY id",
-    "melt_wide": _with(SHARES)
-    + """, cells AS (SELECT CAST(0 AS INTEGER) AS lvl, CAST(r_regionkey AS BIGINT) AS label FROM region UNION ALL SELECT 1, n_nationkey FROM nation)
-         SELECT t.id, c.lvl, c.label, CAST(c.label AS INTEGER) AS ord, round(coalesce(s.prob, 0e0), 6) AS prob
-         FROM tot t CROSS JOIN cells c LEFT JOIN sc s ON s.id = t.id AND s.lvl = c.lvl AND s.label = c.label""",
+    + """, CAST(count(*) AS INTEGER) AS n_columns, CAST(count(*) FILTER (prob > 0) AS INTEGER) AS n_scored,
+         arg_min(pos, (-prob, pos)) AS best_pos, round(max(prob), 6) AS best_prob FROM dense GROUP BY id""",
+    "melt_wide": _with(SHARES, CELLS) + "SELECT id, lvl, label, ord, round(prob, 6) AS prob FROM dense",
+    "read_combined": _with(SHARES, CELLS) + "SELECT CAST(id AS VARCHAR) AS id, lvl, label, ord, round(prob, 6) AS prob FROM dense",
+    "read_combined_labels": _with(SHARES)
+    + """SELECT CAST(t.id AS VARCHAR) AS id, u.name, CAST(CASE u.name WHEN 'region' THEN n_regionkey ELSE n_nationkey END AS VARCHAR) AS value
+         FROM tot t LEFT JOIN (customer JOIN nation ON c_nationkey = n_nationkey) ON c_custkey = t.id, (VALUES ('region'), ('nation')) u(name)""",
     "prob_floor_fixed": _with(SHARES)
     + "SELECT id, lvl, label, round(CASE WHEN prob < 1e-1 THEN 0e0 ELSE prob END, 6) AS prob FROM sc",
     "prob_floor_uniform": _with(SHARES)
@@ -314,13 +319,8 @@ _QUERIES: dict[str, str] = {
     "best_epoch_kept": _with(STEPS)
     + """SELECT run, epoch, round(acc, 6) AS acc FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY acc DESC, epoch) AS rn
            FROM hist WHERE phase = 'val' AND acc > 0) WHERE rn = 1""",
-    "read_score_log": _with(SHARES)
-    + """SELECT CAST(t.id AS VARCHAR) || '.jpg' AS id, CAST(1 AS INTEGER) AS lvl, CAST(n_nationkey AS BIGINT) AS label,
-                CAST(n_nationkey AS INTEGER) AS ord, round(coalesce(s.prob, 0e0), 6) AS prob
-         FROM tot t CROSS JOIN nation LEFT JOIN sc s ON s.id = t.id AND s.lvl = 1 AND s.label = n_nationkey""",
-    "read_mixed_logs": _with(SHARES)
-    + """SELECT CAST(t.id AS VARCHAR) || '.jpg' AS id, CAST(1 AS INTEGER) AS lvl, CAST(n_nationkey AS BIGINT) AS label, round(coalesce(s.prob, 0e0), 6) AS prob
-         FROM tot t CROSS JOIN nation LEFT JOIN sc s ON s.id = t.id AND s.lvl = 1 AND s.label = n_nationkey""",
+    "read_score_log": _with(SHARES, CELLS) + "SELECT CAST(id AS VARCHAR) || '.jpg' AS id, lvl, label, ord, round(prob, 6) AS prob FROM dense",
+    "read_mixed_logs": _with(SHARES, CELLS) + "SELECT CAST(id AS VARCHAR) || '.jpg' AS id, lvl, label, round(prob, 6) AS prob FROM dense",
     "parse_train_log": _with(STEPS)
     + """SELECT 'month_' || CAST(epoch // 31 AS VARCHAR) AS run, epoch, phase, round(loss, 4) AS loss, round(acc, 4) AS acc FROM hist""",
     "zscore": """

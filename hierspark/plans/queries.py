@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 from hierspark.functions import ids, paths, probs
 from hierspark.functions.text import half_up
-from hierspark.operators import classify, combine, decode, dense, hierarchy, history, labels, metrics, reduce, report, scores
+from hierspark.operators import classify, combine, decode, dense, hierarchy, history, labels, matrix, metrics, reduce, report, scores
 from hierspark.plans import blocks as B
-from hierspark.sinks import writers
 from hierspark.sources import files, logs, trainlog
 
 THRESHOLDS = (0.3, 0.1, 0.05)
@@ -207,23 +206,45 @@ def combine_levels(spark, sf):
     return rounded(combine.combine_levels(tables).select("id", "lvl", "label", "prob"), "prob")
 
 
-def _wide(spark, sf):
-    """Region and nation scores as 30 columns; the label list comes from the two dimension tables."""
-    listed = B.share_trained(spark, sf).filter("lvl < 2").orderBy("lvl", "pos").collect()
-    return scores.combine_wide(
-        B.share_scores(spark, sf, levels=2), [(r["lvl"], r["label"]) for r in listed], B.SHARE_LEVELS, fill=0.0
-    )
+def _matrix(spark, sf):
+    """All scores as one array per id, and the index of its columns."""
+    index = matrix.column_index(B.share_trained(spark, sf))
+    return matrix.combine(B.share_scores(spark, sf), index), index
 
 
 @query
 def combine_wide(spark, sf):
-    wide = _wide(spark, sf)
-    return scores.with_dummies(rounded(wide, *wide.columns[1:]))
+    """Per id: the placeholder columns, how many columns and scores its combined row has, and where its best score stands."""
+    wide, _ = _matrix(spark, sf)
+    best = F.array_max("values")
+    dummies = [F.lit("0").alias(f"dum{i}") for i in range(1, 6)]
+    scored = F.size(F.filter("values", lambda x: x > 0))
+    return rounded(wide.select("id", *dummies, F.size("values").alias("n_columns"), scored.alias("n_scored"), (F.array_position("values", best) - 1).alias("best_pos"), best.alias("best_prob")), "best_prob")
 
 
 @query
 def melt_wide(spark, sf):
-    return rounded(scores.melt_wide(_wide(spark, sf), B.SHARE_LEVELS), "prob")
+    return rounded(matrix.melt(*_matrix(spark, sf)), "prob")
+
+
+def _combined_lines(spark, sf):
+    """Combined rows of all levels with the customer's own region and nation, as text."""
+    wide, index = _matrix(spark, sf)
+    own = lambda k: F.max(F.when(F.col("lvl") == k, F.col("label")))
+    truth = B.share_truth(spark, sf).groupBy("id").agg(F.lit("P").alias("phylum"), own(0).alias("region"), own(1).alias("nation"))
+    return matrix.text_lines(wide.join(truth, "id", "left"), index, B.SHARE_LEVELS, ("phylum", "region", "nation"))
+
+
+@query
+def read_combined(spark, sf):
+    """The combined text read back into long scores of all levels."""
+    return rounded(matrix.read_scores(_combined_lines(spark, sf), B.SHARE_LEVELS), "prob")
+
+
+@query
+def read_combined_labels(spark, sf):
+    """Truth labels of the same text; the phylum was left out when it was written."""
+    return matrix.read_labels(_combined_lines(spark, sf), B.SHARE_LEVELS)
 
 
 @query
@@ -441,31 +462,45 @@ def best_epoch_kept(spark, sf):
 # --- text formats
 
 
+def _level_lines(spark, sf):
+    """``(id, lvl, probs)`` of all levels, and ``(lvl, labels)`` for the headers."""
+    wide, index = _matrix(spark, sf)
+    return matrix.by_level(wide, index), matrix.level_labels(index)
+
+
+def _log_lines(rows, name: str, probs):
+    best = F.array_max("probs")
+    text = F.concat_ws(",", F.concat("id", F.lit(".jpg")), (F.array_position("probs", best) - 1).cast("string"), best.cast("string"), F.array_join(probs.cast("array<string>"), ","))
+    return rows.select(F.lit(name).alias("_name"), "lvl", F.col("id").alias("line"), text.alias("value"))
+
+
+def _log_heads(listed, name: str, labels):
+    head = F.concat_ws(",", *[F.lit(x) for x in logs.LOG_HEAD], F.array_join(labels.cast("array<string>"), ","))
+    return listed.select(F.lit(name).alias("_name"), "lvl", F.lit(-1).cast("bigint").alias("line"), head.alias("value"))
+
+
+def _read_logs(lines):
+    file_name = F.concat(F.col("lvl").cast("string"), F.col("_name"))
+    return logs.log_arrays(lines.select(file_name.alias("file_name"), F.lit(0).alias("block"), "line", "lvl", "value"))
+
+
 @query
 def read_score_log(spark, sf):
-    """Nation scores written as score-log lines and read back."""
-    nations = [r["label"] for r in B.share_trained(spark, sf).filter("lvl = 1").orderBy("pos").collect()]
-    names = [f"nation_{n}" for n in nations]
-    wide = scores.combine_wide(B.share_scores(spark, sf, levels=2), [(1, n) for n in nations], B.SHARE_LEVELS, fill=0.0)
-    rows = wide.select(F.concat("id", F.lit(".jpg")).alias("id"), F.array(*names).alias("probs"))
-    rows = rows.withColumn("conf", F.array_max("probs")).withColumn("pred", F.array_position("probs", F.col("conf")) - 1)
-    head = spark.createDataFrame([(",".join([*logs.LOG_HEAD, *map(str, nations)]),)], "value STRING")
-    lines = head.unionByName(writers.score_log_lines(rows))
-    return rounded(logs.parse_lines(lines, [str(n) for n in nations], 1), "prob")
+    """Scores of all levels written as score logs, one a level, and read back by the logs' own headers."""
+    rows, listed = _level_lines(spark, sf)
+    found = _read_logs(_log_heads(listed, "a", F.col("labels")).unionByName(_log_lines(rows, "a", F.col("probs"))))
+    long = found.select("id", "lvl", "labels", F.posexplode("probs").alias("ord", "prob"))
+    return rounded(long.select("id", "lvl", F.get("labels", F.col("ord")).alias("label"), "ord", "prob"), "prob")
 
 
 @query
 def read_mixed_logs(spark, sf):
-    """Nation scores in two logs: the second lists its labels the other way round and repeats some ids with other scores."""
-    nations = [str(r["label"]) for r in B.share_trained(spark, sf).filter("lvl = 1").orderBy("pos").collect()]
-    rows = scores.to_arrays(B.dense_shares(spark, sf, 1))
-    text = lambda probs: F.concat_ws(",", F.concat("id", F.lit(".jpg")), F.lit("0"), F.lit("0.5"), F.array_join(probs.cast("array<string>"), ","))
-    first = rows.where("id % 2 = 0").select(F.lit("a.csv").alias("file_name"), F.col("id").alias("line"), text(F.col("probs")).alias("value"))
+    """Two logs a level: the second lists its labels the other way round and repeats some ids with other scores."""
+    rows, listed = _level_lines(spark, sf)
     again = F.when(F.col("id") % 2 == 0, F.transform("probs", lambda x: F.lit(0.5))).otherwise(F.reverse("probs"))
-    second = rows.where("id % 2 = 1 OR id % 10 = 0").select(F.lit("b.csv").alias("file_name"), F.col("id").alias("line"), text(again).alias("value"))
-    heads = [(f, -1, ",".join([*logs.LOG_HEAD, *order])) for f, order in (("a.csv", nations), ("b.csv", nations[::-1]))]
-    lines = spark.createDataFrame(heads, "file_name STRING, line BIGINT, value STRING").unionByName(first).unionByName(second)
-    found = logs.log_arrays(lines.select("*", F.lit(0).alias("block"), F.lit(1).alias("lvl")))
+    lines = _log_heads(listed, "a", F.col("labels")).unionByName(_log_heads(listed, "b", F.reverse("labels")))
+    lines = lines.unionByName(_log_lines(rows.where("id % 2 = 0"), "a", F.col("probs"))).unionByName(_log_lines(rows.where("id % 2 = 1 OR id % 10 = 0"), "b", again))
+    found = _read_logs(lines)
     long = found.select("id", "lvl", F.inline(F.arrays_zip(F.col("labels").alias("label"), F.col("probs").alias("prob"))))
     return rounded(long, "prob")
 
