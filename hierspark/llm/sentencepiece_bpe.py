@@ -1,9 +1,10 @@
 """SentencePiece (merge type) encoding with seeded merge-dropout, and decoding.
 
 Symbols start as characters; the agenda merges the adjacent pair whose joined piece scores best, the leftmost of
-equals.  A candidate merge is skipped if a hash of (seed, variant, word, place, joined piece) falls below the dropout
-rate, so equal seeds give equal segmentations on any partitioning.  The variant is drawn from the document's key:
-the same word is split in several ways across documents.  With rate 0 the result is the plain segmentation.
+equals.  A candidate merge is skipped if a hash of (seed, document, word, place in the word, joined piece) falls below the
+dropout rate, so equal seeds give equal segmentations on any partitioning.  Every document draws anew: the more documents
+hold a word, the more ways it is split.  Inside a document a word is split alike.  With rate 0 the result is the plain
+segmentation.
 
 No piece holds a space mark after another character, so words (a run of spaces and what follows) are encoded
 one by one.  All distinct words of a slice run through the agenda together, as numpy arrays.
@@ -220,8 +221,8 @@ WORDS: dict[tuple, Known] = {}
 KEPT_WORDS = 1_500_000
 
 
-def encode_texts(texts: list[str], variants: np.ndarray, vocabulary: Pieces, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Flat ids of all texts and their counts by text."""
+def encode_texts(texts: list[str], variants: np.ndarray, vocabulary: Pieces, rate: float, seed: int, remember: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids of all texts and their counts by text; ``remember`` keeps segmentations, where variants or words recur."""
     sizes = np.array([len(t) + 1 if t else 0 for t in texts], dtype=np.int64)
     points = np.frombuffer("".join(" " + t for t in texts if t).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
     if not len(points):
@@ -240,11 +241,15 @@ def encode_texts(texts: list[str], variants: np.ndarray, vocabulary: Pieces, rat
         hashes = mix(np.add.reduceat(mix(points.astype(np.uint64) + M4) * powers[local], begins) + (ends - begins).astype(np.uint64) * M3)
         seeds = mix(hashes ^ mix(np.uint64(seed) + variants[owner] * M1)) if rate else hashes
     unique, first, back = np.unique(seeds, return_index=True, return_inverse=True)
-    known = WORDS.setdefault((vocabulary.path, rate, seed), Known())
-    new = known.missing(unique)
-    known.add(unique[new], *segment(points, begins[first[new]], (ends - begins)[first[new]], unique[new], vocabulary, rate))
-    place, n_symbols = known.find(unique)
-    ids = spans_take(known.flat, place[back], n_symbols[back]).astype(np.int64)
+    if remember:
+        known = WORDS.setdefault((vocabulary.path, rate, seed), Known())
+        new = known.missing(unique)
+        known.add(unique[new], *segment(points, begins[first[new]], (ends - begins)[first[new]], unique[new], vocabulary, rate))
+        flat, (place, n_symbols) = known.flat, known.find(unique)
+    else:
+        flat, n_symbols = segment(points, begins[first], (ends - begins)[first], unique, vocabulary, rate)
+        place = np.cumsum(n_symbols) - n_symbols
+    ids = spans_take(flat, place[back], n_symbols[back]).astype(np.int64)
     by_text = np.bincount(owner, n_symbols[back], minlength=len(texts)).astype(np.int64)
     odd = np.flatnonzero(ids >= vocabulary.size)
     if len(odd):
@@ -264,26 +269,28 @@ def decode_ids(ids: list[int], vocabulary: Pieces) -> str:
     return whole[1:] if whole.startswith(" ") else whole
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, rate: float, seed: int) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, rate: float, seed: int, remember: bool) -> Iterator[pa.RecordBatch]:
     vocabulary = load(path)
     for batch in pieces(batches, 1, 1 << 21):
-        variants = np.array(batch.column(2).to_pylist(), dtype=np.uint64)
-        ids, counts = encode_texts(texts_of(batch, 1), variants, vocabulary, rate, seed)
+        variants = batch.column(2).to_numpy().view(np.uint64)
+        ids, counts = encode_texts(texts_of(batch, 1), variants, vocabulary, rate, seed, remember)
         listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(ids))
         yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], listed], names=[batch.schema.names[0], *batch.schema.names[3:], "ids"])
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1, seed: int = 13, variants: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1, seed: int = 13, variants: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Return (id, kept columns, ids array<int>), one row per input row.
 
     ``model`` is a SentencePiece model file of merge type with byte fallback, present on every machine.  NULL and empty
-    texts have no ids.  Characters outside the vocabulary, and the space mark itself, become bytes.  The document's
-    variant is a hash of its id modulo ``variants``; repeated rows have equal ids.
+    texts have no ids.  Characters outside the vocabulary, and the space mark itself, become bytes.  A document
+    draws its merges by a hash of its id, or by that hash modulo ``variants``, where a bounded number of segmentations of a
+    word is wanted; repeated rows have equal ids, as have equal texts without an id.
     """
-    variant = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(seed)), F.lit(variants)).alias("__variant")
+    drawn = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(seed))
+    variant = (drawn if variants is None else F.pmod(drawn, F.lit(variants)).cast("bigint")).alias("__variant")
     rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"), variant, *(F.col(c) for c in keep))
     schema = T.StructType([rows.schema[0], *rows.schema.fields[3:], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return rows.mapInArrow(lambda batches: _encode(batches, model, rate, seed), schema)
+    return rows.mapInArrow(lambda batches: _encode(batches, model, rate, seed, variants is not None or not rate), schema)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:

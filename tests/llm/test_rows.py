@@ -202,6 +202,41 @@ def test_heap_and_arrays_agree_under_dropout():
         assert flat.tolist() == sentencepiece_bpe.long_word(symbols.tolist(), k + 5, vocabulary, 0.4)
 
 
+def test_segmentations_grow_with_the_documents(spark):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("understanding internationalization").alias("text"))
+    coded = sentencepiece_bpe.encode(docs, MODEL)
+    few, many, bounded = (d.select("ids").distinct().count() for d in (coded.where("doc_id < 200"), coded, sentencepiece_bpe.encode(docs, MODEL, variants=2)))
+    assert 20 < few < many and many > 200 and bounded == 2
+    assert sentencepiece_bpe.decode(coded, MODEL).select("decoded").distinct().collect()[0][0] == "understanding internationalization"
+
+
+def plain_agenda(word, seed, vocabulary, rate):
+    """The agenda one merge at a time: always the best pair that is not skipped, the leftmost of equals."""
+    symbols = [(at, int(s)) for at, s in enumerate(vocabulary.char_ids[[ord(c) for c in word]])]
+    while True:
+        offers = []
+        for (at, left), (_, right) in zip(symbols, symbols[1:]):
+            worth = vocabulary.pair_worth.get(left * vocabulary.size + right)
+            if worth is not None and not sentencepiece_bpe.skipped(np.array([seed], np.uint64), np.array([at]), np.array([worth % vocabulary.size]), rate)[0]:
+                offers.append((worth, at))
+        if not offers:
+            return [s for _, s in symbols]
+        worth, at = min(offers)
+        k = [a for a, _ in symbols].index(at)
+        symbols[k : k + 2] = [(at, worth % vocabulary.size)]
+
+
+@given(st.lists(st.text("aeinrstdhlou", min_size=1, max_size=60), min_size=1, max_size=5), st.integers(0, 2**63))
+@settings(max_examples=40, deadline=None)
+def test_dropout_against_a_plain_agenda(words, seed):
+    vocabulary = sentencepiece_bpe.load(MODEL)
+    points = np.concatenate([[ord(c) for c in w] for w in words])
+    sizes = np.array([len(w) for w in words])
+    seeds = np.arange(len(words), dtype=np.uint64) + np.uint64(seed)
+    flat, counts = sentencepiece_bpe.segment(points, np.cumsum(sizes) - sizes, sizes, seeds, vocabulary, 0.3)
+    assert flat.tolist() == [s for w, x in zip(words, seeds.tolist()) for s in plain_agenda(w, x, vocabulary, 0.3)] and len(counts) == len(words)
+
+
 def test_pieces_of_awkward_texts(spark, awkward, nothing):
     coded = sentencepiece_bpe.encode(awkward, MODEL, keep=("text",), rate=0.2)
     got = sentencepiece_bpe.decode(coded, MODEL, keep=("text",)).collect()
