@@ -65,15 +65,15 @@ FROM sets s LEFT JOIN classes c ON s.s = c.s LEFT JOIN roots r ON r.node = c.cla
 """
 
 ORACLES["op3_decontaminate"] = r"""
-WITH masks(mask, span, places) AS (VALUES (1, 7, [0, 1, 2, 4, 5, 6]), (2, 8, [0, 1, 3, 4, 6, 7]), (3, 10, [0, 1, 3, 4, 7, 8, 9])),
+WITH masks(mask, span, places) AS (VALUES (1, 3, [0, 1, 2]), (2, 4, [0, 1, 3]), (3, 4, [0, 2, 3]), (4, 5, [0, 1, 4]), (5, 5, [0, 2, 4]), (6, 5, [0, 3, 4])),
 d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
 b AS MATERIALIZED (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
 doc_windows AS (
   SELECT doc_id, pos, mask, array_to_string(list_transform(places, lambda p: w[pos + p + 1]), ' ') AS key
-  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 6)) AS pos FROM d), masks WHERE pos + span <= len(w)),
+  FROM (SELECT doc_id, w, unnest(range(0, len(w) - 2)) AS pos FROM d), masks WHERE pos + span <= len(w)),
 item_windows AS (
   SELECT item_id, pos, mask, array_to_string(list_transform(places, lambda p: w[pos + p + 1]), ' ') AS key
-  FROM (SELECT item_id, w, unnest(range(0, len(w) - 6)) AS pos FROM b), masks WHERE pos + span <= len(w)),
+  FROM (SELECT item_id, w, unnest(range(0, len(w) - 2)) AS pos FROM b WHERE len(w) >= 7), masks WHERE pos + span <= len(w)),
 hits AS (
   SELECT DISTINCT doc_id, item_id, x.pos - y.pos AS diag FROM doc_windows x JOIN item_windows y USING (mask, key)),
 aligned AS (
