@@ -24,11 +24,15 @@ def incomplete(scores: DataFrame, n_levels: int, strict: bool = False) -> DataFr
     return bad
 
 
+def complete(scores: DataFrame, n_levels: int) -> DataFrame:
+    """Scores of the ids that are scored at all levels, by one window over the rows of an id (no more than its labels)."""
+    bits = F.bit_or(F.expr("shiftleft(1L, lvl)")).over(Window.partitionBy("id"))
+    return scores.withColumn("_bits", bits).filter(F.bit_count("_bits") == n_levels).drop("_bits")
+
+
 def combine_levels(tables: Sequence[DataFrame]) -> DataFrame:
     """Union of the per-level score tables, restricted to ids present in every one of them."""
-    scores = union_all(tables)
-    complete = level_counts(scores).filter(F.col("n_lvls") == len(tables)).select("id")
-    return scores.join(complete, "id", "left_semi").select(*scores.columns)
+    return complete(union_all(tables), len(tables))
 
 
 def completeness(scores: DataFrame) -> DataFrame:

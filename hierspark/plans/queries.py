@@ -201,9 +201,7 @@ def incomplete_ids(spark, sf):
 
 @query
 def combine_levels(spark, sf):
-    strong = _strong(spark, sf)
-    tables = [strong.filter(F.col("lvl") == k) for k in range(B.N_SHARE)]
-    return rounded(combine.combine_levels(tables).select("id", "lvl", "label", "prob"), "prob")
+    return rounded(combine.complete(_strong(spark, sf), B.N_SHARE).select("id", "lvl", "label", "prob"), "prob")
 
 
 def _matrix(spark, sf):
