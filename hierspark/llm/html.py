@@ -1,13 +1,16 @@
 """Main text of web pages by deduction of each host's template.
 
-Tokens are tags and words, told apart by the path of open elements above them.  Tokens of a host whose occurrence
-vectors (the count on every page) are equal form a class.  A class is valid if it is on most of the host's pages and
-has more than one token.  The template grows from the root: a token of a valid class belongs to it if the element around
-it does.  Words in elements that repeat on a page are content of a repeated slot and no template words.
+Tokens are tags, words and blocks, told apart by the path of open elements above them.  Words count in elements that a
+page has once, whole blocks of text in elements that it repeats.  Tokens of a host whose occurrence vectors (the count on
+every page) are equal form a class.  A class is valid if it is on most of the host's pages and has more than one token.
+The template grows from the root: a token of a valid class belongs to it if the element around it does.
 
-What lies between template tokens are slots.  The text of a page is what its slots hold inside the article; where a
-page has no article or main element, what its slots hold outside of elements that are marked as something else,
-without the blocks that consist of template words.
+What lies between template tokens are slots, on every page.  The article element, else the main element, only chooses
+among the slots; where a page has neither, all slots outside of elements that are marked as something else count.
+
+Copies of a page are no evidence for a template: vectors range over the distinct pages of a host.  Near copies may still
+make most of an article look like template, so an article of whose characters the slots hold under a quarter is taken
+for one of several copies and stays whole.
 
 Occurrence vectors are never gathered: two sums of 31-bit hashes of (page, count) stand for a vector, so each
 task adds up what it reads and a host of any size costs a few numbers a token.
@@ -50,11 +53,15 @@ MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 TELLING = re.compile(r"class|id|role|hidden|style", re.IGNORECASE)
 SPLIT = re.compile(r"[^a-z0-9]+")
 ROLE_MAIN = re.compile(r"\brole\s*=\s*[\"']?main\b", re.IGNORECASE)
+CONTENT = re.compile(r"[^ \t]*")
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.IGNORECASE)
 
-MIN_PAGES, SUPPORT = 4, 0.6
-POOL = "*"
+#: An article is one of several near copies if its slots hold less than one part in four of its characters.
+MIN_PAGES, SUPPORT, COPY = 4, 0.6, 4
+#: Stands for all hosts; no host holds a slash.
+POOL = "/"
 BROADCAST_HOSTS = 50_000
+BROADCAST_BYTES = 64 << 20
 
 
 class Element:
@@ -66,7 +73,7 @@ class Element:
         found = sorted({w for m in MARKED.finditer(attributes) for w in SPLIT.split((m[1] or m[2] or m[3] or "").lower()) if w}) if attributes else []
         self.name = name
         self.below: dict[tuple[str, str], Element] = {}
-        self.path = f"{above.path if above else ''}/{name}{'.' if found else ''}{'.'.join(found)}"
+        self.path = f"{above.path}/{name}{'.' if found else ''}{'.'.join(found)}" if above else ""
         own = name in ASIDE or not MARKS.isdisjoint(found) or bool(attributes and HIDDEN.search(attributes))
         self.aside = own or bool(above and above.aside)
         self.article = not self.aside and (name == "article" or bool(above and above.article))
@@ -145,7 +152,7 @@ def close(open_: list[Element], names: set[str], stop: set[str]) -> None:
 
 
 def tokens(page: str) -> Counter:
-    """Tags by path, and words by path in elements that the page has once."""
+    """Tags by path; by path also words in elements that the page has once, and blocks that begin in repeated ones."""
     tags: Counter = Counter()
     words: list[tuple[str, str]] = []
     for piece, element in walk(page):
@@ -157,9 +164,14 @@ def tokens(page: str) -> Counter:
     for path, piece in words:
         if tags[path] <= 1:
             found.update(f"{path} {w}" for w in html.unescape(piece).split())
+    found.update(block_token(e.path, text) for text, e in blocks(page) if tags[e.path] > 1)
     return found
 
 
+def block_token(path: str, text: str) -> str:
+    return f"{path}\t{xxhash.xxh3_128_hexdigest(text)}"
+
+
 def blocks(page: str) -> list[tuple[str, Element]]:
     """Text blocks in page order with the element around their first text; white space is single."""
     found, parts, owner = [], [], None
@@ -178,12 +190,18 @@ def blocks(page: str) -> list[tuple[str, Element]]:
 
 
 def main_text(page: str, template: frozenset[str]) -> str:
-    """What the slots of a page hold: in the article, else in the main element, else outside of the template."""
+    """What the slots of a page hold: those in the article, else those in the main element, else all."""
     found = blocks(page)
-    inside = [text for text, e in found if e.article] or [text for text, e in found if e.main]
-    if not inside:
-        inside = [text for text, e in found if not template or not all(f"{e.path} {w}" in template for w in text.split())]
-    return "\n\n".join(inside)
+    chosen = [b for b in found if b[1].article] or [b for b in found if b[1].main]
+    slots = [b for b in chosen or found if not in_template(*b, template)]
+    if chosen and COPY * sum(len(text) for text, _ in slots) < sum(len(text) for text, _ in chosen):
+        slots = chosen
+    return "\n\n".join(text for text, _ in slots)
+
+
+def in_template(text: str, element: Element, template: frozenset[str]) -> bool:
+    """Whether a block, or each of its words, is a token of the template."""
+    return bool(template) and (block_token(element.path, text) in template or all(f"{element.path} {w}" in template for w in text.split()))
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,18 +232,27 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows()
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """One page of those of a host that are equal, the one with the smallest id; NULL pages go."""
+    key = [F.col("_host"), F.xxhash64("_html").alias("_a"), F.crc32(F.col("_html").cast("binary")).alias("_b")]
+    first = pages.where("_html IS NOT NULL").groupBy(*key).agg(F.min("page").alias("page")).select(F.col("_host").alias("_h"), "page").distinct()
+    return pages.join(first, F.col("_host").eqNullSafe(F.col("_h")) & pages["page"].eqNullSafe(first["page"]), "left_semi")
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template): tokens of the template of every host with enough pages, and of all pages together.
+    """(host, tokens): tokens of valid classes of every host with enough distinct pages, and of all distinct pages together.
 
-    Pages are read once: vectors of all pages are sums of those of the hosts.
+    Vectors of all pages are sums of those of the hosts.  A host's list is bounded by its pages, not by their number: a token
+    is listed if it is on ``SUPPORT`` of them, so no list is longer than a page's mean number of tokens by ``SUPPORT``.
     """
     columns = ("pages", "sum_a", "sum_b")
-    seen = pages.mapInArrow(_occurrences, "host string, token string, pages bigint, sum_a bigint, sum_b bigint")
+    own = distinct_pages(pages)
+    seen = own.mapInArrow(_occurrences, "host string, token string, pages bigint, sum_a bigint, sum_b bigint")
     by_host = stored(seen.groupBy("host", "token").agg(*(F.sum(c).alias(c) for c in columns)), "vectors")
     together = by_host.groupBy("token").agg(*(F.sum(c).alias(c) for c in columns)).select(F.lit(POOL).alias("host"), "token", *columns)
-    sizes = pages.groupBy(F.col("_host").alias("host")).agg(F.count("*").alias("all"))
+    sizes = own.groupBy(F.col("_host").alias("host")).agg(F.count("*").alias("all"))
     whole = sizes.agg(F.sum("all").alias("all")).select(F.lit(POOL).alias("host"), "all")
-    large = stored(sizes.unionByName(whole).where(F.col("all") >= MIN_PAGES), "hosts")
+    large = stored(sizes.where("host <> ''").unionByName(whole).where(F.col("all") >= MIN_PAGES), "hosts")
     vectors = by_host.where("pages > 1").unionByName(together)
     frequent = vectors.join(broadcast_up_to(large, BROADCAST_HOSTS), "host").where(F.col("pages") >= SUPPORT * F.col("all"))
     classes = frequent.groupBy("host", "pages", "sum_a", "sum_b").agg(F.collect_list("token").alias("tokens"))
@@ -235,11 +262,14 @@ def templates(pages: DataFrame) -> DataFrame:
 def nested(found: list[str]) -> frozenset[str]:
     """Tokens whose surrounding element is in the template, from the root down."""
     kept: set[str] = set()
-    for token in sorted((t for t in found if " " not in t), key=lambda t: t.count("/")):
+    content = {t: around for t in found if (around := CONTENT.match(t)) and around.end() < len(t)}
+    for token in sorted((t for t in found if t not in content), key=lambda t: t.count("/")):
         above = token.rpartition("/")[0]
         if not above or above in kept:
             kept.add(token)
-    return frozenset(kept | {t for t in found if " " in t and (t.partition(" ")[0] in kept or t[0] == " ")})
+    # a block's own element repeats, in numbers of its own: the element around that one counts
+    above = lambda t, path: path.rpartition("/")[0] if t[len(path)] == "\t" else path
+    return frozenset(kept | {t for t, around in content.items() if not above(t, around[0]) or above(t, around[0]) in kept})
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,13 +288,16 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Return (id, url, text, n_chars), one row per input row.
 
-    NULL and empty pages have an empty text.  Hosts of fewer than four pages, and pages without a host, use the template
-    of all pages together.  Repeated rows are extracted each; other columns are ignored.
+    NULL and empty pages have an empty text.  Hosts of fewer than four distinct pages, and pages without a host, use the
+    template of all pages together.  Repeated rows are extracted each and are one page for the template; so are rows
+    without an id, and rows that share one, where their pages are equal.  Other columns are ignored.  Templates are
+    broadcast up to a counted 64 MB and shuffled beyond it.
     """
     own = pages.select(F.col(id_col), F.col(url_col), host_of(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html"))
     found = stored(templates(own.select(F.col(id_col).cast("string").alias("page"), "_host", "_html")), "templates")
-    pooled = found.where(F.col("host") == POOL).select("tokens").first()
-    rest = F.array(*map(F.lit, pooled["tokens"])) if pooled else F.array().cast("array<string>")
-    joined = own.join(broadcast_up_to(found.withColumnRenamed("host", "_host"), BROADCAST_HOSTS), "_host", "left").select(id_col, url_col, "_host", "_html", F.coalesce("tokens", rest).alias("_tokens"))
+    size = found.agg(F.sum(F.octet_length(F.array_join("tokens", "")) + 8 * F.size("tokens"))).first()[0] or 0
+    by_host = found.where(F.col("host") != POOL).withColumnRenamed("host", "_host")
+    pooled = found.where(F.col("host") == POOL).select("tokens").scalar()
+    joined = own.join(F.broadcast(by_host) if size <= BROADCAST_BYTES else by_host, "_host", "left").select(id_col, url_col, "_host", "_html", F.coalesce("tokens", pooled).alias("_tokens"))
     schema = T.StructType([*own.schema.fields[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return joined.mapInArrow(_extract, schema)

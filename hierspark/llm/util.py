@@ -67,18 +67,15 @@ def local_copy(name: str, content: bytes) -> str:
     return path
 
 
-def next_ids(ids: DataFrame, width: int = 1024) -> DataFrame:
-    """(_id, _next): each distinct whole-number id with the next larger one, the largest with the smallest.
+def next_ids(ids: DataFrame) -> DataFrame:
+    """(_id, _next): each distinct id with the next larger one, the largest with the smallest.
 
-    Ids are looked at in blocks of ``width`` values, blocks in blocks again, so that no task orders all ids; only the
-    first ids of blocks of ``width`` squared meet in one task.
+    Ids are range-partitioned and looked at range by range, whatever values they have; only the first ids of the ranges, one
+    row a partition, meet in one task.
     """
-    one = ids.select("_id").distinct().withColumn("_b", F.floor(F.col("_id") / width).cast("bigint"))
-    small = one.groupBy("_b").agg(F.min("_id").alias("_first")).withColumn("_c", F.floor(F.col("_b") / width).cast("bigint"))
-    large = small.groupBy("_c").agg(F.min("_first").alias("_first"))
-    start = large.agg(F.min("_first").alias("_start"))
-    large = large.select("_c", F.lead("_first").over(Window.orderBy("_c")).alias("_after_c"))
-    small = small.select("_b", "_c", F.lead("_first").over(Window.partitionBy("_c").orderBy("_b")).alias("_after_b")).join(large, "_c")
-    blocks = small.join(F.broadcast(start)).select("_b", F.coalesce("_after_b", "_after_c", "_start").alias("_after"))
-    inner = one.withColumn("_own", F.lead("_id").over(Window.partitionBy("_b").orderBy("_id")))
-    return inner.join(blocks, "_b").select("_id", F.coalesce("_own", "_after").alias("_next"))
+    ranges = stored(ids.select("_id").distinct().repartitionByRange("_id").withColumn("_p", F.spark_partition_id()), "ids")
+    first = ranges.groupBy("_p").agg(F.min("_id").alias("_first"))
+    after = first.select("_p", F.lead("_first").over(Window.orderBy("_p")).alias("_after"))
+    start = ranges.agg(F.min("_id")).scalar()
+    inner = ranges.withColumn("_own", F.lead("_id").over(Window.partitionBy("_p").orderBy("_id")))
+    return inner.join(F.broadcast(after), "_p").select("_id", F.coalesce("_own", "_after", start).alias("_next"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 import zlib
 
 import duckdb
@@ -305,6 +306,64 @@ def test_template_words_go_without_an_article(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+STORY = "<html><body><nav>menu</nav><article><h1>Title {0}</h1><p>Share this story</p><p>Body of {0}, told at length for {1}</p><p>Read more on our site</p></article><footer>f</footer></body></html>"
+
+
+def page_table(spark, pages):
+    return spark.createDataFrame([(i, f"http://{host}/{i}", page) for i, (host, page) in enumerate(pages)], "page_id bigint, url string, html string")
+
+
+def test_template_blocks_inside_an_article_go(spark):
+    """Repeated blocks are template; copies neither empty the article nor become template themselves."""
+    told = [("a.com", STORY.format(i, i * 7)) for i in range(6)] + [("a.com", STORY.format(3, 21))] * 20
+    near = [("b.org", "<article><h1>One title</h1>" + "".join(f"<p>Paragraph {k} of a story that many pages copy</p>" for k in range(6)) + f"<p>copy {i}</p></article>") for i in range(8)]
+    alone = [("c.net", "<article><p>Only here</p><p>Share this story</p></article>")]
+    got = [r["text"] for r in html.extract(page_table(spark, told + near + alone)).orderBy("page_id").collect()]
+    number = [*range(6), *[3] * 20]
+    assert got[:26] == [f"Title {i}\n\nBody of {i}, told at length for {i * 7}" for i in number]
+    assert got[26:34] == ["\n\n".join(["One title", *(f"Paragraph {k} of a story that many pages copy" for k in range(6)), f"copy {i}"]) for i in range(8)]
+    assert got[34] == "Only here\n\nShare this story"
+
+
+def test_template_against_whole_vectors(spark):
+    """Classes from the occurrence vectors themselves, with copies, ties, NULL pages and pages without a host."""
+    rng = random.Random(8)
+    parts = ["<div class='x'><p>w{}</p></div>", "<p>Fixed block</p>", "<section>one two {}</section>", "<ul><li>a</li><li>b</li></ul>", "<p>Now {}</p>", "<h2>same head</h2>"]
+    pages = []
+    for host in ("one.com", "two.com", "three.com", ""):
+        for _ in range(9):
+            page = "<body>" + "".join(p.format(rng.randrange(4)) for p in parts if rng.random() < 0.85) + "</body>"
+            pages += [(host, page)] * rng.choice([1, 1, 3])
+    pages += [("one.com", None), ("two.com", ""), ("four.com", "<p>x</p>")]
+    df = page_table(spark, pages)
+    vectors, distinct = {}, {}
+    for host, page in dict.fromkeys(p for p in pages if p[1] is not None):
+        for group in (host, html.POOL):
+            n = distinct[group] = distinct.get(group, 0) + 1
+            for token, count in html.tokens(page).items():
+                vectors.setdefault((group, token), []).append((n, count))
+    classes = {}
+    for (group, token), vector in vectors.items():
+        if group and distinct[group] >= html.MIN_PAGES and len(vector) >= html.SUPPORT * distinct[group]:
+            classes.setdefault((group, tuple(vector)), set()).add(token)
+    want = {}
+    for (group, _), members in classes.items():
+        if len(members) > 1:
+            want.setdefault(group, set()).update(members)
+    own = df.select(F.col("page_id").cast("string").alias("page"), urls.host_of(F.col("url")).alias("_host"), F.col("html").alias("_html"))
+    got = {r["host"]: r["tokens"] for r in html.templates(own).collect()}
+    assert {h: set(t) for h, t in got.items()} == want and {"one.com", "two.com", "three.com", html.POOL} >= set(want) != set()
+    assert all(len(t) == len(set(t)) for t in got.values())
+
+
+def test_long_and_repeated_pages(spark):
+    long = "<article>" + "".join(f"<p>line {i} &amp; more</p>" for i in range(20_000)) + "</article>"
+    df = page_table(spark, [("a.com", long)] * 3 + [("a.com", STORY.format(1, 2))])
+    got = [r["text"] for r in html.extract(df.unionByName(df)).orderBy("page_id").collect()]
+    assert len(got) == 8 and got[:6] == ["\n\n".join(f"line {i} & more" for i in range(20_000))] * 6
+    assert got[6] == got[7] and got[6].startswith("Title 1\n\nShare this story")
+
+
 def test_pages_of_the_tables(spark):
     import re
     from html import unescape

@@ -296,7 +296,7 @@ def test_fingerprints_of_awkward_texts(spark, awkward, nothing):
 def test_next_ids(spark):
     rng = random.Random(4)
     ids = sorted({rng.randrange(-5000, 9_000_000) for _ in range(300)} | set(range(40)))
-    got = {r["_id"]: r["_next"] for r in next_ids(spark.createDataFrame([(i,) for i in ids * 2], "_id bigint"), 64).collect()}
+    got = {r["_id"]: r["_next"] for r in next_ids(spark.createDataFrame([(i,) for i in ids * 2], "_id bigint")).collect()}
     assert got == {i: ids[(k + 1) % len(ids)] for k, i in enumerate(ids)}
 
 
