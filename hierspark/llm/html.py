@@ -62,6 +62,7 @@ MIN_PAGES, SUPPORT, COPY = 4, 0.6, 4
 POOL = "/"
 BROADCAST_HOSTS = 50_000
 BROADCAST_BYTES = 64 << 20
+BROADCAST_COPIES = 1_000_000
 
 
 class Element:
@@ -233,10 +234,14 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
-    """One page of those of a host that are equal, the one with the smallest id; NULL pages go."""
-    key = [F.col("_host"), F.xxhash64("_html").alias("_a"), F.crc32(F.col("_html").cast("binary")).alias("_b")]
-    first = pages.where("_html IS NOT NULL").groupBy(*key).agg(F.min("page").alias("page")).select(F.col("_host").alias("_h"), "page").distinct()
-    return pages.join(first, F.col("_host").eqNullSafe(F.col("_h")) & pages["page"].eqNullSafe(first["page"]), "left_semi")
+    """Of the equal pages of a host the one with the smallest id; NULL pages go.
+
+    Pages themselves are not shuffled while at most a counted million of them have copies: that list is broadcast then.
+    """
+    own = pages.where("_html IS NOT NULL").select(F.coalesce("page", F.lit("")).alias("page"), "_host", "_html", F.xxhash64("_html").alias("_a"), F.crc32(F.col("_html").cast("binary")).alias("_b"))
+    key = ["_host", "_a", "_b"]
+    several = stored(own.groupBy(*key).agg(F.min("page").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n"), "copies")
+    return own.join(broadcast_up_to(several, BROADCAST_COPIES), key, "left").where("_first IS NULL OR _first = page").select("page", "_host", "_html")
 
 
 def templates(pages: DataFrame) -> DataFrame:
@@ -289,9 +294,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """Return (id, url, text, n_chars), one row per input row.
 
     NULL and empty pages have an empty text.  Hosts of fewer than four distinct pages, and pages without a host, use the
-    template of all pages together.  Repeated rows are extracted each and are one page for the template; so are rows
-    without an id, and rows that share one, where their pages are equal.  Other columns are ignored.  Templates are
-    broadcast up to a counted 64 MB and shuffled beyond it.
+    template of all pages together.  Repeated rows are extracted each; for the template, equal pages of one host are one page
+    where their ids differ, and a page each where they do not.  Other columns are ignored.  Templates are broadcast up to a
+    counted 64 MB and shuffled beyond it.
     """
     own = pages.select(F.col(id_col), F.col(url_col), host_of(F.col(url_col)).alias("_host"), F.col(html_col).alias("_html"))
     found = stored(templates(own.select(F.col(id_col).cast("string").alias("page"), "_host", "_html")), "templates")
