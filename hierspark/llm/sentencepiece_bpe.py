@@ -6,6 +6,10 @@ dropout rate, so equal seeds give equal segmentations on any partitioning.  Ever
 hold a word, the more ways it is split.  Inside a document a word is split alike.  With rate 0 the result is the plain
 segmentation.
 
+A segmentation differs from the plain one only if a merge that the plain agenda carries out is skipped: as long as none is, the
+best of the remaining candidates is the plain agenda's choice.  So tasks remember the plain segmentation of a word with
+its merges, and the agenda runs anew only where the hash of a document skips one of them.
+
 No piece holds a space mark after another character, so words (a run of spaces and what follows) are encoded
 one by one.  All distinct words of a slice run through the agenda together, as numpy arrays.
 """
@@ -61,16 +65,42 @@ class Pieces:
         self.char_ids[ord(" ")] = self.space
         order = {i: r for r, i in enumerate(sorted(ids.values(), key=lambda i: (-model.get_score(i), i)))}
         joined = sorted({(ids[n[:k]] * self.size + ids[n[k:]], order[i] * self.size + i) for n, i in ids.items() for k in range(1, len(n)) if n[:k] in ids and n[k:] in ids})
-        self.pairs = np.array([p for p, _ in joined], dtype=np.int64)
-        self.worth = np.array([w for _, w in joined], dtype=np.int64)
+        self._lay_out(np.array([p for p, _ in joined], dtype=np.int64), np.array([w for _, w in joined], dtype=np.int64))
         self.pair_worth = dict(joined)
         self.bytes = [bytes([int(n[1:-1], 16)]) if model.is_byte(i) else n.replace(SPACE, " ").encode() if i in order else b"" for i, n in enumerate(names)]
+        self.byte_flat = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
+        self.byte_counts = np.array([len(b) for b in self.bytes], dtype=np.int64)
+        self.byte_begins = np.cumsum(self.byte_counts) - self.byte_counts
 
     def candidates(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """order * size + id of the joined piece; NEVER where there is none."""
-        keys = left * self.size + right
-        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-        return np.where((self.pairs[at] == keys) & (left < self.size) & (right < self.size), self.worth[at], NEVER)
+        keys = np.where((left < self.size) & (right < self.size), left * self.size + right, -2)
+        at = self._slot(keys)
+        seen = self.pairs[at]
+        out = np.where(seen == keys, self.worth[at], NEVER)
+        rest = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & (len(self.pairs) - 1)
+            seen = self.pairs[at[rest]]
+            hit = seen == keys[rest]
+            out[rest[hit]] = self.worth[at[rest[hit]]]
+            rest = rest[~hit & (seen >= 0)]
+        return out
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * M1) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _lay_out(self, keys: np.ndarray, worth: np.ndarray) -> None:
+        """Pairs in a table at most a quarter full, each at its slot or the next free one."""
+        self.bits = max(8, int(4 * len(keys)).bit_length())
+        self.pairs, self.worth = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, NEVER, dtype=np.int64)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.pairs[at[left]] < 0]
+            taken, one = np.unique(at[free], return_index=True)
+            self.pairs[taken], self.worth[taken] = keys[free[one]], worth[free[one]]
+            left = left[self.pairs[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & (len(self.pairs) - 1)
 
 
 @lru_cache(maxsize=2)
@@ -113,8 +143,11 @@ def long_word(symbols: list[int], seed: int, vocabulary: Pieces, rate: float) ->
     return [s for s in symbols if s >= 0]
 
 
-def merge(symbols: np.ndarray, begins: np.ndarray, seeds: np.ndarray, vocabulary: Pieces, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Segment words given as flat symbols; return flat symbols and their counts by word."""
+def merge(symbols: np.ndarray, begins: np.ndarray, seeds: np.ndarray, vocabulary: Pieces, rate: float, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Segment words given as flat symbols; return flat symbols and their counts by word.
+
+    ``trace`` receives the words, places and pieces of the merges carried out, one tuple a round.
+    """
     n_words = len(begins) - 1
     word = np.repeat(np.arange(n_words), np.diff(begins))
     place = np.arange(len(symbols)) - begins[:-1][word]
@@ -149,6 +182,8 @@ def merge(symbols: np.ndarray, begins: np.ndarray, seeds: np.ndarray, vocabulary
         owner = word[equal]
         at = equal[np.append(True, owner[1:] != owner[:-1])]
         symbols[at] = best % vocabulary.size
+        if trace is not None:
+            trace.append((word[at], place[at], symbols[at]))
         alive = np.ones(len(symbols), dtype=bool)
         alive[at + 1] = False
         moved = np.cumsum(alive) - 1
@@ -174,11 +209,16 @@ def spans_take(flat: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> np.n
     return flat[np.arange(total) - np.repeat(ends - counts, counts) + np.repeat(begins, counts)]
 
 
-def segment(points: np.ndarray, begins: np.ndarray, counts: np.ndarray, seeds: np.ndarray, vocabulary: Pieces, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Flat symbols of the words at these places, and their counts by word."""
+def symbols_of(points: np.ndarray, begins: np.ndarray, counts: np.ndarray, vocabulary: Pieces) -> np.ndarray:
+    """Flat symbols of the words at these places: piece ids of the characters, code points beyond the vocabulary for others."""
     chars = spans_take(points, begins, counts)
     symbols = vocabulary.char_ids[chars]
-    symbols = np.where(symbols < 0, chars + vocabulary.size, symbols)
+    return np.where(symbols < 0, chars + vocabulary.size, symbols)
+
+
+def segment(points: np.ndarray, begins: np.ndarray, counts: np.ndarray, seeds: np.ndarray, vocabulary: Pieces, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Flat symbols of the words at these places, and their counts by word."""
+    symbols = symbols_of(points, begins, counts, vocabulary)
     short = counts <= LONG_WORD
     mask = np.repeat(short, counts)
     found, n_found = merge(symbols[mask], np.append(0, np.cumsum(counts[short])), seeds[short], vocabulary, rate)
@@ -217,8 +257,68 @@ class Known:
         return self.place[at], self.counts[at]
 
 
+class Plain:
+    """Plain segmentations of this task's earlier words with their merges, by word hash; forgotten when there are too many."""
+
+    def __init__(self) -> None:
+        self.words = np.zeros(0, np.uint64)
+        self.begins, self.counts, self.merge_begins, self.merge_counts = (np.zeros(0, np.int64) for _ in range(4))
+        self.flat, self.merges = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def find(self, words: np.ndarray, points: np.ndarray, begins: np.ndarray, counts: np.ndarray, vocabulary: Pieces) -> np.ndarray:
+        """Rows of these distinct words, in ascending order of hash; new ones are segmented first."""
+        if len(self.words) + len(words) > KEPT_PLAIN:
+            self.__init__()
+        at = np.searchsorted(self.words, words)
+        new = np.flatnonzero(np.append(self.words, words[-1:])[at] != words) if len(self.words) else np.arange(len(words))
+        new = np.union1d(new, np.flatnonzero(at == len(self.words)))
+        if len(new):
+            self._add(words[new], at[new], points, begins[new], counts[new], vocabulary)
+            at = np.searchsorted(self.words, words)
+        return at
+
+    def _add(self, words: np.ndarray, at: np.ndarray, points: np.ndarray, begins: np.ndarray, counts: np.ndarray, vocabulary: Pieces) -> None:
+        trace: list[tuple] = [(np.zeros(0, np.int64),) * 3]
+        flat, n_symbols = merge(symbols_of(points, begins, counts, vocabulary), np.append(0, np.cumsum(counts)), words, vocabulary, 0.0, trace)
+        owner, place, piece = (np.concatenate(x) for x in zip(*trace))
+        n_merges = np.bincount(owner, minlength=len(words))
+        self.begins = np.insert(self.begins, at, len(self.flat) + np.cumsum(n_symbols) - n_symbols)
+        self.merge_begins = np.insert(self.merge_begins, at, len(self.merges) + np.cumsum(n_merges) - n_merges)
+        self.counts, self.merge_counts = np.insert(self.counts, at, n_symbols), np.insert(self.merge_counts, at, n_merges)
+        self.words = np.insert(self.words, at, words)
+        self.flat = np.append(self.flat, flat.astype(np.int32))
+        self.merges = np.append(self.merges, ((piece << 6) + place)[np.argsort(owner, kind="stable")].astype(np.int32))
+
+    def kept(self, rows: np.ndarray, seeds: np.ndarray, rate: float) -> np.ndarray:
+        """Whether no merge of the word in this row is skipped under this seed."""
+        n = self.merge_counts[rows]
+        merges = spans_take(self.merges, self.merge_begins[rows], n)
+        drop = np.flatnonzero(skipped(np.repeat(seeds, n), merges & 63, merges >> 6, rate))
+        out = np.ones(len(rows), dtype=bool)
+        out[np.searchsorted(np.cumsum(n), drop, "right")] = False
+        return out
+
+
 WORDS: dict[tuple, Known] = {}
+PLAIN: dict[str, Plain] = {}
 KEPT_WORDS = 1_500_000
+KEPT_PLAIN = 600_000
+
+
+def drawn(points: np.ndarray, begins: np.ndarray, counts: np.ndarray, words: np.ndarray, seeds: np.ndarray, vocabulary: Pieces, rate: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat symbols, and where in them each word's are: the plain ones unless a merge of the word is skipped, else anew."""
+    plain = PLAIN.setdefault(vocabulary.path, Plain())
+    short = np.flatnonzero(counts <= LONG_WORD)
+    distinct, first, back = np.unique(words[short], return_index=True, return_inverse=True)
+    rows = plain.find(distinct, points, begins[short[first]], counts[short[first]], vocabulary)[back]
+    same = plain.kept(rows, seeds[short], rate) if rate else np.ones(len(rows), dtype=bool)
+    anew = np.ones(len(words), dtype=bool)
+    anew[short[same]] = False
+    place, n_symbols = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+    place[short[same]], n_symbols[short[same]] = plain.begins[rows[same]], plain.counts[rows[same]]
+    found, n_found = segment(points, begins[anew], counts[anew], seeds[anew], vocabulary, rate)
+    place[anew], n_symbols[anew] = len(plain.flat) + np.cumsum(n_found) - n_found, n_found
+    return np.append(plain.flat, found), place, n_symbols
 
 
 def encode_texts(texts: list[str], variants: np.ndarray, vocabulary: Pieces, rate: float, seed: int, remember: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -247,8 +347,7 @@ def encode_texts(texts: list[str], variants: np.ndarray, vocabulary: Pieces, rat
         known.add(unique[new], *segment(points, begins[first[new]], (ends - begins)[first[new]], unique[new], vocabulary, rate))
         flat, (place, n_symbols) = known.flat, known.find(unique)
     else:
-        flat, n_symbols = segment(points, begins[first], (ends - begins)[first], unique, vocabulary, rate)
-        place = np.cumsum(n_symbols) - n_symbols
+        flat, place, n_symbols = drawn(points, begins[first], (ends - begins)[first], hashes[first], unique, vocabulary, rate)
     ids = spans_take(flat, place[back], n_symbols[back]).astype(np.int64)
     by_text = np.bincount(owner, n_symbols[back], minlength=len(texts)).astype(np.int64)
     odd = np.flatnonzero(ids >= vocabulary.size)
@@ -293,13 +392,32 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     return rows.mapInArrow(lambda batches: _encode(batches, model, rate, seed, variants is not None or not rate), schema)
 
 
+def decode_lists(ids: np.ndarray, counts: np.ndarray, vocabulary: Pieces) -> pa.Array:
+    """The texts of flat ids with so many for each text, as ``decode_ids`` gives them."""
+    sizes = vocabulary.byte_counts[ids]
+    data = spans_take(vocabulary.byte_flat, vocabulary.byte_begins[ids], sizes)
+    ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
+    starts = ends[:-1][np.diff(ends) > 0]
+    marks = starts[data[starts] == ord(" ")]
+    ends -= np.searchsorted(marks, ends)
+    found = pa.Array.from_buffers(pa.string(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.delete(data, marks))])
+    try:
+        found.validate(full=True)
+    except pa.ArrowInvalid:  # byte pieces that are no characters
+        places = np.append(0, np.cumsum(counts)).tolist()
+        return pa.array([decode_ids(ids[b:e].tolist(), vocabulary) for b, e in zip(places, places[1:])], pa.string())
+    return found
+
+
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     vocabulary = load(path)
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            texts = [decode_ids(ids or [], vocabulary) for ids in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(texts, pa.string())], names=[part.schema.names[0], *part.schema.names[2:], "decoded"])
+        counts = pa.compute.fill_null(pa.compute.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = np.flatnonzero(np.diff((np.cumsum(counts) - counts) // (1 << 19))) + 1
+        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            part = batch.slice(begin, end - begin)
+            texts = decode_lists(part.column(1).flatten().to_numpy(), counts[begin:end], vocabulary)
+            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], texts], names=[part.schema.names[0], *part.schema.names[2:], "decoded"])
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:

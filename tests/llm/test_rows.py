@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import zlib
+from unittest import mock
 
 import duckdb
 import numpy as np
@@ -238,6 +239,35 @@ def test_dropout_against_a_plain_agenda(words, seed):
     assert flat.tolist() == [s for w, x in zip(words, seeds.tolist()) for s in plain_agenda(w, x, vocabulary, 0.3)] and len(counts) == len(words)
 
 
+@given(st.lists(st.lists(st.text("aeinrst", min_size=1, max_size=60), max_size=6), min_size=1, max_size=5), st.sampled_from([0.05, 0.3]), st.sampled_from([3, 600_000]))
+@settings(max_examples=40, deadline=None)
+def test_remembered_words_are_drawn_like_new_ones(texts, rate, kept):
+    """Documents of common words one after another, with a memory that forgets soon or never, against every word for itself."""
+    vocabulary = sentencepiece_bpe.load(MODEL)
+    for k, words in enumerate(texts):
+        with mock.patch.object(sentencepiece_bpe, "KEPT_PLAIN", kept):
+            got, _ = sentencepiece_bpe.encode_texts([" ".join(words)] if words else [""], np.array([k], np.uint64), vocabulary, rate, 7)
+        with mock.patch.object(sentencepiece_bpe, "drawn", anew):
+            want, _ = sentencepiece_bpe.encode_texts([" ".join(words)] if words else [""], np.array([k], np.uint64), vocabulary, rate, 7)
+        assert got.tolist() == want.tolist()
+
+
+def anew(points, begins, counts, words, seeds, vocabulary, rate):
+    found = [plain_agenda("".join(map(chr, points[b : b + n])), s, vocabulary, rate) for b, n, s in zip(begins, counts, seeds.tolist())]
+    sizes = np.array([len(f) for f in found], dtype=np.int64)
+    return np.concatenate([np.array(f, dtype=np.int64) for f in found]), np.cumsum(sizes) - sizes, sizes
+
+
+@given(st.lists(st.one_of(st.text(max_size=12), st.lists(st.integers(0, 31_999), max_size=6)), max_size=6))
+@settings(max_examples=100, deadline=None)
+def test_lists_decode_like_single_ids(items):
+    """Texts, and any ids at all: control pieces, bytes that are no characters."""
+    vocabulary = sentencepiece_bpe.load(MODEL)
+    lists = [sentencepiece_bpe.encode_texts([x], np.array([3], np.uint64), vocabulary, 0.2, 1)[0].tolist() if isinstance(x, str) else x for x in items]
+    flat, counts = np.array([i for x in lists for i in x], dtype=np.int32), np.array([len(x) for x in lists], dtype=np.int64)
+    assert sentencepiece_bpe.decode_lists(flat, counts, vocabulary).to_pylist() == [sentencepiece_bpe.decode_ids(x, vocabulary) for x in lists]
+
+
 def test_pieces_of_awkward_texts(spark, awkward, nothing):
     coded = sentencepiece_bpe.encode(awkward, MODEL, keep=("text",), rate=0.2)
     got = sentencepiece_bpe.decode(coded, MODEL, keep=("text",)).collect()
