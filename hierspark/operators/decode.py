@@ -6,11 +6,12 @@ label, then the best child of each label down to the leaf, and the recorded pare
 the root.  Ties go to the smaller ``ord``: column order at the start level, child order
 below it.  A label without scored children, or without a scored parent, has no path.
 
-Scores are dealt out by ``id`` once; everything after that is keyed by ``(id, ...)`` and stays in
-place.  Going up the levels, a window over a label and its children hands every label the path below its
+Scores are dealt out and sorted by ``id`` once; then the paths of all ids of an Arrow batch are found by array operations
+(``segments``).  An id has no more rows than there are labels; nothing is collected, and the plan does not depend on any size.
+
+``strategy="window"`` finds the same rows without Python: going up the levels, a window over a label and its children hands every label the path below its
 best child; going down, the same window hands every child the path above its parent.  Each
-label then knows its whole path, and the best label of a level is a plain aggregate.  An id has no more rows than
-there are labels; nothing is collected, and the plan does not depend on any size.
+label then knows its whole path, and the best label of a level is a plain aggregate.
 
 Of repeated rows of one ``(id, lvl, label)`` the one with the smallest ``ord`` counts, of
 equal ones the largest ``prob``.
@@ -25,11 +26,12 @@ from pyspark.sql import functions as F
 
 from hierspark.functions import paths as P
 from hierspark.operators.hierarchy import nodes
+from hierspark.operators.segments import SortedTree
 from hierspark.operators.skew import salted_join
 
 
 def best_path(
-    scores: DataFrame, edges: DataFrame, n_levels: int, strategy: str = "window"
+    scores: DataFrame, edges: DataFrame, n_levels: int, strategy: str = "sorted"
 ) -> DataFrame:
     """``(id, start_lvl, path, conf)``: the candidate with the highest geometric mean.
 
@@ -40,14 +42,14 @@ def best_path(
 
 
 def candidates(
-    scores: DataFrame, edges: DataFrame, n_levels: int, strategy: str = "window"
+    scores: DataFrame, edges: DataFrame, n_levels: int, strategy: str = "sorted"
 ) -> DataFrame:
     """``(id, start_lvl, path, conf)``, one row for every start level that has a full path."""
     return candidates_of(_tree(scores, edges, n_levels, strategy))
 
 
 def descend(
-    scores: DataFrame, edges: DataFrame, n_levels: int, start: int = 0, strategy: str = "window"
+    scores: DataFrame, edges: DataFrame, n_levels: int, start: int = 0, strategy: str = "sorted"
 ) -> DataFrame:
     """``(id, path)`` from the best label at ``start`` down to the leaf level."""
     rows = _tree(scores, edges, n_levels, strategy).rows([start], up=False)
@@ -55,7 +57,7 @@ def descend(
 
 
 def backfill(
-    scores: DataFrame, edges: DataFrame, n_levels: int, start: int, strategy: str = "window"
+    scores: DataFrame, edges: DataFrame, n_levels: int, start: int, strategy: str = "sorted"
 ) -> DataFrame:
     """``(id, path)`` from the root down to the best label at ``start``, with the ancestors' own scores."""
     rows = _tree(scores, edges, n_levels, strategy).rows([start], down=False)
@@ -63,7 +65,7 @@ def backfill(
 
 
 def gated_descent(
-    scores: DataFrame, edges: DataFrame, thresholds: Sequence[float], strategy: str = "window"
+    scores: DataFrame, edges: DataFrame, thresholds: Sequence[float], strategy: str = "sorted"
 ) -> DataFrame:
     """``(id, l0, p0, l1, p1, …, score)``: descend from the root while ``prob >= threshold``.
 
@@ -138,10 +140,12 @@ def unreachable(scores: DataFrame, edges: DataFrame, n_levels: int) -> DataFrame
 
 
 def _tree(scores: DataFrame, edges: DataFrame, n_levels: int, strategy: str):
-    if strategy not in ("window", "join"):
+    if strategy not in ("sorted", "window", "join"):
         raise ValueError(f"unknown strategy: {strategy}")
     # the few labels near the root occur for every id, so their rows are spread by id
     placed = salted_join(scores.filter(F.col("lvl") < n_levels), nodes(edges), ["lvl", "label"], ["id"], how="left")
+    if strategy == "sorted":
+        return SortedTree(placed, n_levels)
     return (_WindowTree if strategy == "window" else _JoinTree)(_single(placed.repartition("id")), n_levels)
 
 

@@ -9,7 +9,7 @@ from hierspark.operators import decode
 from hierspark.operators import dense as arrays
 from hierspark.schema import EDGES, SCORES, TRAINED
 
-STRATEGIES = ("window", "join")
+STRATEGIES = ("sorted", "window", "join")
 
 
 def score_rows(id_, levels):
@@ -157,6 +157,25 @@ def test_of_repeated_rows_the_first_column_counts(spark, strategy):
     assert sorted((r["start_lvl"], path_list(r)) for r in found) == [(k, [(1, 0.4), (11, 0.5)]) for k in (0, 1)]
 
 
+@pytest.mark.parametrize("size", ["1", "7", "10000"])
+def test_ids_that_span_batches(spark, random_case, size):
+    """Batches smaller than an id, repeated rows, rows without an id, a score or a column, and scores that are no numbers."""
+    _, _, scores, edges = random_case
+    some = scores.where("id < 'p2'")
+    odd = some.where("id < 'p11'").withColumns(
+        {"id": F.nullif(F.concat(F.lit("odd"), "id"), F.lit("oddp1")), "prob": F.expr("CASE label % 5 WHEN 0 THEN NULL WHEN 1 THEN double('NaN') ELSE prob END"), "ord": F.expr("nullif(ord, 2)")}
+    )
+    table = some.unionByName(some.withColumn("prob", F.col("prob") / 2)).unionByName(odd).persist()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        for found in (lambda s: decode.best_path(table, edges, 4, s), lambda s: decode.backfill(table, edges, 4, 3, s), lambda s: decode.gated_descent(table, edges, [0.5, 0.25, 0.25, 0.25], s)):
+            got, want = ([str(r) for r in found(s).drop("conf", "score").collect()] for s in ("sorted", "window"))
+            assert sorted(got) == sorted(want) and got
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def cut(spark, probs, thresholds, labels=None):
     labels = labels or [10 * k for k in range(len(probs))]
     path = [(k, x, p) for k, (x, p) in enumerate(zip(labels, probs))]
