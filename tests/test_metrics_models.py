@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hierspark.operators import classify, history, metrics, reduce
+from hierspark.operators import classify, history, metrics, reduce, wide_reduce
 from hierspark.schema import SCORES
 from hierspark.sources import models
 
@@ -225,3 +225,23 @@ def test_folds_fitted_together_are_as_fitted_alone(spark, clusters):
     folded = classify.stratified_folds(table, k=3)
     alone = [classify.accuracy(folded.filter(f"fold = {f}"), classify.fit(folded.filter(f"fold <> {f}"))) for f in range(3)]
     assert classify.cross_validate(folded, parallelism=3) == classify.cross_validate(folded, parallelism=1) == alone
+
+
+@pytest.mark.parametrize("fall", [0.97, 1.0])
+def test_wide_components_equal_numpy(spark, fall):
+    """Variances that fall off need few passes; flat ones go on until the blocks span the space."""
+    rng = np.random.default_rng(4)
+    n, width, k = 900, 150, 12
+    x = (rng.normal(size=(n, width)) * fall ** np.arange(width)) @ np.linalg.qr(rng.normal(size=(width, width)))[0] + 3
+    x[:, 7] = 2.0
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id INT, vec ARRAY<DOUBLE>").repartition(5).persist()
+    fitted = wide_reduce.fit(table, k, extra=8)
+    z = np.divide(x - x.mean(0), x.std(0), out=np.zeros_like(x), where=x.std(0) > 1e-9)
+    values, vectors = np.linalg.eigh(z.T @ z)
+    values, vectors = values[::-1], vectors[:, ::-1][:, :k]
+    vectors = vectors * np.where(vectors[np.abs(vectors).argmax(0), np.arange(k)] < 0, -1, 1)
+    assert np.abs(fitted.loadings - vectors).max() < 1e-6 and np.allclose(fitted.ratio, values[:k] / values.sum())
+    assert fitted.passes < 8 if fall < 1 else fitted.passes <= 9
+    got = wide_reduce.project(table.unionByName(spark.createDataFrame([(-1, None)], table.schema)), fitted).orderBy("id").collect()
+    assert got[0]["pc"] is None and np.allclose([r["pc"] for r in got[1:]], z @ vectors, atol=1e-5)
+    assert wide_reduce.residuals(table, fitted).where("residual < 1e-6 and n_rows = 900").count() == k
