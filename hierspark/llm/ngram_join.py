@@ -45,6 +45,8 @@ PIVOTS = 4
 TILE, COLUMNS = 512, 4096
 FIRST = 8
 LAST = 1 << 62
+#: Tokens that a task handles at a time.
+SLICE = 1 << 18
 BROADCAST_SETS = 2_000_000
 
 
@@ -96,9 +98,19 @@ def bands(n: int, percent: int) -> list[int]:
     return sorted({n.bit_length(), (n * 100 // percent).bit_length()})
 
 
+def by_tokens(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Cut batches into slices whose lists hold about ``SLICE`` elements; a longer list is a slice of its own."""
+    for batch in batches:
+        counts = pa.compute.fill_null(pa.compute.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = (np.flatnonzero(np.diff((np.cumsum(counts) - counts) // SLICE)) + 1).tolist()
+        for begin, end in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if end > begin:
+                yield batch.slice(begin, end - begin)
+
+
 def _rows(batches: Iterator[pa.RecordBatch], percent: int, eighths: int) -> Iterator[pa.RecordBatch]:
     """Counted tokens of each set, and the other tokens that its prefix may come to need."""
-    for batch in batches:
+    for batch in by_tokens(batches, 2):
         ids, sizes, tokens, spare = [], [], [], []
         for id_, n, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             found = listed.values.to_numpy().view(np.uint64)
@@ -158,8 +170,11 @@ def fold(parts: tuple[int, ...]) -> int:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = [list(signatures(r["n"], r["own"], [(x["rate"], x["token"]) for x in r["rated"] or ()], percent)) for r in batch.to_pylist()]
+    for batch in by_tokens(batches, 3):
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(batch.column(3)), 0).to_numpy(zero_copy_only=False)).tolist()
+        rates, tokens = (x.to_numpy() for x in batch.column(3).flatten().flatten())
+        own = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), [0, *ends], ends)
+        made = [list(signatures(n, k, list(zip(rates[b:e].tolist(), tokens[b:e].tolist())), percent)) for n, k, b, e in own]
         back = pa.array(np.repeat(np.arange(batch.num_rows), [len(m) for m in made]))
         flat = pa.array([s for m in made for s in m], pa.int64())
         yield pa.RecordBatch.from_arrays([flat, batch.column(0).take(back), batch.column(2).take(back)], names=["signature", "id", "own"])

@@ -119,6 +119,20 @@ def test_similar_small_sets_share_a_signature(percent, eighths):
     assert len(linked) > 1000 and [i for i in linked if not made[i] & made[i + 1]] == []
 
 
+@pytest.mark.parametrize("size", [1, 40, 1 << 18])
+def test_slices_change_no_signature(monkeypatch, size):
+    """Lists cut at any length, empty and long ones among them, against each set for itself."""
+    rng = np.random.default_rng(3)
+    rated = [[(int(r), int(t)) for r, t in zip(rng.integers(2, 3000, n), rng.integers(-(2**62), 2**62, n))] for n in (0, 1, 7, 900, 0, 30, 0)]
+    cells = [[{"rate": r, "token": t} for r, t in x] for x in rated]
+    columns = {"id": list(range(7)), "n": [max(1, len(x)) for x in rated], "own": [0, 0, 1, 20, 0, 3, 0], "rated": pa.array(cells, pa.list_(pa.struct([("rate", pa.int64()), ("token", pa.int64())])))}
+    batch = pa.RecordBatch.from_pydict(columns)
+    monkeypatch.setattr(ngram_join, "SLICE", size)
+    got = {(r["signature"], r["id"], r["own"]) for b in ngram_join._signatures(iter([batch, batch.slice(3), batch.slice(0, 0)]), 80) for r in b.to_pylist()}
+    want = {(s, i, k) for i, n, k, x in zip(columns["id"], columns["n"], columns["own"], rated) for s in ngram_join.signatures(n, k, x, 80)}
+    assert got == want and {i for _, i, _ in got} == {2, 3, 5}
+
+
 def test_two_texts_of_one_id_keep_their_links(spark):
     first, second = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
     docs = spark.createDataFrame([(1, first), (1, second), (2, first + " x"), (3, second + " x"), (4, second), (None, first)], "doc_id bigint, text string")
