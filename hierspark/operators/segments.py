@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 COLUMNS = ("id", "lvl", "label", "ord", "prob", "parent", "child_ord")
@@ -19,11 +20,15 @@ NONE = np.iinfo(np.int64).min + 1
 
 
 class SortedTree:
-    """``placed`` has the columns ``COLUMNS``; a label without a parent has NULL there."""
+    """``placed`` has the columns ``COLUMNS``; a label without a parent has NULL there.
+
+    A window over the id asks for rows that are dealt out and sorted by it: those that already are dealt out, in
+    whatever number of partitions, stay where they are.
+    """
 
     def __init__(self, placed: DataFrame, n_levels: int):
         self.n = n_levels
-        self.placed = placed.select(*COLUMNS).repartition("id").sortWithinPartitions("id")
+        self.placed = placed.select(*COLUMNS, F.row_number().over(Window.partitionBy("id").orderBy("id")).alias("_row"))
 
     def rows(self, starts: Sequence[int], up: bool = True, down: bool = True, gate: Sequence[float] | None = None) -> DataFrame:
         """``(id, start_lvl, l0, p0, …)``; only complete rows, without NaN, unless gated."""
@@ -48,7 +53,7 @@ def _of_whole_ids(batches: Iterator[pa.RecordBatch], n: int, names: Sequence[str
     for batch in batches:
         if not batch.num_rows:
             continue
-        new = pa.Table.from_batches([batch])
+        new = pa.Table.from_batches([batch]).select(COLUMNS)
         table = _distinct(pa.concat_tables([rest, new]).combine_chunks() if rest is not None else new)
         last = _runs(table["id"])[-1]
         done, rest = table.slice(0, last), table.slice(last)

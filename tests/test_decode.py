@@ -1,4 +1,5 @@
 import random
+import re
 
 import dense
 import pytest
@@ -212,3 +213,26 @@ def test_path_score_expressions(spark):
     row = spark.createDataFrame([(path,)], "path ARRAY<STRUCT<lvl: INT, label: BIGINT, prob: DOUBLE>>")
     r = row.select(paths.path_product(F.col("path")).alias("a"), paths.path_score(F.col("path")).alias("b")).first()
     assert r["a"] == 0.125 and r["b"] == pytest.approx(0.125**0.5)
+
+
+def test_tasks_follow_the_number_of_line_items(spark, tmp_path, monkeypatch):
+    from hierspark.plans import blocks
+
+    tables = {
+        "region": ([(0,), (1,)], "r_regionkey int"), "nation": ([(0, 0), (1, 1)], "n_nationkey int, n_regionkey int"),
+        "supplier": ([(k, k % 2) for k in range(4)], "s_suppkey bigint, s_nationkey int"), "orders": ([(k, k % 5) for k in range(40)], "o_orderkey bigint, o_custkey bigint"),
+        "lineitem": ([(k % 40, k % 3, float(k % 7 + 1)) for k in range(200)], "l_orderkey bigint, l_suppkey bigint, l_quantity double"),
+    }
+    for name, (made, schema) in tables.items():
+        spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    def best():
+        return decode.best_path(blocks.share_scores(spark, str(tmp_path)), blocks.share_edges(spark, str(tmp_path)), 3)
+
+    few = sorted(map(str, best().collect()))
+    monkeypatch.setattr(blocks, "TASK_ITEMS", 5)
+    found = best()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # dealt out by id once, in 41 parts; neither the windows nor the walk deal out again
+    assert re.findall(r"Exchange hashpartitioning\(id#\d+L, (\d+)\)", plan) == ["41"]
+    assert len(few) == 5 and sorted(map(str, found.collect())) == few
