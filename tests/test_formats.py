@@ -226,3 +226,20 @@ def test_split_sink(spark, tmp_path):
     table = spark.createDataFrame([("a", 0, "train", 1), ("b", 0, "valid", 2)], "id STRING, lvl INT, split STRING, label INT")
     writers.write_splits(table, f"{tmp_path}/sp")
     assert os.path.isdir(f"{tmp_path}/sp/lvl=0/split=valid")
+
+
+def test_lines_of_logs_are_not_shuffled(spark):
+    """Lines meet their headers by broadcasts, and only scores other than 0 are shuffled with the first line of an id."""
+    made = [("x", 0, 0, 0, "file,pred,conf,7,8,9"), ("x", 0, 1, 0, "a.jpg,7,0.0,0.0, 0,0.00"), ("x", 0, 2, 0, "a.jpg,7,1,1.0,0.0,0.0"), ("x", 0, 3, 0, "b.jpg,9,-0.5,0.0,-0.5,NaN"), ("x", 0, 4, 0, "c.jpg,9,0,0,,0.0")]
+    lines = spark.createDataFrame(made[:4], "file_name string, block int, line int, lvl int, value string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = logs.log_arrays(lines)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert sorted(map(str, map(tuple, found.collect()))) == ["('a.jpg', 0, [7, 8, 9], [0.0, 0.0, 0.0])", "('b.jpg', 0, [7, 8, 9], [0.0, -0.5, nan])"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    for bad, message in (((("x", 0, 9, 0, "a.jpg,7,1,1.0,0.0"),), "expected 6 fields"), ((("z", 0, 9, 0, "d.jpg,7,1,1.0"),), "no header in z"), ((made[4],), "CAST_INVALID_INPUT")):
+        with pytest.raises(Exception, match=message):  # lines that lose are checked as well
+            logs.log_arrays(lines.unionByName(spark.createDataFrame(bad, lines.schema))).collect()
