@@ -74,10 +74,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item.  A document without an id goes by the hash of its text."""
+    """Documents that hold no benchmark item.  A document without an id goes by the hash of its text.
+
+    The ids found are written first: they are counted and joined, and the search runs once.
+    """
     key = F.coalesce("doc_id", F.xxhash64("text"))
     held = decontaminate.contaminated(docs.select(key.alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, held, key)
+    return without(docs, stored(held.select("doc_id").distinct(), "held"), key)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

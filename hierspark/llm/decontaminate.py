@@ -59,11 +59,14 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     keys = windows(tests, fits_only=True).where(F.col("_hash").isNotNull()).select("_hash", "_item", F.col("_at").alias("_item_at"), F.size("_words").alias("_n")).distinct()
     listed = docs.select(F.col(id_col).alias("_id"), words(F.col(text_col)).alias("_words"))
     hits = windows(listed, fits_only=False).join(broadcast_up_to(keys, BROADCAST_WINDOWS), "_hash")
-    begin = F.col("_at") - F.col("_item_at")
-    region = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.when(F.col("_begin") + k >= 0, F.get("_words", F.col("_begin") + k)))
+    # a hit keeps the words of its alignment that the document has: a row of each hit with all words of a long text is size squared
+    at, before = F.col("_at") - F.col("_item_at"), F.least(F.col("_at") - F.col("_item_at"), F.lit(0))
+    placed = hits.select("_id", "_item", "_n", at.alias("_begin"), F.slice("_words", at - before + 1, F.col("_n") + before).alias("_region"))
     # judged where it is hit: only alignments that meet the rule are shuffled
-    aligned = hits.withColumn("_begin", begin).join(broadcast_up_to(tests.select("_item", F.col("_words").alias("_item_words")).distinct(), BROADCAST_ITEMS), "_item")
-    same = F.zip_with(region, "_item_words", lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
+    aligned = placed.join(broadcast_up_to(tests.select("_item", F.col("_words").alias("_item_words")).distinct(), BROADCAST_ITEMS), "_item")
+    missing = -F.least("_begin", F.lit(0))
+    agree = F.zip_with("_region", F.slice("_item_words", missing + 1, F.col("_n")), lambda a, b: F.coalesce((a == b).cast("int"), F.lit(0)))
+    same = F.concat(F.array_repeat(F.lit(0), missing), agree)
     total = lambda part: F.aggregate(part, F.lit(0), lambda s, x: s + x)
     pairs = aligned.where(F.size("_item_words") == F.col("_n")).select("_id", "_item", "_begin", "_n", same.alias("_same"))
     stretch = F.array_max(F.transform(F.sequence(F.lit(1), F.col("_n") - STRETCH + 1), lambda k: total(F.slice("_same", k, STRETCH))))

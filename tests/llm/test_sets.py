@@ -251,6 +251,15 @@ def test_a_long_item_held_in_part_and_awkward_texts(spark, awkward, nothing):
     assert decontaminate.contaminated(nothing, tests).count() == 0 and decontaminate.contaminated(awkward, tests.limit(0)).count() == 0
 
 
+def test_a_hit_does_not_carry_the_whole_text(spark):
+    tests = spark.createDataFrame([(1, " ".join(f"v{i}" for i in range(20)))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, " ".join(f"v{i}" for i in range(5, 300)))], "doc_id bigint, text string")
+    found = decontaminate.contaminated(docs, tests)
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join " in x]
+    assert len(joins) == 2 and not any(re.search(r"(?<!item)_words#", x) for x in joins)
+    assert [tuple(r) for r in found.collect()] == [(1, 1, 20, 15, -5)]
+
+
 # Fingerprints
 
 
@@ -345,6 +354,18 @@ def test_pipeline_stage_by_stage(spark):
     assert all(r["lossless"] and r["n_tokens"] == len(r["token_ids"]) for r in last) and len(last) == safe.count()
 
 
+@pytest.mark.skipif(pipeline is None, reason="no pipeline here")
+def test_the_search_for_benchmark_items_runs_once(spark, tmp_path):
+    import corpus_pipeline as p
+
+    item = " ".join(f"v{i}" for i in range(9))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(1, item), (2, "v1 v2 v3"), (None, "x " + item), (3, None)], "doc_id bigint, text string")
+    kept = p.decontamination(spark, docs, str(tmp_path))
+    assert "Generate" not in kept._jdf.queryExecution().optimizedPlan().toString()  # what follows reads the ids that were found
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3]
+
+
 @pytest.mark.skipif(pipeline is None, reason="no pipeline here")
 def test_language_stage_rejects_what_it_has_not_learned(spark):
     import corpus_pipeline as p
