@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from hierspark.functions import paths as P
 from hierspark.operators.hierarchy import nodes
 from hierspark.operators.segments import SortedTree
-from hierspark.operators.skew import salted_join
+from hierspark.operators.skew import is_small, salted_join
 
 
 def best_path(
@@ -100,12 +100,12 @@ def gated_of(tree, thresholds: Sequence[float]) -> DataFrame:
 
 def gated_backfill(gated: DataFrame, edges: DataFrame, n_levels: int) -> DataFrame:
     """Fill missing labels from their kept child; probabilities and score stay as they are."""
-    rows = gated
+    rows, broadcast = gated, is_small(edges)
     for k in reversed(range(n_levels - 1)):
         up = edges.filter(F.col("lvl") == k).select(F.col("child").alias("_child"), F.lit(False).alias("_none"), F.col("parent").alias("_up"))
         # a row without a label finds nothing, wherever it is; its id spreads such rows
         keyed = rows.withColumns({"_none": F.col(f"l{k + 1}").isNull(), "_child": F.coalesce(F.col(f"l{k + 1}"), F.xxhash64("id"))})
-        rows = salted_join(keyed, up, ["_child", "_none"], ["id"], how="left").withColumn(f"l{k}", F.coalesce(f"l{k}", "_up")).drop("_up", "_child", "_none")
+        rows = salted_join(keyed, up, ["_child", "_none"], ["id"], how="left", broadcast=broadcast).withColumn(f"l{k}", F.coalesce(f"l{k}", "_up")).drop("_up", "_child", "_none")
     return rows.select(*gated.columns)
 
 
@@ -142,8 +142,8 @@ def unreachable(scores: DataFrame, edges: DataFrame, n_levels: int) -> DataFrame
 def _tree(scores: DataFrame, edges: DataFrame, n_levels: int, strategy: str):
     if strategy not in ("sorted", "window", "join"):
         raise ValueError(f"unknown strategy: {strategy}")
-    # the few labels near the root occur for every id, so their rows are spread by id
-    placed = salted_join(scores.filter(F.col("lvl") < n_levels), nodes(edges), ["lvl", "label"], ["id"], how="left")
+    # the few labels near the root occur for every id, so their rows are spread by id, or stay where they are
+    placed = salted_join(scores.filter(F.col("lvl") < n_levels), nodes(edges), ["lvl", "label"], ["id"], how="left", broadcast=is_small(edges))
     if strategy == "sorted":
         return SortedTree(placed, n_levels)
     return (_WindowTree if strategy == "window" else _JoinTree)(_single(placed.repartition("id")), n_levels)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hierspark.operators.skew import salted_join
+from hierspark.operators.skew import is_small, salted_join
 
 
 def explode_label_list(lists: DataFrame, numeric_order: bool = False) -> DataFrame:
@@ -72,10 +72,10 @@ def with_names(paths: DataFrame, names: DataFrame, n_levels: int, strict: bool =
     A label that ``names`` lacks is an error, or has no name when ``strict`` is off.  One label may win for a large share
     of the ids, so its rows are spread by id.
     """
-    out = paths
+    out, broadcast = paths, is_small(names)
     for k in range(n_levels):
         at = names.filter(F.col("lvl") == k).select(F.col("label").alias(f"l{k}"), F.col("name").alias(f"name{k}"))
-        out = known_or_raise(salted_join(out, at, [f"l{k}"], ["id"], how="left"), f"l{k}", f"name{k}", strict)
+        out = known_or_raise(salted_join(out, at, [f"l{k}"], ["id"], how="left", broadcast=broadcast), f"l{k}", f"name{k}", strict)
     return out
 
 

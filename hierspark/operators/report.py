@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hierspark.functions.paths import unpack
 from hierspark.functions.text import last_word, percent_text
 from hierspark.operators.labels import known_or_raise, with_names
-from hierspark.operators.skew import salted_join
+from hierspark.operators.skew import is_small, salted_join
 from hierspark.schema import LEVELS
 
 # Fixed values written into every submission row.
@@ -107,7 +107,7 @@ def gated_report(gated: DataFrame, names: DataFrame, phyla: DataFrame, ranks: Se
 
 def _with_phyla(named: DataFrame, phyla: DataFrame) -> DataFrame:
     """A handful of root labels serve all ids, so the rows are spread by id; a root label without a phylum is an error."""
-    return known_or_raise(salted_join(named, phyla.withColumnRenamed("label", "l0"), ["l0"], ["id"], how="left"), "l0", "phylum")
+    return known_or_raise(salted_join(named, phyla.withColumnRenamed("label", "l0"), ["l0"], ["id"], how="left", broadcast=is_small(phyla)), "l0", "phylum")
 
 
 def _taxa(ranks: Sequence[str]) -> dict[str, Column]:

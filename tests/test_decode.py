@@ -236,3 +236,35 @@ def test_tasks_follow_the_number_of_line_items(spark, tmp_path, monkeypatch):
     # dealt out by id once, in 41 parts; neither the windows nor the walk deal out again
     assert re.findall(r"Exchange hashpartitioning\(id#\d+L, (\d+)\)", plan) == ["41"]
     assert len(few) == 5 and sorted(map(str, found.collect())) == few
+
+
+def test_all_steps_on_line_items_follow_their_number(spark, tmp_path, monkeypatch):
+    from hierspark.operators import skew
+    from hierspark.plans import blocks
+
+    tables = {
+        "region": ([(0,), (1,)], "r_regionkey int"), "nation": ([(0, 0), (1, 1)], "n_nationkey int, n_regionkey int"),
+        "supplier": ([(k, k % 2) for k in range(4)], "s_suppkey bigint, s_nationkey int"), "orders": ([(k, k % 5) for k in range(40)], "o_orderkey bigint, o_custkey bigint"),
+        "lineitem": ([(k % 40, k % 3, float(k % 7 + 1)) for k in range(200)], "l_orderkey bigint, l_suppkey bigint, l_quantity double"),
+    }
+    for name, (made, schema) in tables.items():
+        spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    def best():
+        return decode.best_path(blocks.share_scores(spark, str(tmp_path)), blocks.share_edges(spark, str(tmp_path)), 3)
+
+    few = sorted(map(str, best().collect()))
+    monkeypatch.setattr(blocks, "TASK_ITEMS", 5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = best()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(map(str, found.collect()))
+        monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+        salted = sorted(map(str, best().collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # items and orders by order, sums by id and labels, rows by id; suppliers and labels of the hierarchy stay whole, unsliced
+    dealt = re.findall(r"Exchange hashpartitioning\((?:id|l_orderkey|o_orderkey)#.*, (\d+)\)", plan)
+    assert dealt == ["41"] * 4 and "_salt" not in plan
+    assert len(few) == 5 and rows == few and salted == few
