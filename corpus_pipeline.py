@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hierspark.llm import decontaminate, langid, ngram_join, sentencepiece_bpe, toxic
-from hierspark.llm.util import broadcast_up_to, stored
+from hierspark.llm.util import broadcast_up_to, stored, text_batches
 
 BROADCAST_IDS = 2_000_000
 #: Letters that a text needs to be judged by its cosine, and how many times the noise that cosine has to be.
@@ -28,6 +28,7 @@ def without(docs: DataFrame, ids: DataFrame, key: Column | None = None) -> DataF
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon, learned from the labels of these documents, does not call toxic."""
+    text_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     lexicon = toxic.learn(toxic.labelled(docs, labels))
     scored = toxic.score(docs, lexicon, keep=tuple(c for c in docs.columns if c != "doc_id"), prefix="__")
@@ -41,6 +42,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     40 letters or more has to reach four times that with its best prototype.  Shorter texts hold too few n-grams for that:
     they go only without letters, or if they are unlike all prototypes (cosine 0 or less).
     """
+    text_batches(spark)
     profiles = langid.learn(docs)
     found = langid.predict(docs, profiles, keep=tuple(c for c in docs.columns if c != "doc_id"), prefix="__")
     short = F.length(F.regexp_replace("text", r"\P{L}", "")) < LETTERS
@@ -55,6 +57,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     be a copy too (it is kept only where no copy has an id).  Equal rows are copies: the one that is first by its other
     columns stays.  Texts without words have no copies but rows equal in id and text.
     """
+    text_batches(spark)
     key = F.xxhash64("doc_id", "text")
     groups = stored(ngram_join.near_groups(docs.select(key.alias("doc_id"), "text"), width=5, percent=80, eighths=3, count_links=False).select(F.col("doc_id").alias("__key"), "component_id"), "groups")
     several = groups.groupBy("component_id").agg(F.count("*").alias("__n")).where("__n > 1").select("component_id")
@@ -84,12 +87,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids with merge-dropout, and whether they decode to the text."""
+    """Token ids with merge-dropout, and whether they decode to the text.
+
+    The ids are written before they are decoded: a task then needs one Python worker, not one for each of both steps.
+    """
+    text_batches(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
     own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = sentencepiece_bpe.encode(own, model, keep=("text",)).withColumn("token_ids", F.col("ids"))
-    decoded = sentencepiece_bpe.decode(coded, model, keep=("text", "token_ids"))
-    return decoded.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("lossless"), "token_ids")
+    coded = stored(sentencepiece_bpe.encode(own, model, keep=("text",)), "coded")
+    decoded = sentencepiece_bpe.decode(coded, model, keep=("text", "ids"))
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("lossless"), F.col("ids").alias("token_ids"))
 
 
 STAGES = [

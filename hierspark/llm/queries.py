@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hierspark.llm import chat, decontaminate, filter_audit, hard_negatives, html, imatch, langid, ngram_join, packing, sentencepiece_bpe, token_files, toxic, urls
-from hierspark.llm.util import bucket, shared_folder
+from hierspark.llm.util import bucket, shared_folder, text_batches
 
 # Rules and the literal conversation of the query's contract.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -26,11 +26,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids with merge-dropout of every document, and whether they decode to the text."""
+    text_batches(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    decoded = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, model, keep=("text",)).withColumn("raw", F.col("ids")), model, keep=("text", "raw"))
-    digest = F.crc32(F.array_join("raw", ",").cast("binary"))
-    return decoded.select("doc_id", F.size("raw").cast("bigint").alias("n_tokens"), digest.alias("ids_crc32"), (F.col("decoded") == F.col("text")).alias("lossless"))
+    decoded = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, model, keep=("text",)), model, keep=("text", "ids"))
+    digest = F.crc32(F.array_join("ids", ",").cast("binary"))
+    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), digest.alias("ids_crc32"), (F.col("decoded") == F.col("text")).alias("lossless"))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -370,11 +370,13 @@ def decode_ids(ids: list[int], vocabulary: Pieces) -> str:
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, rate: float, seed: int, remember: bool) -> Iterator[pa.RecordBatch]:
     vocabulary = load(path)
-    for batch in pieces(batches, 1, 1 << 21):
+    for batch in pieces(batches, 1, 1 << 18):
         variants = batch.column(2).to_numpy().view(np.uint64)
         ids, counts = encode_texts(texts_of(batch, 1), variants, vocabulary, rate, seed, remember)
         listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(ids))
         yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], listed], names=[batch.schema.names[0], *batch.schema.names[3:], "ids"])
+    WORDS.clear()
+    PLAIN.clear()  # an idle worker keeps its memory, and the next task learns as cheaply
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.1, seed: int = 13, variants: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -409,7 +411,7 @@ def decode_lists(ids: np.ndarray, counts: np.ndarray, vocabulary: Pieces) -> pa.
     return found
 
 
-def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+def _decode(batches: Iterator[pa.RecordBatch], path: str, kept: list[int]) -> Iterator[pa.RecordBatch]:
     vocabulary = load(path)
     for batch in batches:
         counts = pa.compute.fill_null(pa.compute.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -417,11 +419,12 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
             part = batch.slice(begin, end - begin)
             texts = decode_lists(part.column(1).flatten().to_numpy(), counts[begin:end], vocabulary)
-            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], texts], names=[part.schema.names[0], *part.schema.names[2:], "decoded"])
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), texts], names=[*(part.schema.names[i] for i in kept), "decoded"])
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Return (id, kept columns, decoded) of rows with ids; NULL ids decode to an empty text."""
-    rows = encoded.select(F.col(id_col), F.col("ids"), *(F.col(c) for c in keep))
-    schema = T.StructType([rows.schema[0], *rows.schema.fields[2:], T.StructField("decoded", T.StringType())])
-    return rows.mapInArrow(lambda batches: _decode(batches, model), schema)
+    """Return (id, kept columns, decoded) of rows with ids; NULL ids decode to an empty text.  Kept ``ids`` are sent to Python once."""
+    rows = encoded.select(F.col(id_col), F.col("ids"), *(F.col(c) for c in keep if c != "ids"))
+    kept = [0, *(1 if c == "ids" else rows.columns.index(c, 2) for c in keep)]
+    schema = T.StructType([*(rows.schema[i] for i in kept), T.StructField("decoded", T.StringType())])
+    return rows.mapInArrow(lambda batches: _decode(batches, model, kept), schema)

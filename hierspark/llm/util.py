@@ -33,6 +33,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, size: str = "4m") -> None:
+    """From now on this session exchanges Arrow batches of about this size with Python, unless it has a setting of its own.
+
+    Else a batch is up to 10,000 rows: texts of some kilobytes with their ids then fill hundreds of MB on both sides of every running task.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, size)
+
+
 def bucket(key: Column, n: int) -> Column:
     """crc32 of the key as text, modulo n; NULL for a NULL key."""
     return F.crc32(key.cast("string")) % n

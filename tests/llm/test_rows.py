@@ -8,6 +8,7 @@ from unittest import mock
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -16,6 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from hierspark.llm import chat, html, langid, queries, sentencepiece_bpe, token_files, toxic, urls
 
 SF = "/root/testdata/sf0.001"
@@ -268,6 +270,29 @@ def test_lists_decode_like_single_ids(items):
     assert sentencepiece_bpe.decode_lists(flat, counts, vocabulary).to_pylist() == [sentencepiece_bpe.decode_ids(x, vocabulary) for x in lists]
 
 
+def test_texts_reach_the_workers_in_small_batches_and_ids_once(spark, monkeypatch):
+    """40 MB of texts in one partition: no batch is much over the size set, and the decoder gets id, ids and text."""
+    plain, back = sentencepiece_bpe._encode, sentencepiece_bpe._decode
+
+    def checked(batches, columns):
+        for batch in batches:
+            assert batch.nbytes < 8e6 and batch.num_columns == columns
+            yield batch
+
+    monkeypatch.setattr(sentencepiece_bpe, "_encode", lambda batches, *more: plain(checked(batches, 4), *more))
+    monkeypatch.setattr(sentencepiece_bpe, "_decode", lambda batches, *more: back(checked(batches, 3), *more))
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 9_000).alias("text")).coalesce(1)
+    got = corpus_pipeline.sentencepiece(spark, docs, SF)
+    assert got.columns == ["doc_id", "n_tokens", "lossless", "token_ids"]
+    assert got.where("lossless and n_tokens = size(token_ids)").count() == 400
+
+
+def test_an_idle_worker_holds_no_segmentations():
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["one two three"], "variant": pa.array([5], pa.int64())})
+    assert len(list(sentencepiece_bpe._encode(iter([batch]), MODEL, 0.1, 13, False))) == 1
+    assert not sentencepiece_bpe.PLAIN and not sentencepiece_bpe.WORDS
+
+
 def test_pieces_of_awkward_texts(spark, awkward, nothing):
     coded = sentencepiece_bpe.encode(awkward, MODEL, keep=("text",), rate=0.2)
     got = sentencepiece_bpe.decode(coded, MODEL, keep=("text",)).collect()
