@@ -243,3 +243,16 @@ def test_lines_of_logs_are_not_shuffled(spark):
     for bad, message in (((("x", 0, 9, 0, "a.jpg,7,1,1.0,0.0"),), "expected 6 fields"), ((("z", 0, 9, 0, "d.jpg,7,1,1.0"),), "no header in z"), ((made[4],), "CAST_INVALID_INPUT")):
         with pytest.raises(Exception, match=message):  # lines that lose are checked as well
             logs.log_arrays(lines.unionByName(spark.createDataFrame(bad, lines.schema))).collect()
+
+
+def test_lines_of_logs_meet_no_names_of_their_header(spark):
+    """Without listed labels a line meets the number of its header's names; the labels are read once a header."""
+    made = [("x", 0, 0, 0, "file,pred,conf,7, 8"), ("x", 0, 1, 0, "a.jpg,7,0.5, 0.5,0.0"), ("y", 0, 0, 1, "file,pred,conf,probs")]
+    lines = spark.createDataFrame(made, "file_name string, block int, line int, lvl int, value string")
+    found = logs.log_arrays(lines)
+    assert [tuple(r) for r in found.collect()] == [("a.jpg", 0, [7, 8], [0.5, 0.0])]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert [x for x in plan if "_f#" in x] and not [x for x in plan if "_names#" in x and "_f#" in x]
+    bad = spark.createDataFrame([("y", 0, 1, 1, "a.jpg,7,1.0,1.0")], lines.schema)
+    with pytest.raises(Exception, match="labels that are no numbers: probs"):
+        logs.log_arrays(lines.unionByName(bad)).collect()
